@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from condensa.llm import decontaminate, htmltext, minhash, packing, tokenbin, urlfilter, warc
+from condensa.llm import covertree, decontaminate, htmltext, minhash, packing, tokenbin, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_files(spark, _table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,8 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op3_url_filter, op4_warc, op5_near_duplicates, op6_html_text, op8_token_files, op10_pack,
+    op1_decontaminate, op3_url_filter, op4_warc, op5_near_duplicates, op6_html_text,
+    op7_near_vectors, op8_token_files, op10_pack,
 )}
 
 #: The words of a text as the decontamination contract cuts them, in DuckDB.
