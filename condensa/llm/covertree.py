@@ -224,7 +224,7 @@ def near_vectors(
     is linked with nothing; vectors of different sizes aren't either. Equal vectors
     (repeated rows too) are linked with each other and count as other vectors. A row without
     an id has a null component and is kept. The sample from which pivots come holds about
-    ``pivots`` rows and at most about ``pivot_mb`` MB; all rows are assigned and compared.
+    two rows a block, at most ``pivots`` rows and ``pivot_mb`` MB; all rows are assigned and compared.
     Other columns are ignored.
     """
     rows = vectors.select(
@@ -239,7 +239,8 @@ def near_vectors(
     classes = staged(classes.withColumn("size", F.size("vector")), "vector-classes")
 
     total = classes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("size"), F.lit(1)).alias("size")).first()
-    wanted = min(pivots, int(pivot_mb * 2**20 / (8 * total["size"])))
+    # cells of about half a block, as far as the bound on pivots lets them be so small
+    wanted = min(pivots, int(pivot_mb * 2**20 / (8 * total["size"])), -(-2 * total["n"] // block))
     share = min(1.0, wanted / max(1, total["n"]))
     sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30)))
     net = _net(sorted(sample.select("rep", "label", "vector").toLocalIterator(), key=lambda r: r["rep"]), separation)
