@@ -167,6 +167,38 @@ def contamination(
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def _clean(patterns: list[bytes], at: int):
+    """Batches without the documents in which a pattern occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = WuManber(patterns).search
+        for batch in batches:
+            keep = []
+            for text in batch.column(at):
+                found = words(text.as_py())
+                keep.append(next(search(b" " + b" ".join(found) + b" "), None) is None if found else True)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_text_col: str = "text", window: int = 10, block_mb: float = 8,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of a benchmark item occurs."""
+    items = benchmark.select(F.col(item_text_col).alias("t")).where("t is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
+    blocks, rows = max(1, -(-size // int(block_mb * 2**20))), docs
+    for k in range(blocks):
+        patterns = {
+            b" " + b" ".join(w) + b" "
+            for row in items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).toLocalIterator()
+            for w in windows(words(row["t"]), window)
+        }
+        rows = rows.mapInArrow(_clean(sorted(patterns), docs.columns.index(text_col)), docs.schema)
+    return rows
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns of ``contamination``'s rows."""
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.last - s.first)")

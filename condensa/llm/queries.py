@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from condensa.llm import covertree, decontaminate, htmltext, minhash, packing, tokenbin, urlfilter, warc
+from condensa.llm import covertree, decontaminate, htmltext, langid, minhash, packing, quality, tokenbin, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
@@ -40,13 +46,19 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_files(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op3_url_filter, op4_warc, op5_near_duplicates, op6_html_text,
-    op7_near_vectors, op8_token_files, op10_pack,
+    op1_decontaminate, op2_language, op3_url_filter, op4_warc, op5_near_duplicates, op6_html_text,
+    op7_near_vectors, op8_token_files, op9_quality, op10_pack,
 )}
 
 #: The words of a text as the decontamination contract cuts them, in DuckDB.
