@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from condensa.functions.fixed import HTML_HINTS, LEVEL_WORDS
-from condensa.functions.text import full_lines, strip
+from condensa.functions.text import full_lines, let, strip
 
 LOG_LINE = r"(?i)^\s*(\d{4}-\d{2}-\d{2}[ t]\d{2}:\d{2}|\[\d{2}:\d{2}:\d{2}\]|(" + "|".join(LEVEL_WORDS) + r")\b)"
 #: In the order in which they are tried for typing, and for choosing a table's delimiter.
@@ -26,43 +26,40 @@ def is_html(c: Column) -> Column:
     return c.rlike("(?i)" + HTML_HINTS) | (F.regexp_count(c, F.lit(r"<[a-zA-Z/][^>]{0,200}>")) >= 5)
 
 
-def is_logs(c: Column) -> Column:
+def log_lines(lines: Column) -> Column:
     """Of the first 40 full lines, at least 4, a third and no fewer than 3 begin like log lines."""
-    head = F.slice(full_lines(c), 1, 40)
-    hits = F.size(F.filter(head, lambda s: s.rlike(LOG_LINE)))
-    return (F.size(head) >= 4) & (hits >= F.greatest(F.lit(3), F.floor(F.size(head) / 3)))
+    hits = lambda head: F.size(F.filter(head, lambda s: s.rlike(LOG_LINE)))
+    return let(F.slice(lines, 1, 40), lambda head: (F.size(head) >= 4) & (hits(head) >= F.greatest(F.lit(3), F.floor(F.size(head) / 3))))
 
 
-def is_tabular(c: Column) -> Column:
+def _steady(head: Column, of: str, least: Column) -> Column:
+    """All lines hold ``of`` as often as the first one, more than ``least`` times."""
+    return let(occurrences(F.get(head, F.lit(0)), of), lambda n: (n > least) & F.forall(head, lambda s: occurrences(s, of) == n))
+
+
+def table_lines(lines: Column) -> Column:
     """The first 20 full lines, at least 3, hold some delimiter equally often."""
-    head = F.slice(full_lines(c), 1, 20)
-    steady = lambda d: (occurrences(F.get(head, F.lit(0)), d) >= 1) & F.forall(
-        head, lambda s: occurrences(s, d) == occurrences(F.get(head, F.lit(0)), d)
-    )
-    return (F.size(head) >= 3) & (steady(DELIMITERS[0]) | steady(DELIMITERS[1]) | steady(DELIMITERS[2]))
+    a, b, c = DELIMITERS
+    steady = lambda head: _steady(head, a, F.lit(0)) | _steady(head, b, F.lit(0)) | _steady(head, c, F.lit(0))
+    return let(F.slice(lines, 1, 20), lambda head: (F.size(head) >= 3) & steady(head))
 
 
 def content_type(c: Column) -> Column:
     """The first kind that fits; empty, blank and null texts are ``text``."""
-    return (
-        F.when(c.isNull() | (strip(c) == ""), "text").when(is_json(c), "json").when(is_html(c), "html")
-        .when(is_logs(c), "logs").when(is_tabular(c), "tabular").otherwise("text")
-    )
+    by_lines = let(full_lines(c), lambda rows: F.when(log_lines(rows), "logs").when(table_lines(rows), "tabular").otherwise("text"))
+    return F.when(c.isNull() | (strip(c) == ""), "text").when(is_json(c), "json").when(is_html(c), "html").otherwise(by_lines)
 
 
 def delimiter(rows: Column) -> Column:
     """The delimiter of a table's lines: the most frequent steady one of the first ten lines, else a comma."""
-    head = F.slice(rows, 1, 10)
-    best, count = F.lit(","), F.lit(0)
-
-    def steady(d: str, n: Column) -> Column:
-        return F.forall(head, lambda s: occurrences(s, d) == n)
+    def choose(head: Column) -> Column:
+        best, count = F.lit(","), F.lit(0)
+        for d in TABLE_DELIMITERS:
+            better = _steady(head, d, count)
+            best, count = F.when(better, d).otherwise(best), F.when(better, occurrences(F.get(head, F.lit(0)), d)).otherwise(count)
+        return best
 
-    for d in TABLE_DELIMITERS:
-        n = occurrences(F.get(head, F.lit(0)), d)
-        better = steady(d, n) & (n > count)
-        best, count = F.when(better, d).otherwise(best), F.when(better, n).otherwise(count)
-    return best
+    return let(F.slice(rows, 1, 10), choose)
 
 
 #: A reader must see a whole value; a severed table or log line is not parseable.
@@ -78,15 +75,15 @@ def parseable(text: Column, kind: Column) -> Column:
     """
     whole = strip(text)
     json = F.try_parse_json(whole).isNotNull() | F.try_parse_json(F.regexp_replace(whole, r"\n[^\n]*$", "")).isNotNull()
-    rows = F.filter(full_lines(text), lambda s: ~F.ltrim(s).startswith("#"))
-    header = F.get(rows, F.lit(0))
     unquoted = lambda s: F.regexp_replace(s, r'"[^"]*"', "q")  # noqa: E731  a quoted cell may hold commas
-    table = (
-        (F.size(rows) >= 2) & (occurrences(unquoted(header), ",") >= 1)
-        & F.forall(rows, lambda s: occurrences(unquoted(s), ",") == occurrences(unquoted(header), ","))
-        & F.exists(F.split(header, ","), lambda cell: ~F.trim(cell).rlike(r"^-?\d+(\.\d+)?$"))
-    )
-    log = F.size(full_lines(text)) > 0
-    log = log & F.forall(full_lines(text), lambda s: s.rlike(LOG_PREFIX))
+
+    def rectangular(rows: Column) -> Column:
+        header = F.get(rows, F.lit(0))
+        named = F.exists(F.split(header, ","), lambda cell: ~F.trim(cell).rlike(r"^-?\d+(\.\d+)?$"))
+        wide = let(occurrences(unquoted(header), ","), lambda n: (n >= 1) & F.forall(rows, lambda s: occurrences(unquoted(s), ",") == n))
+        return (F.size(rows) >= 2) & wide & named
+
+    table = let(F.filter(full_lines(text), lambda s: ~F.ltrim(s).startswith("#")), rectangular)
+    log = let(full_lines(text), lambda rows: (F.size(rows) > 0) & F.forall(rows, lambda s: s.rlike(LOG_PREFIX)))
     out = F.when(kind == "json", json).when(kind == "tabular", table).when(kind == "logs", log)
     return F.coalesce(out.when(kind == "html", ~text.rlike(MARKUP)).otherwise(True), F.lit(False))

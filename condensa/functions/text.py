@@ -15,6 +15,11 @@ _SPACES = r"(?U)\s+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body's own lambdas look at it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def token_count(c: Column) -> Column:
     """A quarter of the code points, rounded up; 0 for an empty or null text."""
     return F.shiftright(F.length(F.coalesce(c, F.lit(""))) + 3, 2)
@@ -58,16 +63,16 @@ def words(c: Column) -> Column:
 
 def windows(ws: Column, size: int, step: int) -> Column:
     """Windows of ``size`` words every ``step``, to the end of the list; ``ws`` isn't empty."""
-    return F.transform(F.sequence(F.lit(0), F.size(ws) - 1, F.lit(step)), lambda i: F.array_join(F.slice(ws, i + 1, size), " "))
+    return let(ws, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(step)), lambda i: F.array_join(F.slice(w, i + 1, size), " ")))
 
 
 def line_windows(text: Column, size: int, step: int) -> Column:
     """Each line as it is if short, else its word windows; the text itself if it has no words."""
     def of(line: Column) -> Column:
-        return F.when(F.size(words(line)) <= size, F.array(strip(line))).otherwise(windows(words(line), size, step))
+        return let(words(line), lambda ws: F.when(F.size(ws) <= size, F.array(strip(line))).otherwise(windows(ws, size, step)))
 
     out = F.flatten(F.transform(full_lines(text), of))
-    return F.when(F.size(out) > 0, out).otherwise(F.array(text))
+    return let(out, lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(text)))
 
 
 def _split_long(chunk: Column) -> Column:
@@ -87,7 +92,7 @@ def paragraphs(text: Column) -> Column:
     """Chunks at blank lines; a text without blank lines gives its lines."""
     blocks = F.filter(F.transform(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n\n"), strip), lambda s: s != "")
     by_line = F.filter(F.transform(lines(text), strip), lambda s: s != "")
-    return capped(F.when(F.size(blocks) > 1, blocks).otherwise(by_line))
+    return capped(let(blocks, lambda b: F.when(F.size(b) > 1, b).otherwise(by_line)))
 
 
 def cosine(a: Column, b: Column) -> Column:

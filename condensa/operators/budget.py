@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from condensa.functions.fixed import MARKER
-from condensa.functions.text import token_count
+from condensa.functions.text import let, token_count
 
 
 def _start() -> Column:
@@ -28,9 +28,14 @@ def costs(chunks: Column | str, extra: int) -> Column:
     return F.transform(chunks, lambda c: token_count(c) + extra)
 
 
+def numbered(scores: Column | str, cost: str) -> Column:
+    """(key, i, cost) of all chunks in their order, the key the smaller the better the score."""
+    return let(F.col(cost), lambda cs: F.transform(scores, lambda s, i: F.struct((-s).alias("key"), i.alias("i"), F.get(cs, i).alias("cost"))))
+
+
 def ranked(scores: Column | str, cost: str, limit: Column | int) -> Column:
     """(key, i, cost) of the chunks with positive scores, best first, ties by position; at most ``limit``."""
-    items = F.transform(scores, lambda s, i: F.struct((-s).alias("key"), i.alias("i"), F.get(cost, i).alias("cost")))
+    items = numbered(scores, cost)
     return F.slice(F.array_sort(F.filter(items, lambda x: x["key"] < 0)), 1, limit)
 
 

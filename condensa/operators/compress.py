@@ -13,7 +13,7 @@ from condensa.functions import detect
 from condensa.functions.fixed import BLOCKS, LOG_WORDS, MORE_ROWS, SKIPPED
 from condensa.functions.text import content_ref, full_lines, paragraphs, saved, strip, strip_end, token_count
 from condensa.operators import json_tree
-from condensa.operators.budget import costs, fit_chunks, ranked, stitch, take_until_full
+from condensa.operators.budget import costs, fit_chunks, numbered, ranked, stitch, take_until_full
 from condensa.operators.score import with_scores
 
 SEVERE = r"(?i)\b(" + "|".join(LOG_WORDS) + r")\b"
@@ -113,8 +113,7 @@ def compress_tabular(df: DataFrame, budget: int | Column, query=None, *, payload
     most = F.floor(limit_by / 2).cast("int") + 1
     df = df.withColumn("_lines", full_lines(F.col(payload))).withColumn("chunks", F.slice("_lines", 2, F.greatest(F.size("_lines"), F.lit(1))))
     df = with_scores(df, query, scorer).withColumn("_cost", costs("chunks", 1))
-    items = F.transform("scores", lambda s, i: F.struct((-s).alias("key"), i.alias("i"), F.get("_cost", i).alias("cost")))
-    df = df.withColumn("_header", F.get("_lines", F.lit(0))).withColumn("_items", F.slice(F.array_sort(items), 1, most))
+    df = df.withColumn("_header", F.get("_lines", F.lit(0))).withColumn("_items", F.slice(F.array_sort(numbered("scores", "_cost")), 1, most))
     df = df.withColumn("_kept", F.array_sort(take_until_full("_items", limit_by, token_count(F.col("_header")) + 12)["kept"]))
     left = F.size("chunks") - F.size("_kept")
     wide = F.size(F.split("_header", F.concat(F.lit(r"\Q"), detect.delimiter(F.col("_lines")), F.lit(r"\E")), -1))

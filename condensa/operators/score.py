@@ -6,11 +6,14 @@ and lengths are of the payload's own chunks.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from condensa.functions.fixed import K1, B
-from condensa.functions.text import WORD, cosine, query_terms, terms
+from condensa.functions.text import WORD, cosine, let, query_terms, terms
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -31,11 +34,11 @@ def with_bm25(
         return df.withColumn(out, F.transform(chunks, lambda c: F.lit(0.0)))
     if literal:
         count = lambda c, p: F.regexp_count(c, F.lit(p))
-        of = lambda c: F.struct(
-            count(c, WORD).alias("dl"),
-            F.array(*[count(c, rf"(?i)(?<![A-Za-z0-9_]){w}(?![A-Za-z0-9_])") for w in words]).alias("tf"),
-        )
-        df = df.withColumn("_counts", F.transform(chunks, of))
+        # a plain search tells most chunks (and payloads) without the term from the few that the pattern must see
+        tf = lambda c, low, w: F.when(low.contains(w), count(c, rf"(?i)(?<![A-Za-z0-9_]){w}(?![A-Za-z0-9_])")).otherwise(0)
+        of = lambda c: F.struct(count(c, WORD).alias("dl"), let(F.lower(c), lambda low: F.array(*[tf(c, low, w) for w in words])).alias("tf"))
+        some = F.exists(chunks, lambda c: let(F.lower(c), lambda low: functools.reduce(operator.or_, [low.contains(w) for w in words])))
+        df = df.withColumn("_counts", F.when(some, F.transform(chunks, of)))
         places = F.array(*[F.lit(j) for j in range(len(words))])
     else:
         df = df.withColumn("_terms", F.array_sort(F.array_distinct(terms(F.coalesce(query, F.lit(""))))))
@@ -47,18 +50,18 @@ def with_bm25(
         places = F.filter(F.sequence(F.lit(0), F.size("_terms")), lambda j: j < F.size("_terms"))
     n = F.size("_counts")
     total = F.aggregate("_counts", F.lit(0), lambda s, x: s + x["dl"])
-    df = df.withColumns({
-        "_mean": F.when(total > 0, total / n).otherwise(1.0),
-        "_idf": F.transform(places, lambda j: _idf(n, F.size(F.filter("_counts", lambda x: F.get(x["tf"], j) > 0)))),
-    })
-
-    def score(x: Column) -> Column:
-        norm = k1 * (1 - b + b * F.greatest(x["dl"], F.lit(1)) / F.col("_mean"))
-        parts = F.zip_with("_idf", x["tf"], lambda w, f: w * f * (k1 + 1) / (f + norm))
-        return F.round(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v), 9)
-
-    df = df.withColumn(out, F.transform("_counts", score))
-    return df.drop("_counts", "_mean", "_idf", "_terms", "_tokens")
+    mean = F.when(total > 0, total / n).otherwise(1.0)
+    idf = F.transform(places, lambda j: _idf(n, F.size(F.filter("_counts", lambda x: F.get(x["tf"], j) > 0))))
+
+    def score(x: Column, of: Column) -> Column:
+        norm = k1 * (1 - b + b * F.greatest(x["dl"], F.lit(1)) / of["mean"])
+        parts = F.zip_with(of["idf"], x["tf"], lambda w, f: w * f * (k1 + 1) / (f + norm))
+        return F.when(F.exists(x["tf"], lambda f: f > 0), F.round(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v), 9)).otherwise(0.0)
+
+    scores = let(F.struct(mean.alias("mean"), idf.alias("idf")), lambda of: F.transform("_counts", lambda x: score(x, of)))
+    if literal:  # payloads without any term need no counts
+        scores = F.coalesce(scores, F.transform(chunks, lambda c: F.lit(0.0)))
+    return df.withColumn(out, scores).drop("_counts", "_terms", "_tokens")
 
 
 def with_cosine(df: DataFrame, vectors: str, query: Column, *, floor: float = 0.0, out: str = "scores") -> DataFrame:
