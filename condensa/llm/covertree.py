@@ -32,7 +32,7 @@ _SLACK = 1e-9
 class Node:
     """A node of a cover tree: a centre, the descendants, and the radius that covers them."""
 
-    __slots__ = ("centre", "radius", "members", "children", "centres", "radii")
+    __slots__ = ("centre", "radius", "members", "children", "centres", "radii", "single")
 
     def __init__(self, centre, radius, members):
         self.centre, self.radius, self.members = centre, radius, members
@@ -41,24 +41,37 @@ class Node:
     def close(self):
         self.centres = np.array([c.centre for c in self.children])
         self.radii = np.array([c.radius for c in self.children])
+        self.single = np.array([len(c.members) == 1 for c in self.children])
 
 
 def _distances(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
     return np.sqrt(((rows - row) ** 2).sum(axis=1))
 
 
+def _net_of(x: np.ndarray, members: np.ndarray, centre: int, cover: float) -> list[tuple[int, np.ndarray]]:
+    """(centre, members within ``cover`` of it) until none is left; each member goes to the first centre that takes it."""
+    out, alive, first = [], np.ones(len(members), bool), int(np.flatnonzero(members == centre)[0])
+    own = x[members]
+    # all distances at once where they fit, else by centre; members are only dealt by them, radii are measured anew
+    gaps = np.maximum(0.0, 2 - 2 * own @ own.T) if len(members) <= 4096 else None
+    while True:
+        near = (gaps[first] if gaps is not None else ((own - own[first]) ** 2).sum(axis=1)) <= cover * cover
+        near[first] = True
+        near &= alive
+        out.append((int(members[first]), members[near]))
+        alive &= ~near
+        first = int(alive.argmax())
+        if not alive[first]:
+            return out
+
+
 def build(x: np.ndarray, members: np.ndarray, centre: int, leaf: int, limit: float) -> Node:
-    """The tree of ``members`` below ``centre``; levels end at ``leaf`` members or radius ``limit``."""
-    far = _distances(x[members], x[centre])
-    node = Node(centre, float(far.max(initial=0.0)), members)
+    """The tree of unit vectors ``members`` below ``centre``; levels end at ``leaf`` members or radius ``limit``."""
+    if len(members) == 1:
+        return Node(centre, 0.0, members)
+    node = Node(centre, float(_distances(x[members], x[centre]).max()), members)
     if len(members) > leaf and node.radius > limit:
-        cover, left, first = node.radius / 2, members, centre
-        while len(left):
-            near = _distances(x[left], x[first]) <= cover
-            near |= left == first
-            node.children.append(build(x, left[near], first, leaf, limit))
-            left = left[~near]
-            first = left[0] if len(left) else first
+        node.children = [build(x, own, c, leaf, limit) for c, own in _net_of(x, members, centre, node.radius / 2)]
         node.close()
     return node
 
@@ -93,6 +106,15 @@ class _Links:
         for k in np.concatenate([a, b])[1:] if b is not None else a[1:]:
             self.join(int(a[0]), int(k))
 
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        """The pairs a[k], b[k]."""
+        own = ~(self.guest[a] & self.guest[b])
+        a, b = a[own], b[own]
+        np.add.at(self.count, a, self.weight[b])
+        np.add.at(self.count, b, self.weight[a])
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            self.join(i, j)
+
     def some(self, a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> None:
         """The marked pairs of a x b."""
         linked = linked & ~(self.guest[a][:, None] & self.guest[b][None, :])
@@ -135,6 +157,13 @@ def dual(x: np.ndarray, unit: np.ndarray, norms: np.ndarray, a: Node, b: Node, c
         near = gaps <= rows.radii[:, None] + columns.radii[None, :] + reach + 1e-6
         if p is q:
             near = np.triu(near | np.eye(len(near), dtype=bool))
+        # pairs of single vectors are compared together, all others walked further
+        single = near & rows.single[:, None] & columns.single[None, :]
+        near &= ~single
+        i, j = np.nonzero(np.triu(single, 1) if p is q else single)
+        m, n = rows.centres[i], columns.centres[j]
+        linked = (x[m] * x[n]).sum(axis=1) / (norms[m] * norms[n]) >= cosine
+        links.pairs(m[linked], n[linked])
         todo += [(rows.children[i], columns.children[j]) for i, j in zip(*np.nonzero(near), strict=True)]
 
 
