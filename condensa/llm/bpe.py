@@ -52,9 +52,8 @@ class _Parts(dict):
         if found is None:
             word = part.rstrip(punctuation)
             if (word[1:] if word[:1] == " " else word).isalpha():
-                found = self._word(word)
-                if len(word) < len(part):
-                    found += self._word(part[len(word) :])
+                # a word met before with other marks behind it is not encoded again
+                found = self._word(word) if word == part else self[word] + self[part[len(word) :]]
             else:
                 ids = self.tokenizer.encode(part, add_special_tokens=False).ids
                 found = array("I", ids).tobytes()
