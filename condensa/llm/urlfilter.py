@@ -3,19 +3,21 @@
 Rules come first: the longest rule whose host is the URL's host or a parent domain of it and
 whose path starts the URL's path. Pages that a rule decided are the labels of the rest:
 
-1. The path's first segment is the branch below the host; segments that are numbers, hex
-   strings or dates are wildcards from the start (``{n}``, ``{x}``, ``{d}``), and so is a host's
-   literal branch that is one of many rare ones (``*``).
-2. A branch's profile counts its pages by label (blocked, allowed, unlabelled) and by the shape
-   of what follows. A branch is merged with its like: it joins the group of the labelled sibling
+1. Segments that are numbers, hex strings or dates are wildcards from the start (``{n}``,
+   ``{x}``, ``{d}``). The tree grows from the host down, a level a path segment; below each node,
+   literal branches that are some of many rare ones become one wildcard (``*``). The last level's
+   branch is all that is left of the path, so that no path is too deep.
+2. A branch's profile counts its pages by label (blocked, allowed, unlabelled) and by whether
+   the path goes on. A branch is merged with its like: it joins the group of the labelled sibling
    state that dominates it, if a chi-square test of homogeneity between the branch and all
-   branches of that group finds no difference. Branches with different profiles stay apart.
-3. A template (host and merged group) is rejected if the smoothed share of blocked pages among
-   its labelled ones reaches ``reject_at``; the prior counts as ``prior_allow`` allowed and
-   ``prior_block`` blocked pages, so a template without labels is allowed.
-
-Host statistics are pre-aggregated before any shuffle, so a host with a third of all pages
-costs no task more than the others.
+   branches of that group finds no difference. Branches with different profiles stay apart; the
+   next level grows below the merged ones.
+3. A template (host and merged branches down to the path's end) is rejected if the smoothed
+   share of blocked pages among its labelled ones reaches ``reject_at``; the prior counts as
+   ``prior_allow`` allowed and ``prior_block`` blocked pages, so a template without labels is allowed.
+
+Pages are counted by host and shape of path before any shuffle, and the tree is made of these
+counts, so a host with a third of all pages costs no task more than the others.
 """
 
 from __future__ import annotations
@@ -64,82 +66,92 @@ def _shape(segment: Column) -> Column:
     return F.when(kind.isNotNull(), F.concat(kind, tail)).otherwise(segment)
 
 
+def _distance(pairs: list[tuple[Column, Column]], n: Column, m: Column) -> Column:
+    """Chi-square of homogeneity of two profiles with sums n and m."""
+    total = F.lit(0.0)
+    for a, b in pairs:
+        both = (a + b).cast("double")
+        for seen, size in ((a, n), (b, m)):
+            due = both * size / (n + m)
+            total = total + F.when(due > 0, (seen - due) * (seen - due) / due).otherwise(0.0)
+    return total
+
+
+def _children(paths: DataFrame, many: int, rare: int) -> DataFrame:
+    """(node, branch, child): the template below ``node`` that each of its branches belongs to.
+
+    ``paths``: counts by label, with the node, branch and whether the path goes on (deeper).
+    """
+    counts = (*_STATES, "inner", "n")
+    tree = paths.groupBy("node", "branch").agg(
+        *[F.sum(c).alias(c) for c in (*_STATES, "n")], F.sum(F.when(F.col("deeper"), F.col("n")).otherwise(0)).alias("inner")
+    )
+    tree = staged(tree, "url-tree")
+    literal = ~F.col("branch").startswith("{") & (F.col("branch") != "")
+    width = staged(tree.groupBy("node").agg(F.count_if(literal).alias("literals")), "url-width")
+    wild = F.when((F.col("literals") > many) & (F.col("n") <= rare) & literal, "*").otherwise(F.col("branch"))
+    tree = tree.join(width, "node").withColumn("name", wild)
+    # the state that dominates a branch names the group that it may join
+    most = F.greatest(*_STATES)
+    state = F.when(F.col("blocked") == most, "blocked").when(F.col("allowed") == most, "allowed").otherwise("unlabelled")
+    named = tree.groupBy("node", "name").agg(*[F.sum(c).alias(c) for c in counts]).withColumn("state", state)
+    named = staged(named, "url-nodes")
+    groups = named.groupBy("node", "state").agg(*[F.sum(c).alias(f"g_{c}") for c in counts]).withColumnRenamed("state", "group")
+    # a branch against each group of its siblings, without itself where it is part of it
+    pairs = named.join(staged(groups, "url-groups"), "node")
+    own = F.when(F.col("state") == F.col("group"), 1).otherwise(0)
+    rest = {c: F.col(f"g_{c}") - own * F.col(c) for c in counts}
+    by_label = _distance([(F.col(c), rest[c]) for c in _STATES], F.col("n"), rest["n"])
+    by_shape = _distance([(F.col("inner"), rest["inner"]), (F.col("n") - F.col("inner"), rest["n"] - rest["inner"])], F.col("n"), rest["n"])
+    pairs = pairs.select("node", "name", "n", "group", F.coalesce(rest["n"], F.lit(0)).alias("rest"), F.greatest(by_label, by_shape).alias("distance"))
+    # a branch joins the larger group that it can't be told from; else it stays a template of its own
+    like = (F.col("rest") > 0) & (F.col("distance") <= _CHI2) & (F.col("rest") >= F.col("n"))
+    joined = pairs.groupBy("node", "name").agg(F.max(F.when(like, F.struct("rest", "group")))["group"].alias("group"))
+    child = F.concat("node", F.lit("/"), F.coalesce(F.concat(F.lit("<"), "group", F.lit(">")), F.col("name")))
+    joined = joined.select("node", "name", child.alias("child"))
+    return staged(tree.select("node", "branch", "name").join(joined, ["node", "name"]).select("node", "branch", "child"), "url-children")
+
+
 def judge(
-    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, many: int = 50, rare: int = 3,
+    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, depth: int = 3, many: int = 50, rare: int = 3,
     prior_allow: float = 2.0, prior_block: float = 1.0, reject_at: float = 0.5,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of each row.
 
-    ``many``: a host with more literal branches than this turns those of at most ``rare`` pages
-    into one wildcard. A null URL or one without ``://`` has an empty host and path and falls
-    under no rule; its template is that of the empty host, without labels, so it is allowed.
-    Ids pass through; repeated rows each count and each give a row; other columns are ignored.
+    ``depth``: the levels of the tree; ``many``: a node with more literal branches than this
+    turns those of at most ``rare`` pages into one wildcard. A null URL or one without ``://``
+    has an empty host and path and falls under no rule; its template is that of the empty
+    host, without labels, so it is allowed. Ids pass through; repeated rows each count and each
+    give a row; other columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     host, path = host_and_path(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
     rule, said = ruled(F.col("host"), F.col("path"), rules)
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = rows.withColumns({"rule": rule, "said": said, "seg": segments}).select(
-        "page_id", "host", "path", "rule", "said",
-        _shape(F.coalesce(F.get("seg", F.lit(0)), F.lit(""))).alias("branch"),
-        F.array_join(F.transform(F.slice("seg", 2, 100_000), lambda s: F.when(_shape(s) == s, "w").otherwise(_shape(s))), "/").alias("below"),
-    )
-    # the tree: counts of each branch by label; one row a branch after map-side sums
-    tree = rows.groupBy("host", "branch").agg(
+    steps = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), _shape)
+    rows = rows.withColumns({"rule": rule, "said": said, "shape": F.array_join(steps, "/")})
+    # one row a host and shape of path, after map-side sums
+    paths = rows.groupBy("host", "shape").agg(
         F.count_if(F.col("said") == "block").alias("blocked"), F.count_if(F.col("said") == "allow").alias("allowed"),
-        F.count_if(F.col("said").isNull()).alias("unlabelled"), F.approx_count_distinct("below").alias("shapes"),
-        F.count_if(F.col("below") != "").alias("inner"), F.count(F.lit(1)).alias("n"),
-    )
-    tree = staged(tree, "url-tree")
-    width = tree.groupBy("host").agg(F.count_if(~F.col("branch").startswith("{")).alias("literals"))
-    tree = tree.join(staged(width, "url-width"), "host").withColumn(
-        "node", F.when((F.col("literals") > many) & (F.col("n") <= rare) & ~F.col("branch").startswith("{"), "*").otherwise(F.col("branch"))
-    )
-    nodes = tree.groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in (*_STATES, "inner", "n")])
-    # the state that dominates a node names the group that it may join
-    most = F.greatest(*_STATES)
-    state = F.when(F.col("blocked") == most, "blocked").when(F.col("allowed") == most, "allowed").otherwise("unlabelled")
-    nodes = staged(nodes.withColumn("state", state), "url-nodes")
-    groups = staged(
-        nodes.groupBy("host", "state").agg(*[F.sum(c).alias(f"g_{c}") for c in (*_STATES, "inner", "n")]), "url-groups"
-    )
-
-    def distance(pairs: list[tuple[Column, Column]], n: Column, m: Column) -> Column:
-        """Chi-square of homogeneity of two profiles with sums n and m."""
-        total = F.lit(0.0)
-        for a, b in pairs:
-            both = (a + b).cast("double")
-            for seen, size in ((a, n), (b, m)):
-                due = both * size / (n + m)
-                total = total + F.when(due > 0, (seen - due) * (seen - due) / due).otherwise(0.0)
-        return total
-
-    # a node against each group of its host, without itself where it is part of it
-    pairs = nodes.join(groups.withColumnRenamed("state", "group"), "host")
-    own = F.when(F.col("state") == F.col("group"), 1).otherwise(0)
-    rest = {c: F.col(f"g_{c}") - own * F.col(c) for c in (*_STATES, "inner", "n")}
-    by_label = distance([(F.col(c), rest[c]) for c in _STATES], F.col("n"), rest["n"])
-    by_shape = distance([(F.col("inner"), rest["inner"]), (F.col("n") - F.col("inner"), rest["n"] - rest["inner"])], F.col("n"), rest["n"])
-    pairs = pairs.select(
-        "host", "node", "state", "n", *_STATES, "group", F.coalesce(rest["n"], F.lit(0)).alias("rest"),
-        F.greatest(by_label, by_shape).alias("distance"),
-    )
-    # a node joins the larger group that it can't be told from; else it stays a template of its own
-    rank = F.struct(F.col("rest"), F.col("group"))
-    like = (F.col("rest") > 0) & (F.col("distance") <= _CHI2) & (F.col("rest") >= F.col("n"))
-    joined = pairs.groupBy("host", "node").agg(
-        F.max(F.when(like, rank))["group"].alias("group"), *[F.max(c).alias(c) for c in (*_STATES, "n")], F.max("state").alias("state"),
+        F.count_if(F.col("said").isNull()).alias("unlabelled"), F.count(F.lit(1)).alias("n"),
     )
-    joined = joined.withColumn("template", F.concat(
-        "host", F.lit("/"), F.coalesce(F.concat(F.lit("<"), "group", F.lit(">")), F.col("node"))
-    ))
-    joined = staged(joined, "url-joined")
+    paths = staged(paths.withColumns({"node": F.col("host"), "left": F.col("shape")}), "url-paths")
+    for level in range(1, depth + 1):
+        cut = F.locate("/", F.col("left"))
+        ends = F.lit(True) if level == depth else cut == 0
+        paths = paths.withColumns({
+            "branch": F.when(ends, F.col("left")).otherwise(F.expr("left(`left`, locate('/', `left`) - 1)")),
+            "deeper": cut > 0,
+            "rest": F.when(ends, "").otherwise(F.expr("substr(`left`, locate('/', `left`) + 1)")),
+        })
+        # a path that has ended is a leaf of the level above
+        going = paths.where((F.col("left") != "") | F.lit(level == 1))
+        below = paths.join(_children(going, many, rare), ["node", "branch"], "left")
+        paths = staged(below.select("host", "shape", *_STATES, "n", F.coalesce("child", "node").alias("node"), F.col("rest").alias("left")), "url-level")
     purity = (F.sum("blocked") + prior_block) / (F.sum("blocked") + F.sum("allowed") + prior_block + prior_allow)
-    templates = staged(joined.groupBy("template").agg(purity.alias("purity")), "url-templates")
-    verdicts = tree.select("host", "branch", "node").join(joined.select("host", "node", "template"), ["host", "node"]).join(templates, "template")
-    verdicts = staged(verdicts.select("host", "branch", "template", "purity"), "url-verdicts")
+    templates = staged(paths.groupBy("node").agg(purity.alias("purity")), "url-templates")
+    verdicts = staged(paths.join(templates, "node").select("host", "shape", F.col("node").alias("template"), "purity"), "url-verdicts")
     method = F.when(F.coalesce("purity", F.lit(0.0)) >= reject_at, "block").otherwise("allow")
-    return rows.join(verdicts, ["host", "branch"], "left").select(
+    return rows.join(verdicts, ["host", "shape"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", "purity"
     )

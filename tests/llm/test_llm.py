@@ -83,6 +83,19 @@ def test_op3_rules_and_templates(spark):
     assert all(r.verdict in ("allow", "block") for r in got.values()) and urlfilter.judge(empty(pages)).count() == 0
 
 
+def test_op3_tree_below_the_first_segment(spark):
+    """A branch two levels down is told from its siblings by its own labels; rare names and ids are wildcards."""
+    rules = (("a.net/x/bad/", "block"), ("b.net/x/", "allow"))
+    urls = [f"http://a.net/x/bad/{k}" for k in range(30)] + [f"http://a.net/x/good/{k}" for k in range(30)] + [f"http://a.net/x/good/name{k}q" for k in range(60)]
+    urls += [f"http://b.net/x/{'/'.join('pqrstuv'[: k % 7])}" for k in range(40)] + ["http://a.net/x", "http://a.net"]
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()
+    assert len(got) == len(urls) and sorted(r.page_id for r in got) == list(range(len(urls)))
+    by = {r.page_id: r for r in got}
+    assert by[0].purity > 0.9 > 0.5 > by[30].purity and by[0].template != by[30].template
+    assert len({by[k].template for k in range(30)}) == 1 and len({by[k].template for k in range(60, 120)}) == 1
+    assert all(by[k].verdict == "block" for k in range(30)) and all(by[k].verdict == "allow" for k in range(30, len(urls)))
+
+
 def test_op3_native_plan(spark, sf_dir):
     plan = urlfilter.judge(table(spark, sf_dir, "pages"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
