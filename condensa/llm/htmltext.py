@@ -31,6 +31,8 @@ _FURNITURE = re.compile(
     r"search\w*|form|complementary|contentinfo|dialog)(?=$|[\s_-])",
     re.I,
 )
+#: The page's own header; those of an article (``entry-header`` ...) hold its title.
+_PAGE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|top|global)[_-])?header(?=$|\s)", re.I)
 _ARTICLE_MARK = re.compile(r"(?:^|\s)(?:main|article|articlebody)(?=$|\s)", re.I)
 _DROPPED = frozenset("nav footer aside form menu dialog button head select fieldset".split())
 _BLOCK = frozenset(
@@ -117,6 +119,7 @@ def lines(page: str) -> list[Line]:
         odd = name in _DROPPED or name == "header" and not article
         if not odd and attrs and name not in ("body", "html"):
             odd = not main and bool(marks and _FURNITURE.search(marks)) or bool(_HIDDEN.search(attrs))
+            odd = odd or not article and not main and bool(marks and _PAGE_HEADER.search(marks))
         if block or odd:
             if odd and not block:
                 flush()

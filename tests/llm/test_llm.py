@@ -163,6 +163,9 @@ def test_op6_main_text(spark):
     got = {r.page_id: r for r in htmltext.extract(df).collect()}
     assert got[1].text == "Head\nOne & two three.\nFour bold." and got[2].text == got[3].text == "" and got[4].n_chars == 5 * 20_000 - 1
     assert htmltext.extract(empty(df)).count() == 0
+    body = "word " * 60
+    page = f"<div id=header><p>The name of the site</p></div><div class=post><div class=post-header><h1>Head</h1></div><p>{body}</div><div class=footer>f</div>"
+    assert htmltext.main_text(page) == "Head\n" + body.strip()
 
 
 def _vector_classes(rows):
