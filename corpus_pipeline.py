@@ -15,8 +15,6 @@ from condensa.llm.shared import staged
 
 #: A document is rejected if no language reaches this probability, or it has no letters.
 LEAST_LANGUAGE = 0.4
-#: A document is rejected below this quality; lower than 0.5, so that clean ones stay.
-LEAST_QUALITY = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network, trained on the labelled ones, doesn't reject."""
     found = quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return found.where(F.col("score") >= LEAST_QUALITY).select(docs.columns)
+    return found.where(F.col("predicted") == 1).select(docs.columns)
 
 
 def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -292,3 +292,15 @@ def test_pipeline(spark, sf_dir):
     assert not found.where("contaminated").count()
     assert kept.count() > 0.5 * docs.count()
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_drops_what_the_classifier_rejects(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    kept = {r.doc_id for r in corpus_pipeline.good_quality(spark, docs, sf).select("doc_id").collect()}
+    found = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels)).select("doc_id", "held_out", "score", "predicted").join(labels, "doc_id", "left").collect()
+    assert any(0.25 <= r.score < 0.5 for r in found) and kept == {r.doc_id for r in found if r.predicted == 1}
+    held = {y: [r.doc_id not in kept for r in found if r.held_out and r.quality == y] for y in (0, 1)}
+    assert np.mean(held[0]) > 0.9 and np.mean(held[1]) < 0.01
