@@ -3,9 +3,10 @@
 Markup is stripped into lines, one a block element; lines in page furniture (menus, forms,
 scripts, adverts, comments ...) weigh nothing, links weigh nothing in their line. Sums of
 weights over a sliding window of lines surge where the article begins and dive where
-it ends; lines with weight between these points are the text. Where the page marks its article
-(``article``, ``main`` or their roles), the window looks at the marked part alone and any
-weight is a surge, as there is no furniture left to tell from text.
+it ends; all lines but furniture between these points are the text, link lists too. What counts
+as a surge is measured by the middle line of each window, so a single long line sets no
+threshold for the others. Where the page marks its article (``article``, ``main`` or their
+roles), all of the marked part but furniture is the text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""")
 _MARKS = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_MAY_HIDE = re.compile(r"hidden|none", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 #: Words of class, id or role that mark page furniture.
 _FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|comment\w*|disqus\w*|respond|replies|reply|side-?bar\w*|"
@@ -51,6 +54,21 @@ class Line:
     weight: int
     article: bool
     heading: bool
+    furniture: bool
+
+
+def _hidden(attrs: str) -> bool:
+    """Whether the attributes hide their element: by name, as a class of its own, or by style."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    for name, a, b, c in _ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), (a or b or c).lower()
+        if (
+            name == "hidden" and value != "false" or name == "aria-hidden" and value.strip() == "true"
+            or name == "class" and "hidden" in value.split() or name == "style" and _UNSEEN.search(value)
+        ):
+            return True
+    return False
 
 
 def lines(page: str) -> list[Line]:
@@ -69,7 +87,7 @@ def lines(page: str) -> list[Line]:
             if text:
                 furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
                 weight = 0 if furniture else max(0, len(text) - linked)
-                out.append(Line(text, 0 if 2 * linked > len(text) else weight, article, heading))
+                out.append(Line(text, 0 if 2 * linked > len(text) else weight, article, heading, furniture))
             buffer.clear()
         linked = 0
 
@@ -118,7 +136,7 @@ def lines(page: str) -> list[Line]:
         main = name in ("article", "main") or bool(marks and block and _ARTICLE_MARK.search(marks))
         odd = name in _DROPPED or name == "header" and not article
         if not odd and attrs and name not in ("body", "html"):
-            odd = not main and bool(marks and _FURNITURE.search(marks)) or bool(_HIDDEN.search(attrs))
+            odd = not main and bool(marks and _FURNITURE.search(marks)) or _hidden(attrs)
             odd = odd or not article and not main and bool(marks and _PAGE_HEADER.search(marks))
         if block or odd:
             if odd and not block:
@@ -133,7 +151,8 @@ def _between(weights: list[int], window: int, share: float) -> tuple[int, int]:
     """First and last line of the stretch from the first surge to the last dive; (0, -1) if none."""
     half = window // 2
     sums = [sum(weights[max(0, k - half) : k + half + 1]) for k in range(len(weights))]
-    floor = max(1.0, share * max(sums, default=0))
+    middle = [sorted(weights[max(0, k - half) : k + half + 1])[(min(k, half) + min(len(weights) - 1 - k, half)) // 2] for k in range(len(weights))]
+    floor = max(1.0, share * window * max(middle, default=0))
     over = [k for k, s in enumerate(sums) if s >= floor]
     if not over:
         return 0, -1
@@ -150,13 +169,12 @@ def main_text(page: str | None, window: int = 3, share: float = 0.2) -> str:
     if not page:
         return ""
     found = lines(page)
-    marked = [x for x in found if x.article and x.weight]
-    if marked:
-        found, share = [x for x in found if x.article], 0.0
+    if any(x.article and x.weight for x in found):
+        return "\n".join(x.text for x in found if x.article and not x.furniture)
     first, last = _between([x.weight for x in found], window, share)
     while first > 0 and found[first - 1].heading and found[first - 1].weight:
         first -= 1
-    return "\n".join(x.text for x in found[first : last + 1] if x.weight)
+    return "\n".join(x.text for x in found[first : last + 1] if not x.furniture)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = 3, share: float = 0.2) -> DataFrame:

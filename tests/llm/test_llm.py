@@ -304,3 +304,16 @@ def test_pipeline_drops_what_the_classifier_rejects(spark):
     assert any(0.25 <= r.score < 0.5 for r in found) and kept == {r.doc_id for r in found if r.predicted == 1}
     held = {y: [r.doc_id not in kept for r in found if r.held_out and r.quality == y] for y in (0, 1)}
     assert np.mean(held[0]) > 0.9 and np.mean(held[1]) < 0.01
+
+
+def test_op6_keeps_the_whole_article():
+    body = "word " * 60
+    for attrs in ('class="post overflow-hidden"', 'style="overflow:hidden"', 'title="the hidden valley"', "data-hidden=no"):
+        assert htmltext.main_text(f"<div {attrs}><p>{body}</div>") == body.strip()
+    for attrs in ("hidden", 'class="post hidden"', 'style="color:red; display: none"', "style=visibility:hidden", 'aria-hidden="true"'):
+        assert htmltext.main_text(f"<p>{body}<div {attrs}><p>gone</div>") == body.strip()
+    sizes = (100, 100, 100, 50_000, 100, 100)
+    assert [len(x) for x in htmltext.main_text("".join(f"<p>{'x' * n}</p>" for n in sizes)).split("\n")] == list(sizes)
+    page = f"<article><p>{body}<p><a href=x>A list of links</a><p>{body}<p><a href=y>More of them</a></article><p>after"
+    assert htmltext.main_text(page) == f"{body.strip()}\nA list of links\n{body.strip()}\nMore of them"
+    assert htmltext.main_text(f"<div><p>{body}<p><a href=x>A list of links</a><p>{body}</div>") == f"{body.strip()}\nA list of links\n{body.strip()}"
