@@ -7,11 +7,12 @@ whose path starts the URL's path. Pages that a rule decided are the labels of th
    ``{x}``, ``{d}``). The tree grows from the host down, a level a path segment; below each node,
    literal branches that are some of many rare ones become one wildcard (``*``). The last level's
    branch is all that is left of the path, so that no path is too deep.
-2. A branch's profile counts its pages by label (blocked, allowed, unlabelled) and by whether
-   the path goes on. A branch is merged with its like: it joins the group of the labelled sibling
-   state that dominates it, if a chi-square test of homogeneity between the branch and all
-   branches of that group finds no difference. Branches with different profiles stay apart; the
-   next level grows below the merged ones.
+2. A branch's profile counts its labelled pages by label, and all of its pages by the shape of what
+   is below: whether and how far the path goes on, and the form of the next segment. The largest
+   blocked, allowed and unlabelled branch of a node lead. A branch of the same form is merged with
+   the leader most like it, a labelled one first, if chi-square tests of homogeneity find no
+   difference; a branch without labels is told by its shape alone. Leaders alike are merged too.
+   Branches with different profiles stay apart; the next level grows below the merged ones.
 3. A template (host and merged branches down to the path's end) is rejected if the smoothed
    share of blocked pages among its labelled ones reaches ``reject_at``; the prior counts as
    ``prior_allow`` allowed and ``prior_block`` blocked pages, so a template without labels is allowed.
@@ -34,8 +35,9 @@ RULES = (
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STATES = ("blocked", "allowed", "unlabelled")
-#: 0.999 quantile of chi-square with 2 degrees of freedom.
-_CHI2 = 13.816
+_FORMS = ("end", "{n}", "{x}", "{d}", "literal")
+#: 0.999 quantiles of chi-square by the number of classes, for two profiles.
+_CHI2 = {2: 10.828, 5: 18.467}
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -66,60 +68,77 @@ def _shape(segment: Column) -> Column:
     return F.when(kind.isNotNull(), F.concat(kind, tail)).otherwise(segment)
 
 
-def _distance(pairs: list[tuple[Column, Column]], n: Column, m: Column) -> Column:
-    """Chi-square of homogeneity of two profiles with sums n and m."""
+def _distance(pairs: list[tuple[Column, Column]]) -> Column:
+    """Chi-square of homogeneity of two profiles, as a share of its 0.999 quantile; zero if one has no pages."""
+    n, m = sum((a for a, _ in pairs), F.lit(0)), sum((b for _, b in pairs), F.lit(0))
     total = F.lit(0.0)
     for a, b in pairs:
-        both = (a + b).cast("double")
         for seen, size in ((a, n), (b, m)):
-            due = both * size / (n + m)
+            due = F.try_divide((a + b).cast("double") * size, n + m)
             total = total + F.when(due > 0, (seen - due) * (seen - due) / due).otherwise(0.0)
-    return total
+    return total / _CHI2[len(pairs)]
 
 
-def _children(paths: DataFrame, many: int, rare: int) -> DataFrame:
+def _form(segment: Column) -> Column:
+    """The wildcard that a segment is, ``end`` for an empty one, else ``literal``."""
+    return F.when(segment == "", "end").when(segment.startswith("{"), F.substring(segment, 1, 3)).otherwise("literal")
+
+
+def _children(paths: DataFrame, many: int, rare: float) -> DataFrame:
     """(node, branch, child): the template below ``node`` that each of its branches belongs to.
 
-    ``paths``: counts by label, with the node, branch and whether the path goes on (deeper).
+    ``paths``: counts by label, with the node, branch, whether the path goes on (deeper) and what is below the branch (rest).
     """
-    counts = (*_STATES, "inner", "n")
+    forms = {f"f{k}": f for k, f in enumerate(_FORMS)}
+    counts = ("blocked", "allowed", "n", "inner", "further", *forms)
+    pages = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     tree = paths.groupBy("node", "branch").agg(
-        *[F.sum(c).alias(c) for c in (*_STATES, "n")], F.sum(F.when(F.col("deeper"), F.col("n")).otherwise(0)).alias("inner")
+        *[F.sum(c).alias(c) for c in ("blocked", "allowed", "n")], pages(F.col("deeper")).alias("inner"),
+        pages(F.locate("/", F.col("rest")) > 0).alias("further"), *[pages(_form(F.col("rest")) == f).alias(c) for c, f in forms.items()],
+    )
+    tree = staged(tree.withColumn("form", _form(F.col("branch"))), "url-tree")
+    literal = F.col("form") == "literal"
+    width = tree.groupBy("node").agg(F.count_if(literal).alias("literals"), F.sum(F.when(literal, F.col("n")).otherwise(0)).alias("pages"))
+    # a rare branch has at most ``rare`` times the mean pages of its node's literal ones; labelled ones keep their names
+    seldom = literal & (F.col("n") * F.col("literals") <= F.col("pages") * rare) & (F.col("blocked") + F.col("allowed") == 0)
+    tree = tree.join(staged(width, "url-width"), "node").withColumn("name", F.when((F.col("literals") > many) & seldom, "*").otherwise(F.col("branch")))
+    # a branch's labelled pages say what it is
+    state = F.when((F.col("blocked") > 0) & (F.col("blocked") >= F.col("allowed")), "blocked").when(F.col("allowed") > 0, "allowed").otherwise("unlabelled")
+    named = staged(tree.groupBy("node", "form", "name").agg(*[F.sum(c).alias(c) for c in counts]).withColumn("state", state), "url-nodes")
+    known = (F.col("state") != "unlabelled").cast("int")
+    # the largest branch of each state leads; three a node and form at most
+    leaders = named.groupBy("node", "form", "state").agg(F.max(F.struct(known.alias("known"), "n", "name", *[c for c in counts if c != "n"])).alias("lead"))
+    pairs = named.join(staged(leaders.drop("state"), "url-leaders"), ["node", "form"])
+    both = lambda c: (F.col(c), F.col(f"lead.{c}"))
+    other = lambda c: (F.col("n") - F.col(c), F.col("lead.n") - F.col(f"lead.{c}"))
+    distance = F.greatest(
+        _distance([both("blocked"), both("allowed")]), _distance([both("inner"), other("inner")]),
+        _distance([both("further"), other("further")]), _distance([both(c) for c in forms]),
     )
-    tree = staged(tree, "url-tree")
-    literal = ~F.col("branch").startswith("{") & (F.col("branch") != "")
-    width = staged(tree.groupBy("node").agg(F.count_if(literal).alias("literals")), "url-width")
-    wild = F.when((F.col("literals") > many) & (F.col("n") <= rare) & literal, "*").otherwise(F.col("branch"))
-    tree = tree.join(width, "node").withColumn("name", wild)
-    # the state that dominates a branch names the group that it may join
-    most = F.greatest(*_STATES)
-    state = F.when(F.col("blocked") == most, "blocked").when(F.col("allowed") == most, "allowed").otherwise("unlabelled")
-    named = tree.groupBy("node", "name").agg(*[F.sum(c).alias(c) for c in counts]).withColumn("state", state)
-    named = staged(named, "url-nodes")
-    groups = named.groupBy("node", "state").agg(*[F.sum(c).alias(f"g_{c}") for c in counts]).withColumnRenamed("state", "group")
-    # a branch against each group of its siblings, without itself where it is part of it
-    pairs = named.join(staged(groups, "url-groups"), "node")
-    own = F.when(F.col("state") == F.col("group"), 1).otherwise(0)
-    rest = {c: F.col(f"g_{c}") - own * F.col(c) for c in counts}
-    by_label = _distance([(F.col(c), rest[c]) for c in _STATES], F.col("n"), rest["n"])
-    by_shape = _distance([(F.col("inner"), rest["inner"]), (F.col("n") - F.col("inner"), rest["n"] - rest["inner"])], F.col("n"), rest["n"])
-    pairs = pairs.select("node", "name", "n", "group", F.coalesce(rest["n"], F.lit(0)).alias("rest"), F.greatest(by_label, by_shape).alias("distance"))
-    # a branch joins the larger group that it can't be told from; else it stays a template of its own
-    like = (F.col("rest") > 0) & (F.col("distance") <= _CHI2) & (F.col("rest") >= F.col("n"))
-    joined = pairs.groupBy("node", "name").agg(F.max(F.when(like, F.struct("rest", "group")))["group"].alias("group"))
-    child = F.concat("node", F.lit("/"), F.coalesce(F.concat(F.lit("<"), "group", F.lit(">")), F.col("name")))
-    joined = joined.select("node", "name", child.alias("child"))
+    # labelled leaders come before the others, larger ones before smaller: every pair is asked one way only
+    above = F.struct("lead.known", "lead.n", "lead.name") > F.struct(known.alias("known"), "n", "name")
+    best = F.max(F.when(above & (distance <= 1), F.struct("lead.known", (-distance).alias("near"), "lead.n", "lead.name")))["name"]
+    picked = staged(pairs.groupBy("node", "form", "name", "n").agg(best.alias("head"), F.bool_or(F.col("lead.name") == F.col("name")).alias("leads")), "url-picked")
+    up = picked.where(F.col("leads") & F.col("head").isNotNull()).select("node", "form", F.col("name").alias("head"), F.col("head").alias("next"))
+    up = staged(up, "url-up")
+    for _ in range(2):  # a leader may have joined another, and that one the third
+        picked = picked.join(up, ["node", "form", "head"], "left").withColumn("head", F.coalesce("next", "head")).drop("next")
+    led = staged(picked.where(F.col("head").isNotNull()).select("node", "form", F.col("head").alias("name"), F.lit(True).alias("joined")).distinct(), "url-led")
+    # the head is in its template too
+    picked = picked.join(led, ["node", "form", "name"], "left")
+    head = F.when(F.col("head").isNotNull() | F.col("joined"), F.concat(F.lit("<"), F.coalesce("head", "name"), F.lit(">"))).otherwise(F.col("name"))
+    joined = picked.select("node", "name", F.concat("node", F.lit("/"), head).alias("child"))
     return staged(tree.select("node", "branch", "name").join(joined, ["node", "name"]).select("node", "branch", "child"), "url-children")
 
 
 def judge(
-    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, depth: int = 3, many: int = 50, rare: int = 3,
+    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, depth: int = 3, many: int = 50, rare: float = 3,
     prior_allow: float = 2.0, prior_block: float = 1.0, reject_at: float = 0.5,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of each row.
 
     ``depth``: the levels of the tree; ``many``: a node with more literal branches than this
-    turns those of at most ``rare`` pages into one wildcard. A null URL or one without ``://``
+    turns the unlabelled ones of at most ``rare`` times their mean pages into one wildcard. A null URL or one without ``://``
     has an empty host and path and falls under no rule; its template is that of the empty
     host, without labels, so it is allowed. Ids pass through; repeated rows each count and each
     give a row; other columns are ignored.

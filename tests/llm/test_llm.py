@@ -317,3 +317,14 @@ def test_op6_keeps_the_whole_article():
     page = f"<article><p>{body}<p><a href=x>A list of links</a><p>{body}<p><a href=y>More of them</a></article><p>after"
     assert htmltext.main_text(page) == f"{body.strip()}\nA list of links\n{body.strip()}\nMore of them"
     assert htmltext.main_text(f"<div><p>{body}<p><a href=x>A list of links</a><p>{body}</div>") == f"{body.strip()}\nA list of links\n{body.strip()}"
+
+
+@pytest.mark.parametrize("times", [1, 20])
+def test_op3_labels_reach_branches_of_the_same_shape(spark, times):
+    rules = (("a.net/es/", "block"), ("a.net/fr/", "block"), ("a.net/en/", "allow"))
+    urls = [f"http://a.net/{b}/{k}" for b, n in (("es", 10), ("fr", 3), ("de", 8)) for k in range(n * times)]
+    urls += [f"http://a.net/{b}/p/word{k}" for b, n in (("en", 12), ("it", 9)) for k in range(n * times)]
+    got = {}
+    for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect():
+        got.setdefault(r.path.split("/")[1], set()).add((r.template.split("/")[1], r.verdict))
+    assert got["es"] == got["fr"] == got["de"] == {("<es>", "block")} and {v for _, v in got["it"] | got["en"]} == {"allow"}
