@@ -11,38 +11,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from condensa.llm import decontaminate, langid, minhash, packing, quality
-from condensa.llm.shared import staged
+from condensa.llm.shared import marked, staged
 
 #: A document is rejected if no language reaches this probability, or it has no letters.
 LEAST_LANGUAGE = 0.4
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """The columns under other names, so that an operator's own ones don't clash with any of them."""
+    return docs.toDF(*[f"in_{c}" for c in docs.columns])
+
+
+def _back(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select([F.col(f"in_{c}").alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier, trained on them, can tell."""
-    found = langid.identify(docs, langid.train(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(docs.columns)
+    """Documents whose language the classifier, trained on them, can tell.
+
+    Documents without a letter (null and empty ones too) go. Rows are judged one by one: repeated
+    rows share their fate. An empty table stays empty.
+    """
+    found = langid.identify(_apart(docs), langid.train(docs), id_col="in_doc_id", text_col="in_text")
+    return _back(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)), docs)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality network, trained on the labelled ones, doesn't reject."""
-    found = quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return found.where(F.col("predicted") == 1).select(docs.columns)
+    """Documents that the quality network, trained on the labelled ones, doesn't reject.
+
+    Rows are judged one by one, by their text only; a null text counts as an empty one. Without labels nothing is rejected.
+    """
+    found = quality.score(_apart(docs), quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), id_col="in_doc_id", text_col="in_text")
+    return _back(found.where(F.col("predicted") == 1), docs)
 
 
 def distinct_enough(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    found = minhash.near_duplicates(docs)
-    again = staged(found.where(~F.col("kept")).select("doc_id").distinct(), "repeated")
-    return docs.join(again, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-duplicates: of the document with the smallest id.
+
+    Rows that repeat an id are one document, of which the row with the least hash stays. A row without an id
+    goes if a document with an id is like it, or a row without one like it stays. Rows without words are like no other, but
+    repeated ids count there too. Only rows in question are shuffled.
+    """
+    key = F.coalesce(F.col("in_doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("in_text"), F.lit(1 << 62)))
+    rows = _apart(docs).withColumn("key", key)
+    found = minhash.near_duplicates(rows, id_col="key", text_col="in_text")
+    odd = found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
+    odd = staged(odd.select(F.col("doc_id").alias("key"), "kept"), "repeated")
+    rows = marked(rows, odd, "key", "odd")
+    asked = rows.where("odd").join(odd.hint("merge"), "key", "left")
+    row = F.struct(*[f"in_{c}" for c in docs.columns])
+    first = asked.where("kept").groupBy("key").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
+    return _back(rows.where("not odd"), docs).unionByName(_back(asked.where("kept is null"), docs)).unionByName(_back(first, docs))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item. Null and wordless texts hold none; repeated rows share their fate."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in their training sequences."""
+    """The pieces of the documents in their training sequences; a null text is just its end id, repeated rows are each packed."""
     return packing.pack_documents(docs)
 
 

@@ -146,7 +146,7 @@ def test_op5_open_buckets(spark):
             w[k] = f"z{rng.integers(1000)}"
         rows.append((i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, block=32).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, block=32, block_chars=20_000).collect()}
     assert got == _jaccard_classes(rows)
 
 
@@ -328,3 +328,38 @@ def test_op3_labels_reach_branches_of_the_same_shape(spark, times):
     for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect():
         got.setdefault(r.path.split("/")[1], set()).add((r.template.split("/")[1], r.verdict))
     assert got["es"] == got["fr"] == got["de"] == {("<es>", "block")} and {v for _, v in got["it"] | got["en"]} == {"allow"}
+
+
+def test_pipeline_odd_rows(spark, sf_dir):
+    """Repeated rows, rows without an id, clashing names and empty tables in each filtering stage."""
+    import corpus_pipeline
+
+    names = ["score", "held_out", "lang_pred", "predicted", "_key"]
+    docs = table(spark, sf_dir, "documents")
+    columns = docs.columns
+    docs = docs.withColumns({c: F.lit(-7.0) for c in names})
+    once = docs.orderBy("doc_id").limit(30)
+    lone = once.withColumn("doc_id", F.lit(None).cast("long"))
+    odd = docs.limit(4).withColumns({"doc_id": F.lit(10**6) + F.col("doc_id"), "text": F.lit(None).cast("string")})
+    many = once.unionByName(once).unionByName(lone.where("text is not null").limit(5)).unionByName(odd)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, many, sf_dir).cache()
+        assert got.columns == docs.columns and got.where(" or ".join(f"{c} <> -7.0" for c in names)).count() == 0, name
+        assert stage(spark, many.where("false"), sf_dir).count() == 0, name
+    classes = _jaccard_classes([(r.doc_id, r.text) for r in once.collect()])
+    got = corpus_pipeline.distinct_enough(spark, many, sf_dir).collect()
+    want = sorted([i for i, (_, root) in classes.items() if i == root] + [r.doc_id for r in odd.collect()])
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == want and all(r.doc_id is not None for r in got)
+    alone = lone.unionByName(lone).where("text is not null")
+    kept = corpus_pipeline.distinct_enough(spark, alone, sf_dir).collect()
+    texts = [r.text for r in kept]
+    assert kept and len(set(texts)) == len(texts) == sum(i == root for i, (_, root) in _jaccard_classes(list(enumerate({r.text for r in alone.collect()}))).items())
+    assert corpus_pipeline.packed(spark, many.select(columns), sf_dir).where("doc_id is null").count() >= 5
+
+
+def test_op5_rows_that_repeat_an_id(spark):
+    """An id whose rows differ in text ties what is like either of them."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(9, a), (9, b), (4, a + " x"), (12, b + " y"), (9, a), (20, "")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(9, 4, False), (4, 4, True), (12, 4, False), (20, 20, True)}
