@@ -247,7 +247,7 @@ def _groups(rows: DataFrame, scratch: Scratch, most: int, weight: Column) -> Dat
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, block: int = 1024, block_chars: int = 1 << 22,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, block: int = 1024, block_chars: int = 1 << 19,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row.
 
