@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from condensa.functions.fixed import HTML_HINTS, LEVEL_WORDS
+from condensa.functions.fixed import HTML_HINTS, HTML_TAG, LOG_LINE, LOG_PREFIX, MARKUP
 from condensa.functions.text import full_lines, let, strip
 
-LOG_LINE = r"(?i)^\s*(\d{4}-\d{2}-\d{2}[ t]\d{2}:\d{2}|\[\d{2}:\d{2}:\d{2}\]|(" + "|".join(LEVEL_WORDS) + r")\b)"
 #: In the order in which they are tried for typing, and for choosing a table's delimiter.
 DELIMITERS, TABLE_DELIMITERS = ("\t", ",", "|"), ("\t", "|", ",")
 
@@ -17,13 +16,24 @@ def occurrences(line: Column, of: str) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(of), F.lit("")))
 
 
+def json_value(c: Column) -> Column:
+    """The JSON value (a variant) that a text is as a whole; null if it isn't one.
+
+    Spark's parser reads the first value of a text and ignores what follows, so the text is parsed as the only item of a
+    list and as a field: no text can close both too early.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+    field = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return F.when(field.isNotNull(), let(items, lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0)))))
+
+
 def is_json(c: Column) -> Column:
     """A whole text that is one JSON object or list."""
-    return F.substring(F.ltrim(c, F.lit(" \t\n\r")), 1, 1).isin("{", "[") & F.try_parse_json(c).isNotNull()
+    return F.when(F.substring(F.ltrim(c, F.lit(" \t\n\r")), 1, 1).isin("{", "["), json_value(c).isNotNull()).otherwise(False)
 
 
 def is_html(c: Column) -> Column:
-    return c.rlike("(?i)" + HTML_HINTS) | (F.regexp_count(c, F.lit(r"<[a-zA-Z/][^>]{0,200}>")) >= 5)
+    return c.rlike("(?i)" + HTML_HINTS) | (F.regexp_count(c, F.lit(HTML_TAG)) >= 5)
 
 
 def log_lines(lines: Column) -> Column:
@@ -62,11 +72,6 @@ def delimiter(rows: Column) -> Column:
     return let(F.slice(rows, 1, 10), choose)
 
 
-#: A reader must see a whole value; a severed table or log line is not parseable.
-LOG_PREFIX = r"(?i)^\s*\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}\s+(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b"
-MARKUP = r"(?i)</?(?:script|style|div|span|nav|header|footer|li|ul|a|p)\b"
-
-
 def parseable(text: Column, kind: Column) -> Column:
     """Whether a text as a whole still parses as its kind; plain text always does.
 
@@ -74,7 +79,7 @@ def parseable(text: Column, kind: Column) -> Column:
     must be as wide as its header, with two columns and one row at least and a header that isn't all numbers.
     """
     whole = strip(text)
-    json = F.try_parse_json(whole).isNotNull() | F.try_parse_json(F.regexp_replace(whole, r"\n[^\n]*$", "")).isNotNull()
+    json = json_value(whole).isNotNull() | json_value(F.regexp_replace(whole, r"\n[^\n]*$", "")).isNotNull()
     unquoted = lambda s: F.regexp_replace(s, r'"[^"]*"', "q")  # noqa: E731  a quoted cell may hold commas
 
     def rectangular(rows: Column) -> Column:

@@ -15,6 +15,11 @@ LEVEL_WORDS = "trace debug info warn warning error err fatal critical".split()
 #: Elements without article text, and elements that start a new block.
 SKIPPED = "script style noscript template svg canvas head nav header footer aside form button".split()
 BLOCKS = "p div section article li tr br h1 h2 h3 h4 h5 h6 pre blockquote td th".split()
+#: How a line of a log begins, strictly (for typing) and when a reader must see it whole (for parsing).
+LOG_LINE = r"(?i)^\s*(\d{4}-\d{2}-\d{2}[ t]\d{2}:\d{2}|\[\d{2}:\d{2}:\d{2}\]|(trace|debug|info|warn|warning|error|err|fatal|critical)\b)"
+LOG_PREFIX = r"(?i)^\s*\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}\s+(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b"
+MARKUP = r"(?i)</?(?:script|style|div|span|nav|header|footer|li|ul|a|p)\b"
+HTML_TAG = r"<[a-zA-Z/][^>]{0,200}>"
 HTML_HINTS = r"<!doctype html|<html[\s>]|<body[\s>]|<div[\s>]|<p[\s>]"
 #: BM25 constants, the part of the best score below which records fall off, and sizes in tokens, words and records.
 K1, B = 1.5, 0.75

@@ -52,9 +52,14 @@ def full_lines(c: Column) -> Column:
     return F.filter(lines(c), lambda s: strip(s) != "")
 
 
+def content_key(c: Column) -> Column:
+    """The content address of a text: its SHA-1 in hex."""
+    return F.sha1(F.encode(c, "UTF-8"))
+
+
 def content_ref(c: Column) -> Column:
-    """The content address of a text: 8 hex digits of its SHA-1."""
-    return F.substring(F.sha1(F.encode(c, "UTF-8")), 1, 8)
+    """The short content address that is shown: the first 8 digits."""
+    return F.substring(content_key(c), 1, 8)
 
 
 def words(c: Column) -> Column:
@@ -95,9 +100,17 @@ def paragraphs(text: Column) -> Column:
     return capped(let(blocks, lambda b: F.when(F.size(b) > 1, b).otherwise(by_line)))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(v: Column) -> Column:
+    """A vector scaled to length 1; all zeros stay."""
+    return let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 if either is all zeros."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from condensa.functions.text import line_windows, token_count
 from condensa.operators.budget import costs, ranked, take_what_fits
-from condensa.operators.compress import compress_text
-from condensa.operators.score import with_scores
+from condensa.operators.compress import compress
+from condensa.operators.score import with_cosine, with_scores
 
 
 def head(c: Column, budget: int | Column) -> Column:
@@ -53,22 +53,42 @@ def top_regions(df: DataFrame, query, *, payload: str = "payload", out: str = "a
     return df.drop("chunks", "scores", "_cost", "_items")
 
 
-def _passing(run: Callable) -> Callable:
-    """Payloads within the budget pass unchanged."""
-    def out(df: DataFrame, budget, query=None, *, payload: str = "payload", out: str = "body") -> DataFrame:
-        df = df.withColumn("_in", F.when(token_count(F.col(payload)) > F.lit(budget), F.col(payload)))
-        df = run(df, budget, query, payload="_in", out=out)
-        return df.withColumn(out, F.coalesce(out, F.col(payload))).drop("_in")
+def routed(*, forced_type: str | None = None, neighbour: int = 1, floor: float | None = None, recovery: bool = False) -> Callable:
+    """The router as a method: the text alone, or with the reference to the original below it (``recovery``)."""
+    def run(df: DataFrame, budget, query=None, *, payload: str = "payload", out: str = "body") -> DataFrame:
+        df = compress(df, budget, query, payload=payload, forced_type=forced_type, with_footer=recovery, store=recovery, neighbour=neighbour, floor=floor)
+        return df.withColumn(out, F.when(F.col(payload).isNotNull(), F.col("result.text"))).drop("result")
 
-    return out
+    return run
 
 
-METHODS: dict[str, Callable] = {
+def vector_windows(embed: Callable[[Column], Column], **options) -> Callable:
+    """Retrieval by vectors: ``best_windows`` with the cosine of window and query, both embedded by ``embed`` (a column function
+    from an array of texts to an array of vectors)."""
+    def scorer(df: DataFrame, query) -> DataFrame:
+        asked = query if isinstance(query, Column) else F.lit(query)
+        df = df.withColumns({"_vectors": embed(F.col("chunks")), "_asked": F.get(embed(F.array(asked)), F.lit(0))})
+        return with_cosine(df, "_vectors", F.col("_asked"), **options).drop("_vectors", "_asked")
+
+    def run(df: DataFrame, budget, query=None, *, payload: str = "payload", out: str = "body") -> DataFrame:
+        return best_windows(df, budget, query, payload=payload, out=out, scorer=scorer)
+
+    return run
+
+
+#: The compressor's parts, turned on one after the other.
+RUNGS: dict[str, Callable] = {
+    "flat": routed(forced_type="text", neighbour=0, floor=0.0), "routed": routed(neighbour=0, floor=0.0), "cliff": routed(neighbour=0), "condense": routed(),
+}
+METHODS: dict[str, Callable] = RUNGS | {
     "full": lambda df, budget, query=None, payload="payload", out="body": df.withColumn(out, F.col(payload)),
     "head": lambda df, budget, query=None, payload="payload", out="body": df.withColumn(out, head(F.col(payload), budget)),
     "tail": lambda df, budget, query=None, payload="payload", out="body": df.withColumn(out, tail(F.col(payload), budget)),
     "windows": best_windows,
-    "condense": _passing(compress_text),
-    "condense-bare": _passing(lambda df, budget, query=None, **o: compress_text(df, budget, query, neighbour=0, **o)),
-    "condense-wide": _passing(lambda df, budget, query=None, **o: compress_text(df, budget, query, neighbour=3, **o)),
+    "recovery": routed(recovery=True),
+    "condense-fill": routed(floor=0.0),
+    "condense-bare": routed(neighbour=0),
+    "condense-wide": routed(neighbour=3),
 }
+#: Those that need neither a model nor a store.
+DEFAULT_METHODS = ("full", "head", "tail", "windows", "condense")

@@ -6,6 +6,8 @@ within the budget already is never cut into chunks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,51 +125,70 @@ def compress_tabular(df: DataFrame, budget: int | Column, query=None, *, payload
     return df.drop("_lines", "chunks", "scores", "_cost", "_header", "_items", "_kept")
 
 
-def footer(original: Column, now: Column, ref: Column) -> Column:
-    return F.format_string("\n[condensed %d -> %d tokens; whole text: expand(%s)]", original, now, ref)
+#: What stands below a compressed text; {original}, {compressed} and {ref} are filled in.
+FOOTER = "\n[condensed {original} -> {compressed} tokens; whole text: expand({ref})]"
+
+
+def footer(original: Column, now: Column, ref: Column, template: str = FOOTER) -> Column:
+    values = {"{original}": original.cast("string"), "{compressed}": now.cast("string"), "{ref}": ref}
+    parts = re.split(r"(\{(?:original|compressed|ref)\})", template)
+    return F.concat(*[values.get(p, F.lit(p)) for p in parts])
 
 
-def body_budget(budget: int, with_footer: bool) -> int:
+def body_budget(budget: int | Column, with_footer: bool) -> Column:
     """What is left for the text: a footer takes 24 tokens, but 16 stay at least."""
-    return max(16, budget - 24) if with_footer else budget
+    budget = F.lit(budget).cast("int")
+    return F.greatest(F.lit(16), budget - 24) if with_footer else budget
 
 
 def compress(
-    df: DataFrame, budget: int, query: str | Column | None = None, *, payload: str = "payload", forced_type: str | None = None,
-    with_footer: bool = True, store: bool = True, neighbour: int = 1, scorer=None, floor: float | None = None,
+    df: DataFrame, budget: int | Column, query: str | Column | None = None, *, payload: str = "payload", forced_type: str | None = None,
+    with_footer: bool = True, store: bool = True, neighbour: int = 1, scorer=None, floor: float | None = None, template: str = FOOTER,
 ) -> DataFrame:
-    """The router: each payload by its kind, in one pass over the table.
+    """The router: each payload by its kind.
 
     Adds the struct ``result`` (text, content_type, original_tokens, compressed_tokens, ref,
     compressed, saved_tokens, saved_ratio). Payloads within the budget (null and empty ones too) pass
-    unchanged, without reference and footer. An unknown forced type is treated as prose under its own name.
+    unchanged, without reference and footer. An unknown forced type is treated as prose under its own name. JSON payloads over the
+    budget go through the one Arrow function apart from all others, whose plan holds column functions only.
     """
-    room = body_budget(budget, with_footer)
-    original = token_count(F.col(payload))
-    over = original > budget
-    kind = F.lit(forced_type) if forced_type else detect.content_type(F.col(payload))
-    df = df.withColumns({"_over": over, "_tokens_in": original}).withColumn("_kind", kind)
-    known = ("json", "html", "logs", "tabular")
-    lane = F.when(F.col("_kind").isin(*known), F.col("_kind")).otherwise("text")
-    for name in ("text", *known):  # null in all lanes but its own
-        df = df.withColumn(f"_{name}", F.when(F.col("_over") & (lane == name), F.col(payload)))
-    for name, run in (("text", compress_text), ("html", compress_html), ("logs", compress_logs), ("tabular", compress_tabular)):
-        more = {"neighbour": neighbour} if name in ("text", "html") else {}
-        df = run(df, room, query, payload=f"_{name}", out=f"_{name}_out", scorer=scorer, **more)
-    asked = query if isinstance(query, Column) else F.lit(query or "")
-    df = df.withColumn("_json_out", F.when(F.col("_json").isNotNull(), json_tree.json_ladder(room, floor)(F.col("_json"), asked)))
-    body = F.coalesce(*[F.col(f"_{name}_out") for name in ("text", *known)])
-    df = df.withColumn("_body", F.when(F.col("_over"), body))
+    over = token_count(F.col(payload)) > budget
+    lanes = {"neighbour": neighbour, "scorer": scorer, "floor": floor}
+    if forced_type:
+        native = forced_type != "json"
+        out = _routed(df, budget, query, payload, F.lit(forced_type), native, with_footer, store, template, **lanes)
+        return out
+    tree = F.coalesce(over & detect.is_json(F.col(payload)), F.lit(False))
+    kind = detect.content_type(F.col(payload))
+    return _routed(df.where(~tree), budget, query, payload, kind, True, with_footer, store, template, **lanes).unionByName(
+        _routed(df.where(tree), budget, query, payload, F.lit("json"), False, with_footer, store, template, **lanes)
+    )
+
+
+def _routed(df, budget, query, payload, kind, native, with_footer, store, template, *, neighbour, scorer, floor) -> DataFrame:
+    room, original = body_budget(budget, with_footer), token_count(F.col(payload))
+    df = df.withColumns({"_room": room, "_over": original > budget, "_tokens_in": original, "_kind": kind})
+    if native:
+        known = ("html", "logs", "tabular")
+        lane = F.when(F.col("_kind").isin(*known), F.col("_kind")).otherwise("text")
+        runs = (("text", compress_text), ("html", compress_html), ("logs", compress_logs), ("tabular", compress_tabular))
+        for name, _ in runs:  # null in all lanes but its own
+            df = df.withColumn(f"_{name}", F.when(F.col("_over") & (lane == name), F.col(payload)))
+        for name, run in runs:
+            more = {"neighbour": neighbour} if name in ("text", "html") else {}
+            df = run(df, F.col("_room"), query, payload=f"_{name}", out=f"_{name}_out", scorer=scorer, **more)
+        df = df.withColumn("_body", F.coalesce(*[F.col(f"_{name}_out") for name, _ in runs])).drop(*[f"_{n}{x}" for n, _ in runs for x in ("", "_out")])
+    else:
+        asked = query if isinstance(query, Column) else F.lit(query or "")
+        df = df.withColumn("_body", F.when(F.col("_over"), json_tree.json_ladder(F.col("_room"), floor)(F.col(payload), asked)))
     ref = F.when(F.col("_over") & F.lit(store), content_ref(F.col(payload)))
-    df = df.withColumn("_ref", ref).withColumn("_text", F.when(F.col("_over"), F.concat(
-        "_body", F.when(F.col("_ref").isNotNull() & F.lit(with_footer), footer(F.col("_tokens_in"), token_count(F.col("_body")), F.col("_ref"))).otherwise("")
-    )).otherwise(F.coalesce(payload, F.lit(""))))
+    df = df.withColumn("_ref", ref)
+    note = F.when(F.col("_ref").isNotNull() & F.lit(with_footer), footer(F.col("_tokens_in"), token_count(F.col("_body")), F.col("_ref"), template)).otherwise("")
+    df = df.withColumn("_text", F.when(F.col("_over"), F.concat("_body", note)).otherwise(F.coalesce(payload, F.lit(""))))
     now = token_count(F.col("_text"))
     gain, share = saved(F.col("_tokens_in"), now)
-    df = df.withColumn("result", F.struct(
+    return df.withColumn("result", F.struct(
         F.col("_text").alias("text"), F.col("_kind").alias("content_type"), F.col("_tokens_in").alias("original_tokens"),
         now.alias("compressed_tokens"), F.col("_ref").alias("ref"), F.col("_over").alias("compressed"),
         gain.alias("saved_tokens"), F.round(share, 6).alias("saved_ratio"),
-    ))
-    drop = [f"_{n}{x}" for n in ("text", *known) for x in ("", "_out")]
-    return df.drop("_over", "_tokens_in", "_kind", "_body", "_ref", *drop)
+    )).drop("_room", "_over", "_tokens_in", "_kind", "_body", "_ref", "_text")

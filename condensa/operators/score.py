@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from condensa.functions.fixed import K1, B
-from condensa.functions.text import WORD, cosine, let, query_terms, terms
+from condensa.functions.text import WORD, cosine, dot, let, query_terms, terms
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -64,13 +64,14 @@ def with_bm25(
     return df.withColumn(out, scores).drop("_counts", "_terms", "_tokens")
 
 
-def with_cosine(df: DataFrame, vectors: str, query: Column, *, floor: float = 0.0, out: str = "scores") -> DataFrame:
+def with_cosine(df: DataFrame, vectors: str, query: Column, *, floor: float = 0.0, out: str = "scores", units: bool = False) -> DataFrame:
     """Scores of chunks by their vectors: the cosine with the query's vector where above ``floor``, else 0.
 
-    A null query gives zeros.
+    A null query gives zeros. ``units``: all vectors have length 1 already.
     """
-    of = lambda v: F.round(cosine(v, query), 9)
-    return df.withColumn(out, F.transform(vectors, lambda v: F.coalesce(F.when(of(v) > floor, of(v)), F.lit(0.0))))
+    of = lambda v: F.array(F.round(dot(v, query) if units else cosine(v, query), 9))
+    above = lambda x: F.coalesce(F.get(F.filter(x, lambda s: s > floor), F.lit(0)), F.lit(0.0))
+    return df.withColumn(out, F.transform(vectors, lambda v: above(of(v))))
 
 
 def with_scores(df: DataFrame, query: str | Column | None, scorer=None, **options) -> DataFrame:

@@ -1,15 +1,20 @@
 """Statistics of repeated experiments: rates, strata, paired gaps, bootstraps, verdicts.
 
 Input: records (method, task, trial, reward, tool_calls, compressed). Everything is an aggregate; the
-bootstraps explode replicates times tasks and combine before they shuffle.
+bootstraps weigh every task in each replicate and sum the weights before they shuffle.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from condensa.functions.stats import Z, draw, mcnemar_p, wilson
+from condensa.functions.stats import Z, mcnemar_p, wilson
+from condensa.functions.text import let
 
 SUCCESS = 1 - 1e-9
 
@@ -24,6 +29,11 @@ def success(df: DataFrame, *by: str) -> DataFrame:
     return one.select(*by, "n", F.round(F.col("k") / F.col("n"), 6).alias("rate"), F.round(low, 6).alias("ci_low"), F.round(high, 6).alias("ci_high"), "tool_calls", "compressed")
 
 
+def merged_stats(df: DataFrame, *by: str) -> DataFrame:
+    """The five counters of solved tasks, added up."""
+    return df.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tool_calls", "compressed", "raw_tokens", "context_tokens", "expand_calls")])
+
+
 def majority(df: DataFrame) -> DataFrame:
     """(method, task, passed): solved in at least half of its trials."""
     return df.groupBy("method", "task").agg((2 * F.count_if(F.col("reward") >= SUCCESS) >= F.count(F.lit(1))).alias("passed"))
@@ -72,26 +82,35 @@ def strata(df: DataFrame, method: str, diagnostic: list[int]) -> DataFrame:
     )
 
 
+#: Ten replicates share a hash: each reads four hex digits. A task's weight is the number of these bounds that they reach: Poisson with mean 1.
+POISSON = [f"{min(65535, round(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)))):04x}" for k in range(8)]
+_EACH = 10
+
+
 def _replicates(values: DataFrame, n_boot: int, seed: int, stratum: str) -> DataFrame:
     """(stratum, rep, mean): means of ``n_boot`` resamples of each stratum's values (stratum, task, value).
 
-    Every task stands at a place of its stratum; a hash draws a place for each of the replicate's draws.
+    A Poisson bootstrap: how often a task is drawn in a replicate comes from a hash of both alone, so no task needs to know of
+    the others, and weighted sums are combined before the shuffle.
     """
-    from pyspark.sql import Window
+    blocks = values.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-n_boot // _EACH) - 1))))
+    h = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col(stratum), F.col("task").cast("string"), F.col("block").cast("string")))
+    blocks = blocks.withColumn("h", h)
+
+    def weight(k: int) -> Column:
+        digits = F.substring("h", 4 * k + 1, 4)
+        return functools.reduce(operator.add, [(digits >= bound).cast("int") for bound in POISSON])
 
-    placed = values.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy("task")) - 1)
-    sizes = values.groupBy(stratum).agg(F.count(F.lit(1)).alias("size"))
-    draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("size") - 1).cast("int"))))
-    draws = draws.select(stratum, "rep", draw(F.col("size"), F.lit(seed), F.col(stratum), F.col("rep"), F.col("i")).alias("place"))
-    # a place is drawn many times: count the draws, then fetch its value once
-    draws = draws.groupBy(stratum, "rep", "place").agg(F.count(F.lit(1)).alias("times"))
-    return draws.join(placed, [stratum, "place"]).groupBy(stratum, "rep").agg((F.sum(F.col("times") * F.col("value")) / F.sum("times")).alias("mean"))
+    sums = [F.struct(F.sum(weight(k)).alias("w"), F.sum(weight(k) * F.col("value")).alias("s"), F.lit(k).alias("k")) for k in range(_EACH)]
+    rows = blocks.groupBy(stratum, "block").agg(F.array(*sums).alias("r")).select(stratum, "block", F.inline("r"))
+    return rows.select(stratum, (F.col("block") * _EACH + F.col("k")).alias("rep"), F.try_divide("s", "w").alias("mean")).where((F.col("rep") < n_boot) & F.col("mean").isNotNull())
 
 
-def _ends(replicates: Column, n_boot: int, alpha: float = 0.05) -> tuple[Column, Column]:
-    """The percentile interval of a column's values, by rank."""
+def _ends(replicates: Column, alpha: float = 0.05) -> tuple[Column, Column]:
+    """The percentile interval of a column's values, by rank: as many values as replicates."""
     ranked = F.array_sort(F.collect_list(replicates))
-    return F.get(ranked, F.lit(int(n_boot * alpha / 2))), F.get(ranked, F.lit(max(0, int(n_boot * (1 - alpha / 2)) - 1)))
+    at = lambda share, less: let(ranked, lambda r: F.get(r, F.greatest(F.floor(F.size(r) * share) - less, F.lit(0)).cast("int")))
+    return at(alpha / 2, 0), at(1 - alpha / 2, 1)
 
 
 def equivalence(low: Column, high: Column, margin: float) -> Column:
@@ -102,7 +121,7 @@ def equivalence(low: Column, high: Column, margin: float) -> Column:
 def paired_equivalence(df: DataFrame, a: str, b: str, *, margin: float = 0.1, n_boot: int = 20_000, seed: int = 0) -> DataFrame:
     """The mean paired gap with a bootstrap interval over tasks, and the verdict against the margin."""
     found = gaps(df, a, b).select(F.lit("all").alias("stratum"), "task", F.col("gap").alias("value"))
-    low, high = _ends(F.round("mean", 9), n_boot)
+    low, high = _ends(F.round("mean", 9))
     ends = _replicates(found, n_boot, seed, "stratum").groupBy("stratum").agg(low.alias("low"), high.alias("high"))
     mean = found.groupBy("stratum").agg(F.count(F.lit(1)).alias("tasks"), F.avg("value").alias("gap"))
     return mean.join(ends, "stratum").select(
@@ -117,7 +136,7 @@ def difference(df: DataFrame, method: str, control: str, diagnostic: list[int],
     of = lambda s, c: F.avg(F.when(F.col("stratum") == s, F.col(c)))
     means = found.agg(of("affected", "value").alias("affected"), of("placebo", "value").alias("placebo"), F.count(F.lit(1)).alias("tasks"))
     reps = _replicates(found, n_boot, seed, "stratum").groupBy("rep").agg(of("affected", "mean").alias("a"), of("placebo", "mean").alias("p"))
-    low, high = _ends(F.round(F.col("a") - F.col("p"), 9), n_boot)
+    low, high = _ends(F.round(F.col("a") - F.col("p"), 9))
     ends = reps.agg(low.alias("low"), high.alias("high"))
     verdict = (
         F.when((F.col("low") > 0) | (F.col("high") < 0), F.when(F.col("high") < 0, "HARM").otherwise("BENEFIT"))
@@ -138,35 +157,77 @@ def sample_size(df: DataFrame, a: str, b: str, margins: list[float]) -> DataFram
     )
 
 
-def go_no_go(df: DataFrame, method: str, control: str, weak: str, *, episodes: int, least_delta: float = -0.05, least_control: float = 0.3) -> DataFrame:
-    """The pre-registered decision: pending while incomplete, void if a sanity gate fails, else by the delta."""
+def go_no_go(df: DataFrame, method: str, control: str, weak: str, *, episodes: int, least_delta: float | dict = -0.05, least_control: float = 0.3) -> DataFrame:
+    """The pre-registered decision, per budget where records have one: pending while incomplete, void if a sanity gate fails, else by the delta.
+
+    ``least_delta``: one bound, or one a budget. Records of the control that are there once (budget -1) count for every budget.
+    """
+    budgets = "budget" in df.columns
+    if budgets:
+        df = every_budget(df, control)
     rate = lambda m: F.avg(F.when(F.col("method") == m, (F.col("reward") >= SUCCESS).cast("int")))
-    one = df.agg(rate(method).alias("m"), rate(control).alias("c"), rate(weak).alias("w"), F.count_if(F.col("method") == method).alias("n"))
+    one = df.groupBy(*(["budget"] if budgets else [])).agg(rate(method).alias("m"), rate(control).alias("c"), rate(weak).alias("w"), F.count_if(F.col("method") == method).alias("n"))
+    bound = F.lit(least_delta) if not isinstance(least_delta, dict) else F.create_map(*[F.lit(x) for kv in least_delta.items() for x in kv])[F.col("budget")]
     sane = (F.col("c") >= least_control) & (F.col("w") <= F.col("c"))
-    decision = F.when(F.col("n") < episodes, "PENDING").when(~sane, "VOID").when(F.col("m") - F.col("c") >= least_delta, "GO").otherwise("NO-GO")
-    return one.select("n", F.round("c", 6).alias("control"), F.round(F.col("m") - F.col("c"), 6).alias("delta"), decision.alias("decision"))
+    decision = F.when(F.col("n") < episodes, "PENDING").when(~sane, "VOID").when(F.col("m") - F.col("c") >= bound, "GO").otherwise("NO-GO")
+    return one.select(*(["budget"] if budgets else []), "n", F.round("c", 6).alias("control"), F.round(F.col("m") - F.col("c"), 6).alias("delta"), decision.alias("decision"))
+
+
+def every_budget(df: DataFrame, method: str) -> DataFrame:
+    """Records of a method that doesn't depend on the budget, solved once (budget -1), repeated for each budget that the others have."""
+    budgets = F.broadcast(df.where(F.col("budget") >= 0).select(F.col("budget").alias("_budget")).distinct())  # a handful, as many as were chosen
+    once = F.col("method") == method
+    own = df.where(once & (F.col("budget") < 0)).join(budgets, F.lit(True)).withColumn("budget", F.col("_budget")).drop("_budget")
+    return df.where(~(once & (F.col("budget") < 0))).unionByName(own)
 
 
 def cost_saved(tokens: Column, price_per_million: float) -> Column:
     return tokens / 1e6 * price_per_million
 
 
-def latency(df: DataFrame, value: str, *by: str) -> DataFrame:
+def projected_cost(results: DataFrame, price_per_million: float, requests: int = 1_000_000, *by: str) -> DataFrame:
+    """What the saved tokens cost, and what they would cost over ``requests`` requests like these."""
+    one = results.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("saved_tokens").alias("saved_tokens"))
+    cost = cost_saved(F.col("saved_tokens"), price_per_million)
+    return one.select(*by, "n", "saved_tokens", F.round(cost, 6).alias("saved"), F.round(cost / F.col("n") * requests, 4).alias("projected"))
+
+
+def latency(df: DataFrame, value: str, *by: str, bins: int = 1024) -> DataFrame:
     """p50, p90 and p99 by rank (the value at place int(p * n)), mean and count.
 
-    Exact without gathering rows: counts by value, then running counts over the distinct values.
+    Exact without ordering all rows: twice, values are counted in ``bins`` equal ranges, which tells the range of each
+    rank and its place there; only values of those ranges are then counted one by one and ordered.
     """
     from pyspark.sql import Window
 
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    own = Window.partitionBy(*by)
-    counts = counts.withColumns({
-        "upto": F.sum("c").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(own),
-    })
-    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(q * F.col("n")), F.col("n") - 1), F.col(value)))
-    return counts.groupBy(*by).agg(
-        F.max("n").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.max("n"), 6).alias("mean"), *[at(q).alias(f"p{round(100 * q)}") for q in (0.5, 0.9, 0.99)]
-    )
+    of = (0.5, 0.9, 0.99)
+    if not by:
+        return latency(df.withColumn("_all", F.lit(0)), value, "_all", bins=bins).drop("_all")
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).alias("v"))
+    total = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    place = lambda q: F.least(F.floor(q * F.col("n")), F.col("n") - 1)
+    ranks = total.select(*by, "lo", "hi", F.explode(F.array(*[F.struct(F.lit(round(100 * q)).alias("p"), place(q).alias("place")) for q in of])).alias("r")).select(*by, "lo", "hi", "r.p", "r.place")
+    for _ in range(2):
+        own = [*by, "lo", "hi"]
+        ranges = ranks.select(*own).distinct()
+        inside = rows.join(ranges, [*by]).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        share = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+        counts = inside.groupBy(*own, F.least(F.floor(share * bins), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("from"), F.max("v").alias("to"))
+        before = F.coalesce(F.sum("c").over(Window.partitionBy(*own).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.withColumn("before", before)  # at most ``bins`` rows a range
+        hit = (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("c"))
+        ranks = ranks.join(counts, own).where(hit).select(*by, F.col("from").alias("lo"), F.col("to").alias("hi"), "p", (F.col("place") - F.col("before")).alias("place"))
+    own = [*by, "lo", "hi"]
+    inside = rows.join(ranks.select(*own).distinct(), [*by]).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).groupBy(*own, "v").agg(F.count(F.lit(1)).alias("c"))
+    inside = inside.withColumn("upto", F.sum("c").over(Window.partitionBy(*own).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = ranks.join(inside, own).where(F.col("upto") > F.col("place")).groupBy(*by, "p").agg(F.min("v").alias("v"))
+    found = found.groupBy(*by).pivot("p", [round(100 * q) for q in of]).agg(F.first("v"))
+    return total.join(found, [*by]).select(*by, "n", F.round(F.col("s") / F.col("n"), 6).alias("mean"), *[F.col(str(round(100 * q))).alias(f"p{round(100 * q)}") for q in of])
+
+
+def ranked_entries(entries: DataFrame) -> DataFrame:
+    """A leaderboard's order: by track, the best first."""
+    return entries.orderBy("track", F.desc("value"), "method", "entry")
 
 
 def leaderboard_violations(entries: DataFrame, *, required=("method", "track", "metric", "value", "n", "source"), rates=("accuracy", "success")) -> DataFrame:

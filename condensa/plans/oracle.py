@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from condensa.functions.fixed import BLOCKS, LEVEL_WORDS, LOG_WORDS, SKIPPED, STREAM_WORDS, WHITE
-from condensa.functions.stats import ERFC, Z
+from condensa.functions.stats import Z
 from condensa.functions.text import query_terms
-from condensa.plans.queries import BOOT, BUDGET, BUDGETS, DIAGNOSTIC, LOG_QUERY, QUERY, SMALL, TABLE_QUERY
+from condensa.plans.queries import BUDGET, BUDGETS, DIAGNOSTIC, LOG_QUERY, QUERY, SMALL, TABLE_QUERY
+from condensa.sources.cases import KINDS, TASKS, UNITS, WORDS
 from condensa.sources.synth import METHODS as SOLVERS
 
 _W = "chr(32)||" + "||".join(f"chr({ord(c)})" for c in WHITE[1:])
@@ -210,12 +213,10 @@ def wilson(k: str, n: str) -> tuple[str, str]:
 
 
 def mcnemar(b: str, c: str) -> str:
+    """The p value by the series erf(x) = sum of exp(-x^2) x^(2k+1) / gamma(k + 3/2)."""
     x = f"sqrt(power(abs({b} - {c}) - 1, 2) / ({b} + {c}) / 2)"
-    t = f"(1 / (1 + 0.3275911 * {x}))"
-    poly = "0.0"
-    for a in reversed(ERFC):
-        poly = f"(({poly} + {a}) * {t})"
-    return f"round(CASE WHEN {b} + {c} = 0 THEN 1.0 ELSE least({poly} * exp(-{x} * {x}), 1.0) END, 6)"
+    erf = f"list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln({x}) - {x} * {x} - lgamma(k + 1.5))))"
+    return f"round(CASE WHEN {b} + {c} = 0 OR abs({b} - {c}) = 1 THEN 1.0 WHEN {x} > 6 THEN 0.0 ELSE greatest(least(1 - {erf}, 1.0), 0.0) END, 6)"
 
 
 def normal(c: str) -> str:
@@ -271,15 +272,23 @@ STRATA = f"""e AS (SELECT task, sum(compressed) AS c, CASE WHEN sum(tool_calls)
               task NOT IN ({', '.join(map(str, DIAGNOSTIC))}) AS headline FROM e)"""
 
 
-def replicates(src: str) -> str:
+#: Bounds of four hex digits for a Poisson weight with mean 1, by its own sums.
+_BOUNDS, _P, _SUM = [], math.exp(-1), 0.0
+for _k in range(1, 9):
+    _SUM += _P
+    _P /= _k
+    _BOUNDS.append(min(65535, round(65536 * _SUM)))
+
+
+def replicates(src: str, n_boot: int = 20_000) -> str:
     """CTE rp(stratum, rep, mean) from ``src(stratum, task, value)``."""
-    return f"""pl AS (SELECT stratum, value, row_number() OVER (PARTITION BY stratum ORDER BY task) - 1 AS place FROM {src}),
-    sz AS (SELECT stratum, count(*) AS size FROM {src} GROUP BY stratum),
-    dr AS (SELECT stratum, rep, CAST(concat('0x', substr(sha1('0|' || stratum || '|' || rep || '|' || i), 1, 8)) AS BIGINT) % size AS place FROM (SELECT stratum, size, rep, unnest(range(0, size)) AS i FROM sz, (SELECT unnest(range(0, {BOOT})) AS rep))),
-    rp AS (SELECT dr.stratum, rep, avg(value) AS mean FROM dr JOIN pl ON dr.stratum = pl.stratum AND dr.place = pl.place GROUP BY ALL)"""
+    weight = " + ".join(f"CAST(u >= {b} AS INT)" for b in _BOUNDS)
+    return f"""bl AS (SELECT stratum, value, block, sha1('0|' || stratum || '|' || task || '|' || block) AS h FROM {src}, (SELECT unnest(range(0, {n_boot // 10})) AS block)),
+    us AS (SELECT stratum, value, block * 10 + k AS rep, CAST(concat('0x', substr(h, 4 * k + 1, 4)) AS BIGINT) AS u FROM bl, (SELECT unnest(range(0, 10)) AS k)),
+    rp AS (SELECT stratum, rep, sum(w * value) / sum(w) AS mean FROM (SELECT stratum, rep, value, {weight} AS w FROM us) GROUP BY ALL HAVING sum(w) > 0)"""
 
 
-_LOW, _HIGH = int(BOOT * 0.025) + 1, max(0, int(BOOT * 0.975) - 1) + 1
+_LOW, _HIGH = "CAST(floor(len(l) * 0.025) AS BIGINT) + 1", "CAST(greatest(floor(len(l) * 0.975) - 1, 0) AS BIGINT) + 1"
 _JSON_ITEMS = f"""{JSON},
     c AS (SELECT o_custkey AS id, {ORDER_JSON} AS chunk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx FROM orders WHERE o_custkey IS NOT NULL),
     {asked(TABLE_QUERY)}, {scored()}"""
@@ -297,15 +306,19 @@ def one_level() -> str:
     SELECT src.id, {tok('payload')} AS original_tokens, {tok("coalesce(body, '" + chr(34) + "…" + chr(34) + "')")} AS body_tokens, sha1(coalesce(body, '"…"')) AS body_sha FROM src LEFT JOIN b USING (id)"""
 
 
-def sketch() -> str:
+def sketch(top: int = 256, matter: int = 64) -> str:
     hot = "(?i)" + "|".join(STREAM_WORDS)
     asked_list = "[" + ", ".join(f"'{t}'" for t in query_terms(LOG_QUERY)) + "]"
+    w = "OVER (PARTITION BY id ORDER BY event_id, part ROWS UNBOUNDED PRECEDING)"
     return f"""WITH li AS (SELECT user_id AS id, event_id, {strip(LOG_LINE)} AS line FROM events WHERE user_id IS NOT NULL),
     pc AS (SELECT id, event_id, unnest(l) AS chunk, generate_subscripts(l, 1) AS part FROM (SELECT id, event_id, {capped('line')} AS l FROM li WHERE line <> '')),
     fl AS (SELECT *, regexp_matches(chunk, '{hot}') AS hot, len(list_intersect({asked_list}, {terms('chunk')})) AS ov FROM pc),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id, part) AS pos, row_number() OVER (PARTITION BY id ORDER BY event_id DESC, part DESC) AS back,
-           sum(CAST(hot AS INT)) OVER (PARTITION BY id ORDER BY event_id, part ROWS UNBOUNDED PRECEDING) AS hot_at, row_number() OVER (PARTITION BY id ORDER BY ov DESC, event_id, part) AS best FROM fl),
-    kp AS (SELECT * FROM rk WHERE pos <= 8 OR back <= 8 OR (hot AND hot_at <= 6) OR (ov > 0 AND best <= 4)),
+    lv AS (SELECT id, ov, sum(n) OVER (PARTITION BY id ORDER BY ov DESC ROWS UNBOUNDED PRECEDING) - n AS above FROM (SELECT id, ov, count(*) AS n FROM fl WHERE ov > 0 GROUP BY ALL)),
+    le AS (SELECT id, min(ov) AS level, arg_min({top} - above, ov) AS room FROM lv WHERE above < {top} GROUP BY id),
+    rk AS (SELECT fl.*, level, room, row_number() {w} AS pos, row_number() OVER (PARTITION BY id ORDER BY event_id DESC, part DESC) AS back,
+           sum(CAST(hot AS INT)) {w} AS hot_at, sum(CAST(coalesce(ov >= level, false) AS INT)) {w} AS reach FROM fl LEFT JOIN le USING (id)),
+    lt AS (SELECT *, sum(CAST(coalesce(ov = level AND reach <= {top}, false) AS INT)) OVER (PARTITION BY id ORDER BY event_id DESC, part DESC ROWS UNBOUNDED PRECEDING) AS late FROM rk),
+    kp AS (SELECT * FROM lt WHERE pos <= 8 OR back <= 8 OR (hot AND hot_at <= {matter}) OR ov > level OR (ov = level AND reach <= {top} AND late <= room)),
     c AS (SELECT id, chunk, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS idx FROM kp),
     src AS (SELECT DISTINCT id FROM c), {asked(LOG_QUERY)}, {scored()}, {fitted(BUDGET, 1)}
     SELECT f.id AS user_id, CAST(n AS INTEGER) AS n_kept, {tok('body')} AS body_tokens, sha1(body) AS body_sha FROM f JOIN m USING (id)"""
@@ -318,8 +331,76 @@ _MSG = f"""WITH uq AS (SELECT conv_id, arg_max(text, turn) AS query FROM convers
     {text_chunks()}, {scored()}, {fitted(BUDGET, 1)},
     ot AS (SELECT x.*, src.id IS NOT NULL AS rewritten, CASE WHEN src.id IS NULL THEN text ELSE coalesce(body, '') END AS content FROM x LEFT JOIN src ON x.id = src.id LEFT JOIN f ON x.id = f.id)"""
 
-_MESSAGE_JSON = """'{"messages":[' || string_agg('{"role":"' || role || '","content":' || to_json(text) || '}', ',' ORDER BY turn) || ']}'"""
-_CUT_JSON = f"""'{{"messages":[' || string_agg('{{"role":"' || role || '","content":' || to_json(CASE WHEN role = 'assistant' THEN substr(text, 1, {4 * BUDGET}) ELSE text END) || '}}', ',' ORDER BY turn) || ']}}'"""
+_CUT = f"CASE WHEN role = 'assistant' THEN substr(text, 1, {4 * BUDGET}) ELSE text END"
+
+
+def bodies(said: str, of: str, more: str = "", named: bool = True, heat: bool = True) -> str:
+    """What is read from request bodies whose messages say ``said``; ids that end in 8 have no messages, those in 9 don't parse."""
+    open_ = "id % 10 IN (8, 9)"
+    return f"""bg AS (SELECT conv_id AS id, count(*) AS n, count(*) FILTER (role = 'assistant') AS named, string_agg({said}, '|' ORDER BY turn) AS t {more} FROM {of} GROUP BY conv_id)
+        SELECT id, {open_} AS failed_open, CASE WHEN id % 10 = 9 THEN NULL ELSE 'small' END AS model, {f"CASE WHEN {open_} THEN NULL ELSE CAST(0.5 AS DOUBLE) END AS temperature," if heat else ''}
+        CASE WHEN {open_} THEN NULL ELSE CAST(n AS INTEGER) END AS n, {f'CASE WHEN {open_} THEN NULL ELSE CAST(named AS INTEGER) END AS named,' if named else ''} CASE WHEN {open_} THEN NULL ELSE sha1(t) END AS said_sha"""
+
+
+def case_rows() -> str:
+    """CTEs up to fc(id, kind, category, notes, ...): the planted cases, by the same arithmetic."""
+    ws = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
+    units = "CASE kind " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in UNITS.items()) + " END"
+    kinds = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    filler = f"array_to_string(list_transform(range(0, 8), lambda j: {ws}[(id * 31 + r * 17 + j * j * 5 + j * 3) % {len(WORDS)} + 1]), ' ')"
+    return f"""c0 AS (SELECT unnest(range(0, 66)) AS id),
+    c1 AS (SELECT id, CASE WHEN id < 50 THEN 'single' WHEN id < 56 THEN 'multi' WHEN id < 62 THEN 'distractor' ELSE 'aggregate' END AS category,
+           CASE WHEN id >= 62 AND id % 2 = 0 THEN 'tabular' WHEN id < 50 THEN {kinds}[id // 10 + 1] WHEN id % 2 = 0 THEN 'text' ELSE 'json' END AS kind FROM c0),
+    c2 AS (SELECT *, {units} AS n, 1000 + id * 37 AS code FROM c1),
+    c3 AS (SELECT *, (id * 37 + 11) % n AS spot, CASE WHEN category = 'aggregate' THEN 'crane one of pier ' || id || ' lifts ' || code ELSE 'harbor code of pier ' || id || ' is ' || code END AS gold,
+           CASE category WHEN 'multi' THEN 'harbor fee of pier ' || id || ' is ' || (code + 11) WHEN 'distractor' THEN 'harbor code of pier ' || (id + 100) || ' is ' || (code + 11)
+                         WHEN 'aggregate' THEN 'crane two of pier ' || id || ' lifts ' || (code + 11) END AS second,
+           CASE WHEN category = 'aggregate' THEN 'crane three of pier ' || id || ' lifts ' || (code + 22) END AS third,
+           CASE category WHEN 'multi' THEN 'what are harbor code and harbor fee of pier ' || id WHEN 'aggregate' THEN 'which crane of pier ' || id || ' lifts how much' ELSE 'what is the harbor code of pier ' || id END AS question FROM c2),
+    rw AS (SELECT *, unnest(range(0, n)) AS r FROM c3),
+    fc AS (SELECT id, kind, category, question, gold, second, third, list(CASE WHEN r = spot THEN gold WHEN r = (spot + n // 2) % n AND second IS NOT NULL THEN second WHEN r = (spot + n // 4) % n AND third IS NOT NULL THEN third ELSE {filler} END ORDER BY r) AS notes
+           FROM rw GROUP BY ALL)"""
+
+
+def task_rows() -> str:
+    ws = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
+    tasks = "[" + ", ".join(f"'{t}'" for t in TASKS) + "]"
+    filler = f"array_to_string(list_transform(range(0, 8), lambda j: {ws}[(id * 31 + r * 17 + j * j * 5 + j * 3) % {len(WORDS)} + 1]), ' ')"
+    return f"""c0 AS (SELECT unnest(range(0, 10)) AS id),
+    c1 AS (SELECT id, CASE WHEN id < 6 THEN 'json' ELSE 'tabular' END AS kind, {tasks}[id + 1] AS task, 'salvage tug ' || (id + 40) AS marker FROM c0),
+    c2 AS (SELECT *, list_sort(list_transform(range(1, CASE WHEN task = 'lookup' THEN 2 ELSE 5 END), lambda k: (id * 13 + k * (300 // CASE WHEN task = 'lookup' THEN 2 ELSE 5 END)) % 300)) AS places FROM c1),
+    c3 AS (SELECT *, CASE task WHEN 'count' THEN CAST(len(places) AS VARCHAR) WHEN 'sum' THEN CAST(CAST(list_sum(list_transform(places, lambda p: p * 7 % 100)) AS BIGINT) AS VARCHAR)
+           WHEN 'list' THEN array_to_string(list_transform(places, lambda p: p + 1), ',') ELSE CAST(places[1] * 7 % 100 AS VARCHAR) END AS expected FROM c2),
+    rw AS (SELECT *, unnest(range(0, 300)) AS r FROM c3),
+    fc AS (SELECT id, kind, task, expected, list(CASE WHEN list_contains(places, r) THEN marker || ' at berth ' || r ELSE {filler} END ORDER BY r) AS notes FROM rw GROUP BY ALL)"""
+
+
+def case_payload() -> str:
+    at = "notes[r + 1]"
+    status = "CASE r % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'open' ELSE 'held' END"
+    every = lambda e: f"list_transform(range(0, len(notes)), lambda r: {e})"
+    two = lambda e: f"lpad(CAST({e} AS VARCHAR), 2, '0')"
+    links = "array_to_string(list_transform(range(1, 41), lambda k: '<a href=/p' || k || '>page ' || k || '</a>'), ' ')"
+    item = f"""'{{"id":' || (r + 1) || ',"status":"' || {status} || '","amount":' || (r * 7 % 100) || ',"note":"' || {at} || '"}}'"""
+    log = f"'2026-03-01 ' || {two('r // 60 % 24')} || ':' || {two('r % 60')} || ':' || {two('r * 7 % 60')} || ' ' || CASE WHEN contains({at}, 'pier') THEN 'ERROR' ELSE 'INFO' END || ' ' || {at}"
+    row = f"(r + 1) || ',' || CASE WHEN r % 2 = 0 THEN 'north' ELSE 'south' END || ',' || {status} || ',' || (r * 7 % 100) || ',' || {at}"
+    return f"""CASE kind WHEN 'text' THEN array_to_string(notes, chr(10)||chr(10))
+        WHEN 'html' THEN '<!doctype html><html><head><title>ports</title><style>p{{margin:0}}</style></head><body><nav>' || {links} || '</nav>' || array_to_string(list_transform(notes, lambda s: '<p>' || s || '</p>'), '') || '<footer>end</footer></body></html>'
+        WHEN 'json' THEN '{{"page":1,"total":' || len(notes) || ',"results":[' || array_to_string({every(item)}, ',') || ']}}'
+        WHEN 'logs' THEN array_to_string({every(log)}, chr(10)) ELSE 'id,region,status,amount,note' || chr(10) || array_to_string({every(row)}, chr(10)) END"""
+
+
+def downstream() -> str:
+    """Cut JSON parses only if nothing was cut; a cut table parses if all of its lines have two commas."""
+    cut = {"full": "payload", "head": f"substr(payload, 1, {4 * SMALL})", "tail": f"right(payload, {4 * SMALL})"}
+    parts = []
+    for m, t in cut.items():
+        table = f"len({full_lines(t)}) >= 2 AND len(list_filter({full_lines(t)}, lambda s: length(s) - length(replace(s, ',', '')) <> 2)) = 0"
+        parts.append(f"SELECT '{m}' AS method, 'json' AS kind, json_valid({t}) AS p, json_valid({t}) AND {matches(normal(t), normal('gold'))} AS x FROM j")
+        parts.append(f"SELECT '{m}', 'tabular', {table}, {table} AND {matches(normal(t), normal('gold'))} FROM t")
+    last = "SELECT o_custkey AS id, CAST(max(o_orderkey) AS VARCHAR) AS gold FROM orders GROUP BY o_custkey"
+    return f"""WITH la AS ({last}), j AS (SELECT * FROM (WITH {JSON} SELECT id, payload FROM src) JOIN la USING (id)), t AS (SELECT * FROM (WITH {TABLES} SELECT id, payload FROM src) JOIN la USING (id))
+        SELECT method, kind, count(*) AS n, count(*) FILTER (x) AS extracted, count(*) FILTER (p) AS parsed FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"""
 
 
 def _violations() -> str:
@@ -374,24 +455,28 @@ ORACLE: dict[str, str] = {
     "json_one_level_compress": one_level(),
     "router_passthrough": f"""WITH {ALL}, t AS (SELECT origin, {kind('payload')} AS content_type, {tok('payload')} AS t FROM ap)
         SELECT origin, content_type, t > {BUDGET} AS compressed, count(*) AS n, CAST(sum(t) AS BIGINT) AS original_tokens, count(*) FILTER (t > {BUDGET}) AS refs, 0 AS passed_savings FROM t GROUP BY ALL""",
-    "embedding_topk": """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL), f AS (SELECT label, min(vec_id) AS q FROM v GROUP BY label),
-        p AS (SELECT v.label, v.vec_id, round(list_dot_product(w.e, v.e) / (sqrt(list_dot_product(w.e, w.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS score FROM v JOIN f ON v.label = f.label JOIN v w ON w.vec_id = f.q WHERE v.vec_id <> f.q)
-        SELECT label, vec_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM p WHERE score > 0) WHERE r <= 5""",
-    "cosine_floor": """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL), f AS (SELECT label, arg_min(e, vec_id) AS q FROM v GROUP BY label),
-        s AS (SELECT vec_id, round(list_dot_product(q, e) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(e, e))), 9) AS x FROM v JOIN f USING (label))
-        SELECT vec_id, round(CASE WHEN x > 0.2 THEN x ELSE 0.0 END, 6) AS score FROM s""",
+    "embedding_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), w AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v),
+        p AS (SELECT q.vec_id AS query_id, w.vec_id, round(CASE WHEN q.n * w.n > 0 THEN list_dot_product(q.e, w.e) / (q.n * w.n) ELSE 0.0 END, 9) AS x FROM w q JOIN w ON q.vec_id % 20 = 0 AND q.vec_id <> w.vec_id)
+        SELECT query_id, vec_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT query_id, vec_id, round(x, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 6) DESC, vec_id) AS r FROM p WHERE round(x, 6) > 0) WHERE r <= 5""",
+    "cosine_floor": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), w AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v),
+        p AS (SELECT q.vec_id AS query_id, w.vec_id, round(CASE WHEN q.n * w.n > 0 THEN list_dot_product(q.e, w.e) / (q.n * w.n) ELSE 0.0 END, 9) AS x FROM w q JOIN w ON q.vec_id % 20 = 0 AND q.vec_id <> w.vec_id)
+        SELECT query_id, count(*) AS n, max(round(x, 6)) AS best FROM p WHERE x > 0.2 GROUP BY query_id""",
     "latest_user_query": "SELECT conv_id, arg_max(text, turn) AS query FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY conv_id",
     "messages_compress": f"{_MSG} SELECT conv_id, turn, {tok('text')} AS original_tokens, {tok('content')} AS content_tokens, rewritten, sha1(content) AS content_sha FROM ot",
     "request_stats": f"{_MSG} SELECT count(*) FILTER (rewritten) AS messages, CAST(coalesce(sum({tok('text')}) FILTER (rewritten), 0) AS BIGINT) AS original_tokens, CAST(coalesce(sum({tok('content')}) FILTER (rewritten), 0) AS BIGINT) AS compressed_tokens FROM ot",
     "dialogue_grounding": """WITH l AS (SELECT conv_id, turn, substr(text, 1, 400) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role IN ('user', 'assistant')),
         g AS (SELECT conv_id, 'find what the caller asks for' || chr(10) || string_agg(said, chr(10) ORDER BY turn) AS t FROM l WHERE r <= 6 GROUP BY conv_id) SELECT conv_id, length(t) AS chars, sha1(t) AS grounding_sha FROM g""",
-    "request_body_fail_open": f"SELECT conv_id AS id, conv_id % 10 = 9 AS failed_open, CASE WHEN conv_id % 10 = 9 THEN length({_MESSAGE_JSON}) - 2 ELSE length({_CUT_JSON}) END AS chars FROM conversations GROUP BY conv_id",
-    "judge_matches": f"""WITH i AS (SELECT item_id, {normal("array_to_string(regexp_split_to_array(text, '[ ]+|[^ ]?' || chr(10))[1:8], ' ')")} AS g FROM benchmark),
-        d AS (SELECT doc_id, {normal('text')} AS a FROM documents WHERE text IS NOT NULL), m AS (SELECT item_id, doc_id FROM i, d WHERE {matches('a', 'g')})
-        SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM m GROUP BY item_id""",
+    "request_body_fail_open": f"WITH {bodies(_CUT, 'conversations')} FROM bg",
+    "request_body_blocks": f"WITH {bodies(_CUT, 'conversations', named=False)} FROM bg",
+    "request_body_router": f"{_MSG}, {bodies('content', 'ot', f", count(*) FILTER (rewritten) AS k, sum({tok('text')}) FILTER (rewritten) AS o, sum({tok('content')}) FILTER (rewritten) AS s", False, False)}, "
+        "CASE WHEN id % 10 IN (8, 9) THEN 0 ELSE k END AS messages, CAST(CASE WHEN id % 10 IN (8, 9) THEN 0 ELSE coalesce(o, 0) END AS BIGINT) AS original_tokens, CAST(CASE WHEN id % 10 IN (8, 9) THEN 0 ELSE coalesce(s, 0) END AS BIGINT) AS compressed_tokens FROM bg",
+    "trace_extraction": """SELECT id, step, 'desk' AS tool, length(text) AS chars, sha1(text) AS content_sha FROM (SELECT conv_id AS id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS step, role, text FROM conversations)
+        WHERE role = 'assistant' AND id % 10 NOT IN (8, 9)""",
+    "judge_matches": f"""WITH i AS (SELECT item_id, {normal('text')} AS g FROM benchmark WHERE text IS NOT NULL), d AS (SELECT doc_id, {normal('text')} AS a FROM documents WHERE text IS NOT NULL),
+        m AS (SELECT item_id, doc_id FROM i, d WHERE g <> '' AND {matches('a', 'g')}) SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM m GROUP BY item_id""",
     "method_grid": f"""WITH {verdicts()}, g AS (SELECT method, budget, count(*) AS n, sum(tokens) AS t, sum(full_tokens) AS ft, count(*) FILTER (ok) AS k, count(*) FILTER (full_ok) AS fk FROM v GROUP BY ALL)
         SELECT method, budget, n, round(t / n, 6) AS avg_tokens, round(CASE WHEN ft > 0 THEN 1 - t / ft ELSE 0.0 END, 6) AS saved_ratio, round(k / n, 6) AS accuracy, {_GRID_LOW} AS ci_low, {_GRID_HIGH} AS ci_high,
-        round(CASE WHEN fk > 0 THEN k / fk ELSE 0.0 END, 6) AS retention, 1.0 AS parseable_rate FROM g""",
+        round(CASE WHEN fk > 0 THEN k / fk ELSE 0.0 END, 6) AS retention, 1.0 AS parseable_rate, CAST(NULL AS DOUBLE) AS downstream_rate FROM g""",
     "full_pass": f"""WITH cs0 AS (SELECT 1), {verdicts()}, g AS (SELECT count(*) AS n, avg(full_tokens) AS t, count(*) FILTER (full_ok) AS k FROM v WHERE method = 'full' AND budget = {BUDGETS[0]})
         SELECT n, round(t, 6) AS avg_tokens, round(k / n, 6) AS accuracy, {_GRID_LOW} AS ci_low, {_GRID_HIGH} AS ci_high FROM g""",
     "category_breakdown": f"""WITH {verdicts()} SELECT method, budget, coalesce(lang, 'all') AS category, count(*) AS n, round(avg(CAST(full_ok AS INT)), 6) AS full_accuracy, round(avg(CAST(ok AS INT)), 6) AS accuracy FROM v GROUP BY GROUPING SETS ((method, budget, lang), (method, budget))""",
@@ -408,6 +493,22 @@ ORACLE: dict[str, str] = {
         mv AS (SELECT method, task, 2 * count(*) FILTER (reward >= 1) >= count(*) AS ok FROM so GROUP BY ALL),
         t AS (SELECT b.method, count(*) FILTER (a.ok AND NOT b.ok) AS won, count(*) FILTER (NOT a.ok AND b.ok) AS lost FROM mv a JOIN mv b ON a.task = b.task WHERE a.method = 'none' AND b.method <> 'none' GROUP BY b.method)
         SELECT r.method, n, round(k / n, 6) AS rate, {_GRID_LOW} AS ci_low, {_GRID_HIGH} AS ci_high, tool_calls, compressed, won, lost, p FROM r LEFT JOIN (SELECT *, {mcnemar('won', 'lost')} AS p FROM t) t ON r.method = t.method""",
+    "per_case_verdicts": f"""WITH {verdicts()} SELECT doc_id, max(full_tokens) AS full_tokens, bool_or(full_ok) AS full_ok, CAST({3 * len(BUDGETS)} AS INTEGER) AS verdicts,
+        bool_or(ok) FILTER (method = 'head' AND budget = {BUDGETS[0]}) AS head_ok, bool_or(ok) FILTER (method = 'tail' AND budget = {BUDGETS[1]}) AS tail_ok FROM v WHERE method IN ('full', 'head', 'tail') GROUP BY doc_id""",
+    "downstream_rate": downstream(),
+    "faithfulness_cases": f"""WITH {case_rows()}, p AS (SELECT *, {case_payload()} AS payload FROM fc) SELECT id, kind, category, {tok('payload')} AS tokens, sha1(payload) AS payload_sha, question, gold,
+        CASE category WHEN 'multi' THEN second WHEN 'aggregate' THEN second || '|' || third ELSE '' END AS all_of, CASE WHEN category = 'distractor' THEN second ELSE '' END AS none_of FROM p""",
+    "agent_task_cases": f"WITH {task_rows()} SELECT id, kind, task, sha1({case_payload()}) AS payload_sha, expected, expected AS computed FROM fc",
+    "run_comparison": f"""WITH {solves()}, r AS (SELECT CAST(trial AS VARCHAR) AS model, method, count(*) AS n, count(*) FILTER (reward >= 1) AS k FROM so GROUP BY ALL)
+        SELECT model, method, {SMALL} AS budget, n, round(k / n, 6) AS accuracy, {wilson("k", "n")[0]} AS ci_low, {wilson("k", "n")[1]} AS ci_high, round(k / n - base, 6) AS change FROM r JOIN (SELECT method, k / n AS base FROM r WHERE model = '0') USING (method)""",
+    "budget_reuse": f"WITH {solves()} SELECT method, budget, count(*) AS n, sum(reward) AS solved FROM so, (SELECT unnest({BUDGETS}) AS budget) GROUP BY ALL",
+    "go_no_go_budgets": f"""WITH {solves()}, r AS (SELECT avg(CAST(reward >= 1 AS INT)) FILTER (method = 'router') AS m, avg(CAST(reward >= 1 AS INT)) FILTER (method = 'none') AS c, avg(CAST(reward >= 1 AS INT)) FILTER (method = 'truncate-head') AS w, count(*) FILTER (method = 'router') AS n FROM so)
+        SELECT budget, n, round(c, 6) AS control, round(m - c, 6) AS delta, CASE WHEN n < 100 THEN 'PENDING' WHEN c < 0.3 OR w > c THEN 'VOID' WHEN m - c >= bound THEN 'GO' ELSE 'NO-GO' END AS decision FROM r, (VALUES ({BUDGETS[0]}, -0.05), ({BUDGETS[1]}, 0.5)) b(budget, bound)""",
+    "cost_projection": f"SELECT count(*) AS n, CAST(sum(g) AS BIGINT) AS saved_tokens, round(sum(g) / 1e6 * 2.5, 6) AS saved, round(sum(g) / 1e6 * 2.5 / count(*) * 1000000, 4) AS projected FROM (SELECT greatest({tok('text')} - {BUDGET}, 0) AS g FROM documents)",
+    "solve_stats": f"WITH {solves()} SELECT method, CAST(trial AS INTEGER) AS trial, CAST(sum(tool_calls) AS BIGINT) AS tool_calls, CAST(sum(compressed) AS BIGINT) AS compressed, CAST(sum(tool_calls * 90) AS BIGINT) AS raw_tokens, CAST(sum(tool_calls * 30) AS BIGINT) AS context_tokens, CAST(sum(compressed % 2) AS BIGINT) AS expand_calls FROM so GROUP BY ALL",
+    "leaderboard_order": """WITH b AS (SELECT c_custkey AS entry, CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS method, c_mktsegment AS track, c_custkey % 130 / 100 AS value FROM customer)
+        SELECT track, CAST(place AS INTEGER) AS place, entry, method, value FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY value DESC, entry) AS place FROM b) WHERE place <= 5""",
+    "store_expiry": "SELECT CAST(user_id AS VARCHAR) AS ref, max(ts) AS stored_at FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(max(ts))) <= 864000",
     "paired_equivalence": f"""WITH {solves()}, {GAPS}, vv AS (SELECT 'all' AS stratum, task, gap AS value FROM gp WHERE gap IS NOT NULL), {replicates('vv')},
         en AS (SELECT list_sort(list(round(mean, 9))) AS l FROM rp), x AS (SELECT l[{_LOW}] AS low, l[{_HIGH}] AS high FROM en)
         SELECT (SELECT count(*) FROM vv) AS tasks, round((SELECT avg(value) FROM vv), 6) AS gap, round(low, 6) AS low, round(high, 6) AS high,
@@ -426,7 +527,7 @@ ORACLE: dict[str, str] = {
     "resume_pending": f"WITH {solves()} SELECT method, task, trial FROM so WHERE (task + trial) % 3 <> 0",
     "agent_task_consume": "SELECT o_custkey AS id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS id_sum, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids, max(o_orderkey) AS last_id FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey",
     "two_hop_sum": """WITH p AS (SELECT o_orderkey, o_orderstatus, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey), s AS (SELECT c_nationkey, count(*) AS open_orders, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM p WHERE o_orderstatus = 'O' GROUP BY 1)
-        SELECT o_orderkey, n_name, open_orders, key_sum FROM p JOIN s USING (c_nationkey) JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 100 = 0""",
+        SELECT o_orderkey, n_name, open_orders, key_sum FROM p JOIN s USING (c_nationkey) JOIN nation ON n_nationkey = c_nationkey""",
     "stream_sketch_batch": sketch(),
     "savings_by_window": _BY_WINDOW,
     "savings_by_window_stream": _BY_WINDOW,

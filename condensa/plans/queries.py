@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from condensa.functions import detect, judge
-from condensa.functions.text import content_ref, cosine, paragraphs, saved, terms, token_count
+from condensa.functions.text import content_ref, paragraphs, saved, terms, token_count, unit
 from condensa.operators import baselines, json_tree, messages, store
 from condensa.operators.compress import compress, compress_html, compress_logs, compress_tabular, compress_text, html_text, with_runs
 from condensa.operators.score import with_bm25, with_cosine
 from condensa.plans import evaluate, experiments
-from condensa.sources import synth
+from condensa.sources import cases, synth
 from condensa.sources.files import pending
 from condensa.streaming import savings, sketch
 
@@ -24,7 +24,9 @@ BUDGET, SMALL = 128, 48
 BUDGETS = [64, 256]
 METHODS = ["full", "head", "tail", "windows", "condense"]
 DIAGNOSTIC = [3, 7, 11, 19, 23]
-BOOT = 200
+#: Ablation and faithfulness budgets, and methods that have SQL.
+CASE_BUDGETS = [128, 512]
+PLAIN = ["full", "head", "tail"]
 
 QUERIES: dict = {}
 
@@ -254,25 +256,36 @@ def router_passthrough(spark, sf_dir):
     )
 
 
+def asked_vectors(spark, sf_dir, block: int = 256) -> DataFrame:
+    """All vectors (vec_id, v: of length 1) with blocks (ids, vectors) of the query set: the vectors whose id is divisible by 20.
+
+    A row meets each block of queries once; blocks are joined by number, so that the query set needn't fit anywhere.
+    """
+    rows = synth.table(spark, sf_dir, "embeddings").where("embedding is not null and vec_id is not null").select("vec_id", unit(F.col("embedding")).alias("v"))
+    queries = rows.where("vec_id % 20 = 0")
+    n = max(1, -(-queries.count() // block))
+    blocks = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("q"))
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block").select("vec_id", "v", F.col("q.vec_id").alias("ids"), F.col("q.v").alias("vectors"))
+
+
+def vector_scores(spark, sf_dir, floor: float) -> DataFrame:
+    rows = with_cosine(asked_vectors(spark, sf_dir), "vectors", F.col("v"), floor=floor, units=True)
+    hits = F.filter(F.arrays_zip("ids", "scores"), lambda x: x["scores"] > 0)
+    rows = rows.select("vec_id", F.inline(hits)).where("vec_id <> ids")
+    return rows.select(F.col("ids").alias("query_id"), "vec_id", F.round("scores", 6).alias("score"))
+
+
 @query
 def embedding_topk(spark, sf_dir):
-    """The five vectors of each label nearest to its smallest id's vector: a top-k that each task cuts down first."""
-    v = synth.table(spark, sf_dir, "embeddings").where("embedding is not null and vec_id is not null and label is not null").select("vec_id", "label", "embedding")
-    first = v.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q"))
-    pairs = v.join(first, "label").where("vec_id <> q.vec_id")
-    pairs = pairs.select("label", "vec_id", F.round(cosine(F.col("q.embedding"), F.col("embedding")), 6).alias("score"))
-    best = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")
-    return pairs.where("score > 0").withColumn("rank", F.row_number().over(best)).where("rank <= 5")
+    """The five vectors nearest to each vector of the query set, of all vectors: a top-k that each task cuts down first."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return vector_scores(spark, sf_dir, 0.0).where("score > 0").withColumn("rank", F.row_number().over(best)).where("rank <= 5")
 
 
 @query
 def cosine_floor(spark, sf_dir):
-    """Scores of each label's vectors, in chunks by label, for its smallest id's vector."""
-    v = synth.table(spark, sf_dir, "embeddings").where("label is not null")
-    first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
-    rows = v.join(first, "label").select("vec_id", F.array("embedding").alias("vectors"), "q")
-    rows = with_cosine(rows, "vectors", F.col("q"), floor=0.2)
-    return rows.select("vec_id", F.round(F.get("scores", F.lit(0)), 6).alias("score"))
+    """How many vectors score above the floor for each vector of the query set, and their best score."""
+    return vector_scores(spark, sf_dir, 0.2).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
 
 
 def turns(spark, sf_dir):
@@ -286,13 +299,13 @@ def latest_user_query(spark, sf_dir):
 
 @query
 def messages_compress(spark, sf_dir):
-    rows = messages.compress_messages(turns(spark, sf_dir), BUDGET, roles=("assistant",))
+    rows = messages.compress_messages(turns(spark, sf_dir), BUDGET, roles=("assistant",), with_footer=False)
     return rows.select("conv_id", "turn", "original_tokens", "content_tokens", "rewritten", sha("content").alias("content_sha"))
 
 
 @query
 def request_stats(spark, sf_dir):
-    return messages.request_stats(messages.compress_messages(turns(spark, sf_dir), BUDGET, roles=("assistant",)))
+    return messages.request_stats(messages.compress_messages(turns(spark, sf_dir), BUDGET, roles=("assistant",), with_footer=False))
 
 
 @query
@@ -300,10 +313,45 @@ def dialogue_grounding(spark, sf_dir):
     return messages.grounding(turns(spark, sf_dir), "find what the caller asks for").select("conv_id", F.length("grounding").alias("chars"), sha("grounding").alias("grounding_sha"))
 
 
+def _read_body(rows: DataFrame, *more: str) -> DataFrame:
+    """What a server reads from the new bodies: model, messages and their texts, whatever their form."""
+    message = "struct<role:string,name:string,tool_call_id:string,content:variant>"
+    read = F.from_json("new_body", f"model string, temperature double, stream boolean, messages array<{message}>")
+    rows = rows.withColumn("r", F.when(F.try_parse_json("new_body").isNotNull(), read)).withColumn("ms", F.col("r.messages"))
+
+    def said(m):
+        return F.coalesce(
+            F.try_variant_get(m["content"], "$[0].content[0].text", "string"), F.try_variant_get(m["content"], "$[0].content", "string"), F.try_variant_get(m["content"], "$", "string")
+        )
+
+    return rows.select(
+        "id", "failed_open", *more, F.col("r.model").alias("model"), F.col("r.temperature").alias("temperature"), F.when(F.col("ms").isNotNull(), F.size("ms")).alias("n"),
+        F.when(F.col("ms").isNotNull(), F.size(F.filter("ms", lambda m: m["name"] == "desk"))).alias("named"), sha(F.array_join(F.transform("ms", said), "|")).alias("said_sha"),
+    )
+
+
 @query
 def request_body_fail_open(spark, sf_dir):
-    rows = messages.rewrite_bodies(synth.bodies(spark, sf_dir), lambda c: baselines.head(c, BUDGET), roles=("assistant",))
-    return rows.select("id", "failed_open", F.length("new_body").alias("chars"))
+    """Bodies with tool messages cut to the budget: all other fields stay, what doesn't parse or has no messages passes."""
+    return _read_body(messages.rewrite_bodies(synth.bodies(spark, sf_dir), lambda c: baselines.head(c, BUDGET)))
+
+
+@query
+def request_body_blocks(spark, sf_dir):
+    """The same with tool results as blocks of user messages."""
+    return _read_body(messages.rewrite_bodies(synth.bodies(spark, sf_dir, "blocks"), lambda c: baselines.head(c, BUDGET), form="blocks")).drop("named")
+
+
+@query
+def request_body_router(spark, sf_dir):
+    """Bodies whose tool results over the budget go through the router."""
+    rows = messages.compress_bodies(synth.bodies(spark, sf_dir), BUDGET, with_footer=False)
+    return _read_body(rows, "messages", "original_tokens", "compressed_tokens").drop("temperature", "named")
+
+
+@query
+def trace_extraction(spark, sf_dir):
+    return messages.traces(synth.bodies(spark, sf_dir)).select("id", "step", "tool", F.length("content").alias("chars"), sha("content").alias("content_sha"))
 
 
 def gold_cases(spark, sf_dir) -> DataFrame:
@@ -320,14 +368,31 @@ def verdicts(spark, sf_dir) -> DataFrame:
 
 @query
 def judge_matches(spark, sf_dir):
-    """Documents that hold a benchmark item's first eight words, or most of them: candidates by shared long words."""
-    items = synth.table(spark, sf_dir, "benchmark").select("item_id", judge.normal(F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")).alias("gold"))
+    """How many documents hold a benchmark item or most of its words.
+
+    A document that does holds at least ``need`` of the item's ``size`` words (a word inside a longer one can only be the first
+    or the last), so it holds one of the rarest size - need + 1: only documents with such a word are looked at. Items of
+    two words or fewer are searched as they are.
+    """
+    items = synth.table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", judge.normal(F.col("text")).alias("gold")).where("gold <> ''")
     rows = synth.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", judge.normal(F.col("text")).alias("said"))
-    asked = items.select("item_id", "gold", F.explode(F.array_distinct(F.filter(F.split("gold", " "), lambda w: F.length(w) > 2))).alias("w"))
+    words = F.split("gold", " ")
+    long_ones = F.filter(words, lambda w: F.length(w) > 2)
+    items = items.withColumn("ws", F.when(F.size(long_ones) > 0, long_ones).otherwise(words)).withColumn("size", F.size("ws"))
+    spare = F.col("size") - F.least(F.ceil(0.7 * F.col("size")), F.col("size") - 2)  # words that may be missing
+    asked = items.where("size > 2").select("item_id", spare.alias("spare"), F.explode("ws").alias("w")).groupBy("item_id", "spare", "w").agg(F.count(F.lit(1)).alias("times"))
     has = rows.select("doc_id", F.explode(F.array_distinct(F.split("said", " "))).alias("w"))
-    hits = has.join(asked, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"), F.max("gold").alias("gold"))
-    close = hits.join(rows, "doc_id").where(judge.matches(F.col("said"), F.col("gold")))
-    return close.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    common = has.join(asked.select("w").distinct(), "w").groupBy("w").agg(F.count(F.lit(1)).alias("docs"))
+    before = F.sum("times").over(Window.partitionBy("item_id").orderBy("docs", "w").rowsBetween(Window.unboundedPreceding, -1))
+    keys = asked.join(common, "w").withColumn("before", F.coalesce(before, F.lit(0)))
+    # a word of no document can't be held: it is one of those that are missing
+    absent = asked.join(common, "w", "left_anti").groupBy("item_id").agg(F.sum("times").alias("absent"))
+    keys = keys.join(absent, "item_id", "left").where(F.col("before") <= F.col("spare") - F.coalesce("absent", F.lit(0)))
+    pairs = has.join(keys.select("item_id", "w"), "w").select("doc_id", "item_id").distinct()
+    short = rows.select("doc_id", "said").join(F.broadcast(items.where("size <= 2").agg(F.collect_list(F.struct("item_id", "gold")).alias("few"))), F.lit(True))
+    short = short.select("doc_id", F.inline(F.filter("few", lambda x: judge.matches(F.col("said"), x["gold"])))).select("doc_id", "item_id")
+    close = pairs.join(rows, "doc_id").join(items.select("item_id", "gold"), "item_id").where(judge.matches(F.col("said"), F.col("gold"))).select("doc_id", "item_id")
+    return close.unionByName(short).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query
@@ -368,6 +433,79 @@ def mcnemar_grid(spark, sf_dir):
     return evaluate.paired_tests(verdicts(spark, sf_dir), "doc_id", "condense")
 
 
+@query
+def per_case_verdicts(spark, sf_dir):
+    rows = evaluate.per_case(evaluate.judged(gold_cases(spark, sf_dir), PLAIN, BUDGETS, keep=["doc_id"]), "doc_id")
+    return rows.select("doc_id", "full_tokens", "full_ok", F.size("ok").alias("verdicts"), F.element_at("ok", f"head@{BUDGETS[0]}").alias("head_ok"), F.element_at("ok", f"tail@{BUDGETS[1]}").alias("tail_ok"))
+
+
+@query
+def downstream_rate(spark, sf_dir):
+    """Whether programs that parse a cut payload find the order asked for: JSON and tables, all cases of a method and kind."""
+    last = F.regexp_extract("payload", r'"id":(\d+)[^{]*$', 1)
+    rows = synth.json_records(spark, sf_dir).select("id", "payload", F.lit("json").alias("kind"), last.alias("gold"))
+    line = F.element_at(F.split("payload", "\n"), -1)
+    rows = rows.unionByName(synth.tables(spark, sf_dir).select("id", "payload", F.lit("tabular").alias("kind"), F.split(line, ",")[0].alias("gold")))
+    rows = evaluate.judged(rows.withColumn("question", F.col("gold")), PLAIN, [SMALL], kind="kind", keep=["kind"])
+    return rows.groupBy("method", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("extracts").alias("extracted"), F.count_if("parses").alias("parsed"))
+
+
+@query
+def faithfulness_cases(spark, sf_dir):
+    rows = cases.faithfulness(spark)
+    return rows.select("id", "kind", "category", token_count(F.col("payload")).alias("tokens"), sha("payload").alias("payload_sha"), "question", "gold", F.array_join("all_of", "|").alias("all_of"), F.array_join("none_of", "|").alias("none_of"))
+
+
+def case_verdicts(spark, methods) -> DataFrame:
+    """The 66 cases, read by the offline reader: the best windows of what a method leaves."""
+    reader = lambda df, q, p, o: baselines.top_regions(df, q, payload=p, out=o)
+    return evaluate.judged(cases.faithfulness(spark), methods, CASE_BUDGETS, kind="kind", keep=["id", "category"], answerer=reader)
+
+
+@query
+def faithfulness_grid(spark, sf_dir):
+    return evaluate.grid(case_verdicts(spark, [*baselines.DEFAULT_METHODS, "recovery"]), "category")
+
+
+@query
+def ablation_ladder(spark, sf_dir):
+    return evaluate.ladder_steps(case_verdicts(spark, list(baselines.RUNGS)), list(baselines.RUNGS))
+
+
+@query
+def agent_task_cases(spark, sf_dir):
+    """What a program computes from each whole task payload."""
+    rows = cases.agent_tasks(spark)
+    got = cases.consumed(F.col("payload"), F.col("kind"), F.col("task"), F.col("marker"), F.col("lookup_id"))
+    return rows.select("id", "kind", "task", sha("payload").alias("payload_sha"), "expected", got.alias("computed"))
+
+
+@query
+def agent_task_success(spark, sf_dir):
+    """Tasks whose program still computes the right answer from what a method leaves."""
+    out = None
+    for method in ("full", "head", "tail", "windows", *baselines.RUNGS):
+        rows = cases.agent_tasks(spark).withColumn("budget", F.explode(F.array(*[F.lit(b) for b in CASE_BUDGETS])))
+        rows = baselines.METHODS[method](rows, F.col("budget"), F.col("question"), out="body")
+        got = cases.consumed(F.col("body"), F.col("kind"), F.col("task"), F.col("marker"), F.col("lookup_id"))
+        rows = rows.select(F.lit(method).alias("method"), "budget", "kind", F.coalesce(got == F.col("expected"), F.lit(False)).alias("ok"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("method", "budget", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("solved"))
+
+
+@query
+def savings_benchmark(spark, sf_dir):
+    """One payload of each kind and category at 400 tokens: what is saved, and whether the fact is still there."""
+    return evaluate.savings(cases.faithfulness(spark).where("category = 'single'"), 400)
+
+
+@query
+def run_comparison(spark, sf_dir):
+    """Runs of an experiment (here its trials) side by side, against the first."""
+    runs = synth.solves(spark, sf_dir).groupBy(F.col("trial").cast("string").alias("model"), "method", F.lit(SMALL).alias("budget")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reward") >= 1).alias("k"))
+    return evaluate.compared_runs(runs, "0")
+
+
 @query
 def solve_report(spark, sf_dir):
     return experiments.report(synth.solves(spark, sf_dir), "none")
@@ -375,7 +513,7 @@ def solve_report(spark, sf_dir):
 
 @query
 def paired_equivalence(spark, sf_dir):
-    return experiments.paired_equivalence(synth.solves(spark, sf_dir), "router", "none", n_boot=BOOT)
+    return experiments.paired_equivalence(synth.solves(spark, sf_dir), "router", "none")
 
 
 @query
@@ -390,7 +528,7 @@ def exposure_strata(spark, sf_dir):
 
 @query
 def did_headline(spark, sf_dir):
-    return experiments.difference(synth.solves(spark, sf_dir), "router", "none", DIAGNOSTIC, n_boot=BOOT)
+    return experiments.difference(synth.solves(spark, sf_dir), "router", "none", DIAGNOSTIC)
 
 
 @query
@@ -403,6 +541,36 @@ def go_no_go(spark, sf_dir):
     return experiments.go_no_go(synth.solves(spark, sf_dir), "router", "none", "truncate-head", episodes=100)
 
 
+def budgeted(spark, sf_dir) -> DataFrame:
+    """Solve records with a budget: the control's are solved once (-1), the router's for two."""
+    rows = synth.solves(spark, sf_dir)
+    budget = F.when(F.col("method") == "none", F.array(F.lit(-1))).otherwise(F.array(*[F.lit(b) for b in BUDGETS]))
+    return rows.withColumn("budget", F.explode(budget))
+
+
+@query
+def budget_reuse(spark, sf_dir):
+    """Records of the control, solved once, stand for every budget."""
+    return experiments.every_budget(budgeted(spark, sf_dir), "none").groupBy("method", "budget").agg(F.count(F.lit(1)).alias("n"), F.sum("reward").alias("solved"))
+
+
+@query
+def go_no_go_budgets(spark, sf_dir):
+    return experiments.go_no_go(budgeted(spark, sf_dir), "router", "none", "truncate-head", episodes=100, least_delta={BUDGETS[0]: -0.05, BUDGETS[1]: 0.5})
+
+
+@query
+def cost_projection(spark, sf_dir):
+    rows = docs(spark, sf_dir).withColumn("t", token_count(F.col("payload")))
+    return experiments.projected_cost(rows.select(F.greatest(F.col("t") - BUDGET, F.lit(0)).alias("saved_tokens")), 2.5)
+
+
+@query
+def solve_stats(spark, sf_dir):
+    """The counters of all trials added up by method and trial."""
+    return experiments.merged_stats(synth.solves(spark, sf_dir).withColumns({"raw_tokens": F.col("tool_calls") * 90, "context_tokens": F.col("tool_calls") * 30, "expand_calls": F.col("compressed") % 2}), "method", "trial")
+
+
 @query
 def resume_pending(spark, sf_dir):
     work = synth.solves(spark, sf_dir).select("method", "task", "trial")
@@ -422,13 +590,13 @@ def agent_task_consume(spark, sf_dir):
 
 @query
 def two_hop_sum(spark, sf_dir):
-    """Order to customer's nation, then the open orders of that nation, for orders divisible by 100."""
+    """Order to customer's nation, then the open orders of that nation."""
     orders = synth.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     nation = synth.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     placed = orders.join(nation, "o_custkey")
     open_ones = placed.where("o_orderstatus = 'O'").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("open_orders"), F.sum("o_orderkey").alias("key_sum"))
     names = synth.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return placed.where("o_orderkey % 100 = 0").join(open_ones, "c_nationkey").join(names, "c_nationkey").select("o_orderkey", "n_name", "open_orders", "key_sum")
+    return placed.join(open_ones, "c_nationkey").join(names, "c_nationkey").select("o_orderkey", "n_name", "open_orders", "key_sum")
 
 
 def event_lines(spark, sf_dir) -> DataFrame:
@@ -437,7 +605,7 @@ def event_lines(spark, sf_dir) -> DataFrame:
 
 @query
 def stream_sketch_batch(spark, sf_dir):
-    rows = sketch.sketch_batch(event_lines(spark, sf_dir), BUDGET, LOG_QUERY, key="user_id", order="event_id", top=4, matter=6)
+    rows = sketch.sketch_batch(event_lines(spark, sf_dir), BUDGET, LOG_QUERY, key="user_id", order="event_id")
     return rows.select("user_id", "n_kept", token_count(F.col("body")).alias("body_tokens"), sha("body").alias("body_sha"))
 
 
@@ -454,14 +622,14 @@ def savings_by_window(spark, sf_dir):
 def savings_by_window_stream(spark, sf_dir):
     """The same as a stream over what is there now."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and spark.sparkContext.master.startswith("local"):  # one process: its own folder is seen by all
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/condensa-streams"
     if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="condensa-")
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    return savings.run_once(savings.by_window(stream, "6 hours", watermark="1 hour"), f"{base.rstrip('/')}/savings-{uuid.uuid4().hex}")
+    return savings.run_once(savings.by_window(stream, "6 hours", watermark="1 hour"), f"{base.rstrip('/')}/savings-{uuid.uuid4().hex}", ["window_start", "event_type"])
 
 
 @query
@@ -480,14 +648,31 @@ def lru_compaction(spark, sf_dir):
     return store.latest(rows, 64, key="user_id", at="ts", tie="user_id")
 
 
-@query
-def leaderboard_violations(spark, sf_dir):
-    """Entries made from the customers' balances, some of them broken on purpose."""
+def entries(spark, sf_dir) -> DataFrame:
+    """Leaderboard entries made from the customers' balances, some of them broken on purpose."""
     c = synth.table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    entries = c.select(
+    return c.select(
         k.alias("entry"), F.when(k % 11 != 0, F.col("c_name")).alias("method"), F.col("c_mktsegment").alias("track"), F.lit("accuracy").alias("metric"),
         (k % 130 / 100).alias("value"), (k % 9).alias("n"), F.when(k % 13 != 0, "run").alias("source"), (k % 5 == 0).alias("verified"),
         F.when(k % 10 == 0, "paired test").alias("evidence"),
     )
-    return experiments.leaderboard_violations(entries)
+
+@query
+def leaderboard_violations(spark, sf_dir):
+    return experiments.leaderboard_violations(entries(spark, sf_dir))
+
+
+@query
+def leaderboard_order(spark, sf_dir):
+    """The best five entries of each track, in order."""
+    best = Window.partitionBy("track").orderBy(F.desc("value"), "entry")
+    return experiments.ranked_entries(entries(spark, sf_dir).withColumn("place", F.row_number().over(best)).where("place <= 5").select("track", "place", "entry", "method", "value"))
+
+
+@query
+def store_expiry(spark, sf_dir):
+    """Stored payloads that are not older than ten days at a fixed time."""
+    kept = events(spark, sf_dir).where("user_id is not null").groupBy(F.col("user_id").cast("string").alias("ref")).agg(F.max("ts").alias("stored_at"))
+    return store.unexpired(kept, F.lit("2024-01-31 00:00:00").cast("timestamp"), 10 * 86_400).select("ref", "stored_at")
+

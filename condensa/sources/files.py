@@ -2,40 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+import platform
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT = "method string, budget int, task int, trial int, reward double, stats struct<tool_calls:long,compressed:long,raw_tokens:long,context_tokens:long,expand_calls:long>"
+from condensa.functions.text import token_count
+
+CHECKPOINT = "method string, budget int, task int, trial int, reward double, stats struct<tool_calls:long,compressed:long,raw_tokens:long,context_tokens:long,expand_calls:long>, seq long"
 KEY = ["method", "budget", "task", "trial"]
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """(id, payload): one row a file, its path as the id; bytes that aren't UTF-8 are replaced."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("id"), F.decode("content", "UTF-8").alias("payload"))
+    return files.select(F.col("path").alias("id"), F.make_valid_utf8(F.col("content").cast("string")).alias("payload"))
 
 
 def coerced(df: DataFrame, column: str) -> Column:
     """Any column as a payload: strings as they are, bytes decoded, the rest as JSON or by cast."""
     kind = df.schema[column].dataType.typeName()
     if kind == "binary":
-        return F.decode(column, "UTF-8")
+        return F.make_valid_utf8(F.col(column).cast("string"))
     return F.to_json(column) if kind in ("struct", "array", "map", "variant") else F.col(column).cast("string")
 
 
 def read_checkpoint(spark: SparkSession, path: str, *, last_only: bool = True) -> DataFrame:
-    """Solve records of JSON lines; blank and torn lines are skipped, the last record of a key wins."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    rows = raw.select(F.from_json("value", CHECKPOINT).alias("r"), "file", "at").where("r.method is not null and r.task is not null")
-    rows = rows.select("r.*", "file", "at").withColumn("budget", F.when(F.col("method") == "none", -1).otherwise(F.coalesce("budget", F.lit(-1))))
-    if last_only:
-        latest = Window.partitionBy(*KEY).orderBy(F.desc("file"), F.desc("at"))
-        rows = rows.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
-    return rows.drop("file", "at")
+    """Solve records of JSON lines; blank and torn lines are skipped, the last record of a key wins.
+
+    Last is what was appended last: by the sequence number that ``append_checkpoint`` writes, else by the
+    time of the file, then by the place in the file. Combined before the shuffle, so a key with very many records is no burden.
+    """
+    place = F.monotonically_increasing_id()
+    raw = spark.read.text(path).select("value", F.unix_micros("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), place.alias("at"))
+    rows = raw.select(F.from_json("value", CHECKPOINT).alias("r"), "time", "file", "at").where("r.method is not null and r.task is not null")
+    rows = rows.select("r.*", "time", "file", "at").withColumn("budget", F.when(F.col("method") == "none", -1).otherwise(F.coalesce("budget", F.lit(-1))))
+    rows = rows.select(*KEY, F.struct(F.coalesce("seq", "time").alias("seq"), "file", "at").alias("order"), "reward", "stats")
+    if not last_only:
+        return rows.drop("order")
+    last = rows.groupBy(*KEY).agg(F.max_by(F.struct("reward", "stats"), "order").alias("r"))
+    return last.select(*KEY, "r.reward", "r.stats")
 
 
 def append_checkpoint(records: DataFrame, path: str) -> None:
-    records.write.mode("append").json(path)
+    """Append records, all of one call with one sequence number: microseconds since the epoch."""
+    records.withColumn("seq", F.lit(time.time_ns() // 1000)).write.mode("append").json(path)
+
+
+def read_runs(spark: SparkSession, pattern: str) -> DataFrame:
+    """Run records (``write_results``) of all files that match, with the run's folder as ``run``."""
+    rows = spark.read.option("multiLine", True).json(pattern)
+    return rows.withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+
+
+def write_results(spark: SparkSession, path: str, manifest: dict, **frames: DataFrame) -> None:
+    """One JSON object: a manifest (with what made it) and small result frames as arrays of records."""
+    made = {"spark": spark.version, "python": platform.python_version(), "made_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
+    out = spark.range(1).select(F.lit(json.dumps(made | manifest)).alias("manifest"))
+    for name, df in frames.items():  # results are aggregates, a handful of rows each
+        rows = df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias(name))
+        out = out.join(F.broadcast(rows), F.lit(True))
+    whole = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), F.col(c)) for c in out.columns]), F.lit("}"))
+    out.select(whole.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def export_cases(cases: DataFrame, path: str, payload: str = "payload") -> None:
+    """A data set of one case a line, with the payload's token count."""
+    cases.withColumn("tool_output_tokens", token_count(F.col(payload))).write.mode("overwrite").json(path)
 
 
 def pending(work: DataFrame, done: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -52,6 +87,11 @@ def cached_answers(asked: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     return asked.join(known, "key"), asked.join(known.select("key"), "key", "left_anti")
 
 
+def remember(answers: DataFrame, path: str) -> None:
+    """Append (key, answer) rows to the cache; a key that is written twice is read once."""
+    answers.select("key", "answer").write.mode("append").parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

@@ -57,12 +57,24 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("payload", body)
 
 
-def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chat request bodies (id, body); every tenth is cut short, so that it doesn't parse."""
-    turn = F.struct(F.col("turn").alias("k"), F.struct("role", F.col("text").alias("content")).alias("v"))
-    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(turn)).alias("rows"))
-    whole = F.to_json(F.struct(F.col("rows.v").alias("messages")))
-    cut = F.when(F.col("id") % 10 == 9, F.expr("substr(w, 1, length(w) - 2)")).otherwise(F.col("w"))
+def bodies(spark: SparkSession, sf_dir: str, form: str = "chat") -> DataFrame:
+    """Chat request bodies (id, body) with model and options; assistants' turns stand as tool results.
+
+    In the form ``blocks`` they are blocks of user messages, their content a string or, in every other turn, a list with one text part.
+    Every tenth body is cut short, so that it doesn't parse, and every tenth has no messages.
+    """
+    tool = F.col("role") == "assistant"
+    name, call = F.when(tool, "desk"), F.when(tool, F.concat(F.lit("call"), F.col("turn").cast("string")))
+    if form == "chat":
+        message = F.to_json(F.struct(F.when(tool, "tool").otherwise(F.col("role")).alias("role"), name.alias("name"), call.alias("tool_call_id"), F.col("text").alias("content")))
+    else:
+        part = F.array(F.struct(F.lit("text").alias("type"), "text"))
+        block = lambda content: F.array(F.struct(F.lit("tool_result").alias("type"), call.alias("tool_use_id"), content.alias("content")))
+        of = lambda content: F.to_json(F.struct(F.lit("user").alias("role"), content.alias("content")))
+        message = F.when(~tool, F.to_json(F.struct("role", F.col("text").alias("content")))).when(F.col("turn") % 2 == 0, of(block(F.col("text")))).otherwise(of(block(part)))
+    rows = gathered(table(spark, sf_dir, "conversations").withColumn("message", message), "conv_id", "turn", F.col("message"), separator=",")
+    whole = F.concat(F.lit('{"model":"small","temperature":0.5,"stream":false,"messages":['), "payload", F.lit("]}"))
+    cut = F.when(F.col("id") % 10 == 9, F.expr("substr(w, 1, length(w) - 2)")).when(F.col("id") % 10 == 8, '{"model":"small","input":[1]}').otherwise(F.col("w"))
     return rows.select("id", whole.alias("w")).select("id", cut.alias("body"))
 
 

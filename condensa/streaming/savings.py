@@ -22,13 +22,19 @@ def by_session(events: DataFrame, gap: str, *, key: str = "user_id", ts: str = "
     return one.select(key, F.col("w.start").alias("session_start"), "n", "errors")
 
 
-def run_once(stream: DataFrame, folder: str, *, mode: str = "complete") -> DataFrame:
-    """Run a streaming frame over all that is there now; the last result is kept under ``folder`` and read back."""
+def run_once(stream: DataFrame, folder: str, key: list[str], *, mode: str = "update") -> DataFrame:
+    """Run a streaming frame over all that is there now; the latest row of each ``key`` is the result.
+
+    In ``update`` mode a batch only writes the windows that it changed, and the watermark lets go of old ones' state.
+    Each batch has a folder of its own below ``folder``: one that is run again replaces its own rows.
+    """
     spark, out = stream.sparkSession, f"{folder}/result"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    rows = spark.read.parquet(out)
+    others = [c for c in rows.columns if c not in (*key, "batch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*key, "r.*")

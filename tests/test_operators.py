@@ -12,7 +12,8 @@ from condensa.operators import baselines, json_tree, messages, store
 from condensa.operators.budget import fit_chunks, take_until_full, take_what_fits
 from condensa.operators.compress import compress, compress_logs, compress_tabular, html_text
 from condensa.operators.score import with_bm25, with_cosine
-from condensa.sources import files
+from condensa.plans import evaluate, experiments
+from condensa.sources import cases, files
 from condensa.streaming import sketch
 
 
@@ -122,13 +123,13 @@ def test_json_cliff_keeps_the_cluster():
 
 def test_router(spark):
     text = "\n".join(f"line {i} of some length or other" for i in range(200))
-    df = spark.createDataFrame([("small",), (text,), (json.dumps([{"a": "b c " * 90}] * 9),), (None,), ("",)], "payload string")
-    got = [r.result for r in compress(df, 64, "line 17").collect()]
+    df = spark.createDataFrame(list(enumerate(["small", text, json.dumps([{"a": "b c " * 90}] * 9), None, ""])), "id int, payload string")
+    got = [r.result for r in compress(df, 64, "line 17").orderBy("id").collect()]
     assert [g.compressed for g in got] == [False, True, True, False, False]
     assert got[0].text == "small" and got[0].ref is None and "line 17 of" in got[1].text and got[1].ref in got[1].text
     assert got[1].ref == spark.createDataFrame([(text,)], "v string").select(content_ref("v").alias("r")).first().r
     assert [g.content_type for g in got] == ["text", "text", "json", "text", "text"]
-    assert compress(df, 64, "x", forced_type="odd").first().result.content_type == "odd"
+    assert compress(df, 64, "x", forced_type="odd").first()["result"].content_type == "odd"
 
 
 def test_short_strings(spark):
@@ -168,11 +169,52 @@ def test_store(spark, tmp_path):
     assert got[True][0].startswith("no stored text") and got[False][0].startswith("xyzxyzxyzx\n[20 more") and got[False][1] == 10
 
 
+def test_store_tells_contents_apart(spark):
+    """Two contents under one short reference: both stay, and the whole key finds each."""
+    kept = spark.createDataFrame([("aaaaaaaa" + "1" * 32, "aaaaaaaa", "one"), ("aaaaaaaa" + "2" * 32, "aaaaaaaa", "two")], "key string, ref string, payload string")
+    ask = spark.createDataFrame([("aaaaaaaa", 0), ("aaaaaaaa" + "2" * 32, 0)], "ref string, start int")
+    got = {len(r.ref): r.page for r in store.expand(ask, kept).collect()}
+    assert got[8].startswith("several stored texts") and got[40] == "two"
+
+
+CHAT = {"model": "m", "temperature": 0, "messages": [
+    {"role": "tool", "name": "t", "tool_call_id": "c1", "content": "abcdef"}, {"role": "tool", "content": 7}, {"role": "user", "content": [{"type": "text", "text": "abcdef"}]}, 5,
+]}
+BLOCKS = {"model": "m", "max_tokens": 256, "messages": [
+    {"role": "user", "content": "abcdef"}, {"role": "assistant", "content": [{"type": "tool_use", "id": "u", "name": "n", "input": {}}]},
+    {"role": "user", "content": [{"type": "text", "text": "abcdef"}, {"type": "tool_result", "tool_use_id": "u", "content": "abcdef"},
+                                 {"type": "tool_result", "is_error": False, "content": [{"type": "text", "text": "abcdef"}, {"type": "image", "data": None}]}]},
+]}
+
+
 def test_messages(spark):
-    df = spark.createDataFrame([("not json",), ('{"messages":[{"role":"tool","content":"abcdef"},{"role":"user","content":"abcdef"}]}',), (None,)], "body string")
-    got = messages.rewrite_bodies(df, lambda c: F.substring(c, 1, 2)).collect()
-    assert [r.failed_open for r in got] == [True, False, True] and got[0].new_body == "not json" and got[2].new_body is None
-    assert [m["content"] for m in json.loads(got[1].new_body)["messages"]] == ["ab", "abcdef"]
+    odd = [("not json",), (None,), ('{"messages":{"a":1}}',), ("[1]",), ('{"messages":[]} trailing',)]
+    for form, body, change in (("chat", CHAT, lambda m: m[0].update(content="ab")), ("blocks", BLOCKS, lambda m: (m[2]["content"][1].update(content="ab"), m[2]["content"][2]["content"][0].update(text="ab")))):
+        got = messages.rewrite_bodies(spark.createDataFrame([(json.dumps(body),), *odd], "body string"), lambda c: F.substring(c, 1, 2), form=form).collect()
+        assert [r.failed_open for r in got] == [False] + [True] * 5 and [r.new_body for r in got[1:]] == [o[0] for o in odd]
+        want = json.loads(json.dumps(body))
+        change(want["messages"])
+        assert json.loads(got[0].new_body) == want  # all other fields stay as they were
+
+
+@pytest.mark.parametrize("form", ["chat", "blocks"])
+def test_bodies_through_the_router(spark, form):
+    big = "\n".join(f"line {i} about customer {4400 + i}" for i in range(200))
+    result = {"role": "tool", "content": big} if form == "chat" else {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "u", "content": [{"type": "text", "text": big}]}]}
+    body = {"model": "m", "messages": [{"role": "user", "content": "refund customer 4417"}, result]}
+    small = {"messages": [{"role": "user", "content": "hi"}, {"role": "tool", "content": "short"}]}
+    df = spark.createDataFrame([(1, json.dumps(body)), (2, json.dumps(small))], "id int, body string")
+    got = {r.id: r for r in messages.compress_bodies(df, 80, form=form, with_footer=False).collect()}
+    assert got[1].messages == 1 and got[1].compressed_tokens < got[1].original_tokens and "4417" in got[1].new_body and json.loads(got[1].new_body)["model"] == "m"
+    assert got[2].messages == 0 and got[2].new_body == json.dumps(small)
+
+
+def test_tool_call_queries(spark):
+    turns = spark.createDataFrame([(1, k, "user" if k % 2 else "assistant", f"turn {k} " + "x" * 500) for k in range(9)], "conv_id int, turn int, role string, text string")
+    calls = spark.createDataFrame([(1, "lookup", {"id": "4417"}), (2, "none", {"a": " ", "b": "red", "c": "fox"})], "conv_id int, tool string, arguments map<string,string>")
+    got = {r.conv_id: r for r in messages.grounding(turns, "find it", calls=calls).collect()}
+    assert got[1].grounding.startswith("find it\nturn 3") and got[1].grounding.endswith('\nlookup\n{"id":"4417"}') and got[2].grounding.startswith("find it\nnone")
+    assert [r.q for r in calls.orderBy("conv_id").select(messages.arguments_query(F.col("arguments")).alias("q")).collect()] == ["4417", "red fox"]
 
 
 def test_checkpoints(spark, tmp_path):
@@ -180,18 +222,143 @@ def test_checkpoints(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text("\n".join(lines))
     rows = files.read_checkpoint(spark, f"file://{tmp_path}/c.jsonl")
     assert sorted((r.method, r.budget, r.reward) for r in rows.collect()) == [("a", 1, 1.0), ("none", -1, 1.0)]
+    assert files.read_checkpoint(spark, f"file://{tmp_path}/c.jsonl", last_only=False).count() == 3
     work = spark.createDataFrame([("a", 1, 1, 0), ("a", 1, 9, 0)], "method string, budget int, task int, trial int")
     assert [r.task for r in files.pending(work, rows).collect()] == [9]
     results = spark.createDataFrame([(10, 4, True)], "original_tokens int, compressed_tokens int, compressed boolean")
     assert {r.name: r.value for r in files.parse_counters(files.counters(results)).collect()}["condensa_tokens_out_total"] == 4.0
 
 
+def test_the_last_appended_record_wins(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    for k in range(6):
+        files.append_checkpoint(spark.createDataFrame([("a", 1, 1, 0, float(k))], "method string, budget int, task int, trial int, reward double"), path)
+    assert [r.reward for r in files.read_checkpoint(spark, path).collect()] == [5.0]
+
+
+def test_run_files(spark, tmp_path):
+    grid = spark.createDataFrame([("head", 64, 0.5)], "method string, budget int, accuracy double")
+    files.write_results(spark, f"file://{tmp_path}/runs/one", {"model": "m"}, grid=grid)
+    got = files.read_runs(spark, f"file://{tmp_path}/runs/*/part-*").first()
+    assert got.run == "one" and got.manifest.model == "m" and got.grid[0].accuracy == 0.5
+    files.export_cases(spark.createDataFrame([(1, "abcde")], "id int, payload string"), f"file://{tmp_path}/cases")
+    assert spark.read.json(f"file://{tmp_path}/cases").first().tool_output_tokens == 2
+    asked = spark.createDataFrame([("m", "q", "c"), ("m", "q2", "c")], "model string, question string, context string")
+    _, ask = files.cached_answers(asked, spark.createDataFrame([], "key string, answer string"))
+    files.remember(ask.where("question = 'q'").withColumn("answer", F.lit("yes")), f"file://{tmp_path}/cache")
+    known, ask = files.cached_answers(asked, spark.read.parquet(f"file://{tmp_path}/cache"))
+    assert [r.answer for r in known.collect()] == ["yes"] and [r.question for r in ask.collect()] == ["q2"]
+    (tmp_path / "bytes.bin").write_bytes(b"ab\xffc")
+    assert files.read_payloads(spark, f"file://{tmp_path}/bytes.bin").first().payload == "ab\ufffdc"
+    odd = spark.createDataFrame([("s", bytearray(b"b"), 5, {"k": 1}, [1, 2])], "a string, b binary, c int, d map<string,int>, e array<int>")
+    assert list(odd.select(*[files.coerced(odd, c).alias(c) for c in odd.columns]).first()) == ["s", "b", "5", '{"k":1}', "[1,2]"]
+    files.write_csv(grid, f"file://{tmp_path}/csv")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/csv").first().method == "head" and "| head | 64 | 0.5 |" in files.markdown(grid, "Grid")
+
+
+def test_footer_template_and_budget(spark):
+    text = "\n".join(f"line {i} of some length or other" for i in range(200))
+    df = spark.createDataFrame([(text, 64), (text, 200)], "payload string, room int")
+    got = [r.result for r in compress(df, F.col("room"), "line 17", template="<{ref}: {original} to {compressed}>").collect()]
+    assert got[0].text.endswith(">") and f"<{got[0].ref}: {got[0].original_tokens} to " in got[0].text and len(got[1].text) > len(got[0].text)
+    assert compress(df.limit(1), 8, "line 17", store=False).first().result.text.count("line") <= 3  # sixteen tokens at least are left
+
+
+def test_extractable(spark):
+    rows = [('{"a":{"note":"refund to 4417"}}\n[note]', "json", ["4417"]), ('{"a":"refund to 44', "json", ["44"]), ("id,v\n1,4417\n# more", "tabular", ["4417"]), ("id,v\n1", "tabular", ["1"]), ("4417", "text", ["4417"])]
+    df = spark.createDataFrame(rows, "t string, k string, g array<string>")
+    assert [r.x for r in df.select(judge.extractable(F.col("t"), F.col("k"), F.col("g")).alias("x")).collect()] == [True, False, True, False, None]
+
+
+def test_whole_json_only(spark):
+    cases = {'{"a":1}': True, '{"a":1} x': False, "[1] [2]": False, "[1,2]": True, '{"a":1}]': False, "4": False}
+    assert {k: one(spark, detect.is_json, k) for k in cases} == cases
+
+
+def test_cases_and_programs(spark):
+    from condensa.plans.queries import QUERIES
+
+    rows = cases.faithfulness(spark)
+    assert {(r.category, r["count"]) for r in rows.groupBy("category").count().collect()} == {("single", 50), ("multi", 6), ("distractor", 6), ("aggregate", 4)}
+    ok = rows.select(judge.passed(F.col("payload"), F.col("gold"), F.col("all_of"), F.array().cast("array<string>")).alias("ok"), (detect.content_type(F.col("payload")) == F.col("kind")).alias("typed")).collect()
+    assert all(r.ok and r.typed for r in ok)
+    grid = {(r.method, r.budget): r for r in evaluate.grid(QUERIES_case_verdicts(spark, ["full", "head", "condense"])).collect()}
+    assert grid["full", 128].accuracy > 0.9 and grid["condense", 512].accuracy > 0.85 > 0.3 > grid["head", 128].accuracy and grid["condense", 512].downstream_rate > 0.8
+    solved = {(r.method, r.budget, r.kind): r.solved for r in QUERIES["agent_task_success"](spark, None).collect()}
+    assert solved["full", 128, "json"] == 6 and solved["condense", 512, "json"] == 6 and solved["condense", 512, "tabular"] == 4 and solved["flat", 512, "json"] == solved["head", 512, "json"] == 0
+    assert all(r.found == r.n and r.compressed_tokens < r.original_tokens / 2 for r in QUERIES["savings_benchmark"](spark, None).collect())
+    assert [r.accuracy is not None for r in QUERIES["ablation_ladder"](spark, None).collect()] == [True] * 8
+
+
+def QUERIES_case_verdicts(spark, methods):
+    from condensa.plans.queries import case_verdicts
+
+    return case_verdicts(spark, methods)
+
+
+def test_vector_windows(spark):
+    """Words as axes: the window that shares the query's axis comes first."""
+    embed = lambda texts: F.transform(texts, lambda t: F.array(*[F.when(t.contains(w), 1.0).otherwise(0.0) for w in ("fox", "hen")]))
+    text = "\n".join(["plain line of words"] * 40 + ["the fox is here"] + ["a hen is there"] * 5)
+    df = spark.createDataFrame([(text,)], "payload string")
+    assert baselines.vector_windows(embed)(df, 6, "fox").first()["body"] == "the fox is here"
+
+
+def test_bootstrap_is_near_theory(spark):
+    rows = [("all", i, float(i % 7)) for i in range(70)]
+    found = experiments._replicates(spark.createDataFrame(rows, "stratum string, task int, value double"), 2000, 0, "stratum").select("mean").toPandas()["mean"]
+    assert len(found) == 2000 and abs(found.mean() - 3) < 0.03 and abs(found.std() - 2 / 70**0.5) < 0.02
+
+
+def test_percentiles_with_ties_and_tails(spark):
+    values = [1.0] * 500 + [2.0, 3.0, 1e9] + [float(k) / 7 for k in range(300)] + [-5.0]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got, s = experiments.latency(df, "v", bins=8).first(), sorted(values)
+    assert got.n == len(s) and [got.p50, got.p90, got.p99] == [s[min(int(q * len(s)), len(s) - 1)] for q in (0.5, 0.9, 0.99)]
+
+
 def test_sketch_is_bounded(spark):
     rows = [("s", i, f"line {i} " + ("error" if i % 50 == 0 else "needle" if i == 777 else "")) for i in range(2000)]
     got = sketch.sketch_batch(spark.createDataFrame(rows, "k string, o int, line string"), 64, "needle", key="k", order="o").first()
     assert got.n_kept == 8 + 8 + 40 + 1 - 1 and "line 777" in got.body  # line 0 is in the head, too
 
 
+@pytest.mark.parametrize("top", [1, 2, 3, 5, 40])
+def test_batch_and_stream_sketches_agree(spark, top, monkeypatch):
+    """Ties of overlap under a full buffer: the earliest of the weakest goes, in both forms."""
+    terms = ["", "red", "red fox", "red fox hen", "error"]
+    rows = [(f"{k % 2}", k, f"{terms[k * 7919 % 5]} {k}") for k in range(120)]
+    df = spark.createDataFrame(rows, "k string, o int, line string").repartition(5)
+    got = {key: [] for key in "01"}
+    for r in sketch.survivors(df, "red fox hen", key="k", order="o", head=2, tail=2, top=top, matter=3).orderBy("o").collect():
+        got[r.k].append(r.chunk)
+    for name, n in (("HEAD", 2), ("TAIL", 2), ("TOP", top), ("MATTER", 3)):
+        monkeypatch.setattr(sketch, name, n)
+    for key in "01":
+        s = sketch.Sketch("red fox hen")
+        state = {"n": 0, "tokens": 0, "rest": "", "head": [], "tail": [], "hot": [], "top": []}
+        for _, _, line in (r for r in rows if r[0] == key):
+            s._add(state, line.strip())
+        kept = dict([*state["head"], *state["tail"], *state["hot"], *[x[1:] for x in state["top"]]])
+        assert got[key] == [kept[k] for k in sorted(kept)]
+
+
+def test_sketch_stream_in_spark(spark, tmp_path):
+    """Pieces of two streams through Structured Streaming, lines split over files."""
+    schema = "key string, seq int, piece string, done boolean"
+    text = "".join(f"line {i} {'needle' if i == 77 else 'x'}\n" for i in range(300))
+    cuts = [text[k : k + 900] for k in range(0, len(text), 900)]
+    rows = [(key, k, p, k == len(cuts) - 1) for key in "ab" for k, p in enumerate(cuts)]
+    spark.createDataFrame(rows, schema).repartition(3).write.json(f"file://{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = sketch.sketch_stream(spark.readStream.schema(schema).json(f"file://{tmp_path}/in"), "needle")
+    query = out.writeStream.format("memory").queryName("sketched").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.table("sketched").collect()
+    assert sorted(r.key for r in got) == ["a", "b"] and all(r.seen == 300 and r.tokens > 300 and len(r.chunks) == 17 and "line 77 needle" in r.chunks for r in got)
+    assert "needle" in sketch.fitted(spark.table("sketched"), 64, "needle").first()["body"]
+
+
 def test_sketch_of_pieces():
     class State:
         value = None

@@ -1,5 +1,7 @@
 """Every query with SQL gives the rows that DuckDB finds for it."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -21,9 +23,9 @@ def duck(sf_dir):
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def value(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
             return None
-        return round(float(v), 6) if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+        return round(float(v), 6) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
     rows = [tuple(value(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False)]
     return sorted(rows, key=str)
