@@ -1,12 +1,12 @@
 """Main text of HTML pages by the distribution of text over line blocks.
 
-Markup is stripped into lines, one a block element; lines in page furniture (menus, forms,
-scripts, adverts, comments ...) weigh nothing, links weigh nothing in their line. Sums of
-weights over a sliding window of lines surge where the article begins and dive where
-it ends; all lines but furniture between these points are the text, link lists too. What counts
-as a surge is measured by the middle line of each window, so a single long line sets no
-threshold for the others. Where the page marks its article (``article``, ``main`` or their
-roles), all of the marked part but furniture is the text.
+Markup is stripped into lines, one a block element. A line weighs as much as it has characters outside links;
+lines in page furniture (menus, forms, scripts, adverts, comments ...) weigh nothing. Where the page marks its article
+(``article``, ``main`` or their roles), each line of the marked part weighs as much as its long ones do, link
+lists too, and other lines weigh a tenth, or nothing if that is not as much as the marked part's floor for a line.
+Sums of weights over a sliding window of lines surge where the article begins and dive where it ends; all lines
+but furniture between these points are the text, and headings right before them. What counts as a surge is measured by
+the middle line of each window, so that a single long line sets no floor for the others.
 """
 
 from __future__ import annotations
@@ -23,6 +23,11 @@ from pyspark.sql import functions as F
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""")
 _MARKS = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Class words that tell of a part elsewhere (``has-sidebar``) don't make their own element furniture.
+_ELSEWHERE = re.compile(r"(?:^|(?<=\s))(?:has|no|not|with|without|is)[_-]\S+", re.I)
+#: Words that make even an ``article`` a reader's comment.
+_COMMENT = re.compile(r"(?:^|[\s_-])(?:comment\w*|repl(?:y|ies)|respond|disqus\w*)(?=$|[\s_-])", re.I)
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 _MAY_HIDE = re.compile(r"hidden|none", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
@@ -77,7 +82,8 @@ def lines(page: str) -> list[Line]:
     out: list[Line] = []
     buffer: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, in furniture, in the article
-    links = linked = 0
+    linked = 0
+    link = -1  # the number of open elements where the open link began
     heading = False
 
     def flush() -> None:
@@ -95,7 +101,7 @@ def lines(page: str) -> list[Line]:
         nonlocal linked
         if text:
             buffer.append(text)
-            if links:
+            if link >= 0:
                 linked += len(text)
 
     at = 0
@@ -112,13 +118,15 @@ def lines(page: str) -> list[Line]:
         if name in ("br", "td", "th"):
             add(" ")
         if name == "a":
-            links = 0 if closing else 1
+            link = len(stack) if not closing and _HREF.search(attrs) else -1
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     if not block:
                         flush()
                     del stack[k:]
+                    if k < link:  # a link that isn't closed ends with the element that holds it
+                        link = -1
                     break
             if name[:1] == "h" and name[1:].isdigit():
                 heading = False
@@ -127,6 +135,8 @@ def lines(page: str) -> list[Line]:
             stack.pop()
         if name in _ENDS_LIKE and stack and stack[-1][0] in _ENDS_LIKE[name]:
             stack.pop()
+        if link > len(stack):
+            link = -1
         if name in _VOID:
             continue
         if block:
@@ -136,7 +146,8 @@ def lines(page: str) -> list[Line]:
         main = name in ("article", "main") or bool(marks and block and _ARTICLE_MARK.search(marks))
         odd = name in _DROPPED or name == "header" and not article
         if not odd and attrs and name not in ("body", "html"):
-            odd = not main and bool(marks and _FURNITURE.search(marks)) or _hidden(attrs)
+            own = _ELSEWHERE.sub("", marks)
+            odd = bool(own and (_COMMENT if main else _FURNITURE).search(own)) or _hidden(attrs)
             odd = odd or not article and not main and bool(marks and _PAGE_HEADER.search(marks))
         if block or odd:
             if odd and not block:
@@ -147,12 +158,30 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def _between(weights: list[int], window: int, share: float) -> tuple[int, int]:
+def _middles(weights: list[int], half: int) -> list[int]:
+    """The middle weight of the window around each line."""
+    out = []
+    for k in range(len(weights)):
+        own = sorted(weights[max(0, k - half) : k + half + 1])
+        out.append(own[(min(k, half) + min(len(weights) - 1 - k, half)) // 2])
+    return out
+
+
+def weights(found: list[Line], window: int, share: float) -> list[float]:
+    """The weight of each line, by its text and by whether the page marks it as its article's."""
+    marked = [max(x.weight, 1) for x in found if x.article and not x.furniture]
+    if not any(x.article and x.weight for x in found):
+        return [x.weight for x in found]
+    high = max(_middles(marked, window // 2))
+    other = lambda x: 0.1 * x.weight if 0.1 * x.weight >= share * high else 0
+    return [0 if x.furniture else max(x.weight, high) if x.article else other(x) for x in found]
+
+
+def between(weights: list[float], window: int, share: float) -> tuple[int, int]:
     """First and last line of the stretch from the first surge to the last dive; (0, -1) if none."""
     half = window // 2
     sums = [sum(weights[max(0, k - half) : k + half + 1]) for k in range(len(weights))]
-    middle = [sorted(weights[max(0, k - half) : k + half + 1])[(min(k, half) + min(len(weights) - 1 - k, half)) // 2] for k in range(len(weights))]
-    floor = max(1.0, share * window * max(middle, default=0))
+    floor = max(1.0, share * window * max(_middles(weights, half), default=0))
     over = [k for k, s in enumerate(sums) if s >= floor]
     if not over:
         return 0, -1
@@ -169,10 +198,8 @@ def main_text(page: str | None, window: int = 3, share: float = 0.2) -> str:
     if not page:
         return ""
     found = lines(page)
-    if any(x.article and x.weight for x in found):
-        return "\n".join(x.text for x in found if x.article and not x.furniture)
-    first, last = _between([x.weight for x in found], window, share)
-    while first > 0 and found[first - 1].heading and found[first - 1].weight:
+    first, last = between(weights(found, window, share), window, share)
+    while 0 < first <= last and found[first - 1].heading and not found[first - 1].furniture:
         first -= 1
     return "\n".join(x.text for x in found[first : last + 1] if not x.furniture)
 
@@ -180,8 +207,9 @@ def main_text(page: str | None, window: int = 3, share: float = 0.2) -> str:
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = 3, share: float = 0.2) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each row's main text.
 
-    A null page or one without text gives an empty text; ids and URLs pass through as they are,
-    repeated rows each give a row; other columns are ignored. Pages are not shuffled.
+    A null page or one without text gives an empty text; ids and URLs pass through as they are, null too;
+    repeated rows each give a row; other columns are ignored; an empty table gives no rows. A page of any length is taken whole, in time in
+    proportion to it. Pages are not shuffled.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))

@@ -4,21 +4,20 @@ Rules come first: the longest rule whose host is the URL's host or a parent doma
 whose path starts the URL's path. Pages that a rule decided are the labels of the rest:
 
 1. Segments that are numbers, hex strings or dates are wildcards from the start (``{n}``,
-   ``{x}``, ``{d}``). The tree grows from the host down, a level a path segment; below each node,
-   literal branches that are some of many rare ones become one wildcard (``*``). The last level's
-   branch is all that is left of the path, so that no path is too deep.
-2. A branch's profile counts its labelled pages by label, and all of its pages by the shape of what
-   is below: whether and how far the path goes on, and the form of the next segment. The largest
-   blocked, allowed and unlabelled branch of a node lead. A branch of the same form is merged with
-   the leader most like it, a labelled one first, if chi-square tests of homogeneity find no
-   difference; a branch without labels is told by its shape alone. Leaders alike are merged too.
-   Branches with different profiles stay apart; the next level grows below the merged ones.
-3. A template (host and merged branches down to the path's end) is rejected if the smoothed
+   ``{x}``, ``{d}``). The tree grows from the host down, a level a path segment, until every path has ended or is
+   the only one left below its node. Below a node, literal branches that are some of many rare ones become one wildcard (``*``).
+2. A branch's profile counts its pages by what is below: whether and how far the path goes on, and the form of
+   the next segment. Branches of a node that have the same form, the same commonest form below and the same majority of
+   labels are one cluster, but for those whose profile a chi-square test of homogeneity tells from the other
+   members'. Branches without labels are told by their profile alone: they go to the labelled cluster
+   that is nearest to it if the test finds no difference, else to their own. All members of a cluster are one branch of the tree; the next level
+   grows below it.
+3. A template (host and clusters down to the path's end) is rejected if the smoothed
    share of blocked pages among its labelled ones reaches ``reject_at``; the prior counts as
    ``prior_allow`` allowed and ``prior_block`` blocked pages, so a template without labels is allowed.
 
 Pages are counted by host and shape of path before any shuffle, and the tree is made of these
-counts, so a host with a third of all pages costs no task more than the others.
+counts by aggregates and plain joins, so a host with a third of all pages costs no task more than the others.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from condensa.llm.shared import staged
+from condensa.llm.shared import Scratch
 
 #: (rule, verdict); a rule is a host, a slash and a path prefix.
 RULES = (
@@ -34,7 +33,6 @@ RULES = (
     ("net/es/", "block"), ("net/fr/", "block"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_STATES = ("blocked", "allowed", "unlabelled")
 _FORMS = ("end", "{n}", "{x}", "{d}", "literal")
 #: 0.999 quantiles of chi-square by the number of classes, for two profiles.
 _CHI2 = {2: 10.828, 5: 18.467}
@@ -68,15 +66,13 @@ def _shape(segment: Column) -> Column:
     return F.when(kind.isNotNull(), F.concat(kind, tail)).otherwise(segment)
 
 
-def _distance(pairs: list[tuple[Column, Column]]) -> Column:
-    """Chi-square of homogeneity of two profiles, as a share of its 0.999 quantile; zero if one has no pages."""
-    n, m = sum((a for a, _ in pairs), F.lit(0)), sum((b for _, b in pairs), F.lit(0))
-    total = F.lit(0.0)
-    for a, b in pairs:
-        for seen, size in ((a, n), (b, m)):
-            due = F.try_divide((a + b).cast("double") * size, n + m)
-            total = total + F.when(due > 0, (seen - due) * (seen - due) / due).otherwise(0.0)
-    return total / _CHI2[len(pairs)]
+def _told(mine: Column, n: Column, theirs: Column, m: Column) -> Column:
+    """Chi-square of homogeneity of two profiles of n and m pages, as a share of its 0.999 quantile: the largest of
+    those of its three parts; zero if one has no pages."""
+    terms = F.zip_with(mine, theirs, lambda a, b: F.when(a + b > 0, (a * m - b * n) * (a * m - b * n) / (a + b)).otherwise(0.0))
+    total = lambda t, first, k: F.aggregate(F.slice(t, first, k), F.lit(0.0), lambda s, x: s + x)
+    parts = F.transform(F.array(terms), lambda t: F.greatest(total(t, 1, 2) / _CHI2[2], total(t, 3, 2) / _CHI2[2], total(t, 5, 5) / _CHI2[5]))
+    return F.when((n > 0) & (m > 0), F.get(parts, F.lit(0)) / (n * m)).otherwise(0.0)
 
 
 def _form(segment: Column) -> Column:
@@ -84,65 +80,73 @@ def _form(segment: Column) -> Column:
     return F.when(segment == "", "end").when(segment.startswith("{"), F.substring(segment, 1, 3)).otherwise("literal")
 
 
-def _children(paths: DataFrame, many: int, rare: float) -> DataFrame:
-    """(node, branch, child): the template below ``node`` that each of its branches belongs to.
+#: A branch's profile: pages whose path goes on or doesn't, goes on further or doesn't, and by the form of the next segment.
+_PARTS = [f"p{k}" for k in range(4 + len(_FORMS))]
 
-    ``paths``: counts by label, with the node, branch, whether the path goes on (deeper) and what is below the branch (rest).
-    """
-    forms = {f"f{k}": f for k, f in enumerate(_FORMS)}
-    counts = ("blocked", "allowed", "n", "inner", "further", *forms)
+
+def _level(paths: DataFrame, many: int, rare: float) -> DataFrame:
+    """One level of the tree: paths (host, shape, blocked, allowed, n, node, left) with the node and what is left of them below it."""
     pages = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
-    tree = paths.groupBy("node", "branch").agg(
-        *[F.sum(c).alias(c) for c in ("blocked", "allowed", "n")], pages(F.col("deeper")).alias("inner"),
-        pages(F.locate("/", F.col("rest")) > 0).alias("further"), *[pages(_form(F.col("rest")) == f).alias(c) for c, f in forms.items()],
-    )
-    tree = staged(tree.withColumn("form", _form(F.col("branch"))), "url-tree")
+    nodes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("paths"))
+    cut = F.locate("/", F.col("left"))
+    whole = (F.col("paths") == 1) | (cut == 0)
+    going = paths.join(nodes, "node").withColumns({
+        "branch": F.when(whole, F.col("left")).otherwise(F.expr("left(`left`, locate('/', `left`) - 1)")),
+        "rest": F.when(whole, "").otherwise(F.expr("substr(`left`, locate('/', `left`) + 1)")),
+    }).drop("paths", "left")
+    goes, deep = F.col("rest") != "", F.locate("/", F.col("rest")) > 0
+    tests = [goes, ~goes, deep, ~deep, *[_form(F.col("rest")) == f for f in _FORMS]]
+    tree = going.groupBy("node", "branch").agg(*[F.sum(c).alias(c) for c in ("blocked", "allowed", "n")], *[pages(t).cast("double").alias(c) for c, t in zip(_PARTS, tests, strict=True)])
+    tree = tree.withColumn("form", _form(F.col("branch")))
     literal = F.col("form") == "literal"
     width = tree.groupBy("node").agg(F.count_if(literal).alias("literals"), F.sum(F.when(literal, F.col("n")).otherwise(0)).alias("pages"))
-    # a rare branch has at most ``rare`` times the mean pages of its node's literal ones; labelled ones keep their names
-    seldom = literal & (F.col("n") * F.col("literals") <= F.col("pages") * rare) & (F.col("blocked") + F.col("allowed") == 0)
-    tree = tree.join(staged(width, "url-width"), "node").withColumn("name", F.when((F.col("literals") > many) & seldom, "*").otherwise(F.col("branch")))
-    # a branch's labelled pages say what it is
+    # a rare branch has at most ``rare`` times the mean pages of its node's literal ones
+    seldom = literal & (F.col("literals") > many) & (F.col("n") * F.col("literals") <= F.col("pages") * rare)
+    tree = tree.join(width, "node").withColumn("name", F.when(seldom, "*").otherwise(F.col("branch")))
+
     state = F.when((F.col("blocked") > 0) & (F.col("blocked") >= F.col("allowed")), "blocked").when(F.col("allowed") > 0, "allowed").otherwise("unlabelled")
-    named = staged(tree.groupBy("node", "form", "name").agg(*[F.sum(c).alias(c) for c in counts]).withColumn("state", state), "url-nodes")
-    known = (F.col("state") != "unlabelled").cast("int")
-    # the largest branch of each state leads; three a node and form at most
-    leaders = named.groupBy("node", "form", "state").agg(F.max(F.struct(known.alias("known"), "n", "name", *[c for c in counts if c != "n"])).alias("lead"))
-    pairs = named.join(staged(leaders.drop("state"), "url-leaders"), ["node", "form"])
-    both = lambda c: (F.col(c), F.col(f"lead.{c}"))
-    other = lambda c: (F.col("n") - F.col(c), F.col("lead.n") - F.col(f"lead.{c}"))
-    distance = F.greatest(
-        _distance([both("blocked"), both("allowed")]), _distance([both("inner"), other("inner")]),
-        _distance([both("further"), other("further")]), _distance([both(c) for c in forms]),
-    )
-    # labelled leaders come before the others, larger ones before smaller: every pair is asked one way only
-    above = F.struct("lead.known", "lead.n", "lead.name") > F.struct(known.alias("known"), "n", "name")
-    best = F.max(F.when(above & (distance <= 1), F.struct("lead.known", (-distance).alias("near"), "lead.n", "lead.name")))["name"]
-    picked = staged(pairs.groupBy("node", "form", "name", "n").agg(best.alias("head"), F.bool_or(F.col("lead.name") == F.col("name")).alias("leads")), "url-picked")
-    up = picked.where(F.col("leads") & F.col("head").isNotNull()).select("node", "form", F.col("name").alias("head"), F.col("head").alias("next"))
-    up = staged(up, "url-up")
-    for _ in range(2):  # a leader may have joined another, and that one the third
-        picked = picked.join(up, ["node", "form", "head"], "left").withColumn("head", F.coalesce("next", "head")).drop("next")
-    led = staged(picked.where(F.col("head").isNotNull()).select("node", "form", F.col("head").alias("name"), F.lit(True).alias("joined")).distinct(), "url-led")
-    # the head is in its template too
-    picked = picked.join(led, ["node", "form", "name"], "left")
-    head = F.when(F.col("head").isNotNull() | F.col("joined"), F.concat(F.lit("<"), F.coalesce("head", "name"), F.lit(">"))).otherwise(F.col("name"))
-    joined = picked.select("node", "name", F.concat("node", F.lit("/"), head).alias("child"))
-    return staged(tree.select("node", "branch", "name").join(joined, ["node", "name"]).select("node", "branch", "child"), "url-children")
+    common = F.array_max(F.array(*[F.struct(F.col(c).alias("n"), F.lit(k).alias("k")) for k, c in enumerate(_PARTS[4:])]))["k"]
+    named = tree.groupBy("node", "form", "name").agg(*[F.sum(c).alias(c) for c in ("blocked", "allowed", "n", *_PARTS)]).withColumns({"state": state, "common": common})
+    # one row a node, form and commonest form below, with a cluster for each state
+    def cluster(s: str) -> Column:
+        one = lambda c: F.when(F.col("state") == s, c)
+        sums = F.array(*[F.coalesce(F.sum(one(F.col(c))), F.lit(0.0)) for c in _PARTS])
+        return F.struct(F.count(one(F.lit(1))).alias("members"), F.max(one(F.struct("n", "name")))["name"].alias("head"), F.coalesce(F.sum(one(F.col("n"))), F.lit(0)).alias("n"), sums.alias("parts")).alias(s)
+
+    states = ("blocked", "allowed", "unlabelled")
+    clusters = named.groupBy("node", "form", "common").agg(*[cluster(s) for s in states])
+    pairs = named.select("node", "form", "name", "n", "state", "common", F.array(*_PARTS).alias("mine")).join(clusters, ["node", "form", "common"])
+    labelled = F.col("state") != "unlabelled"
+    own = F.when(F.col("state") == "blocked", F.col("blocked")).when(F.col("state") == "allowed", F.col("allowed")).otherwise(F.col("unlabelled"))
+    pairs = pairs.withColumn("own", own)
+    n = F.col("n").cast("double")
+    others = F.zip_with("own.parts", "mine", lambda a, b: a - b)
+    apart = {f"to_{s}": _told(F.col("mine"), n, F.col(f"{s}.parts"), F.col(f"{s}.n").cast("double")) for s in states[:2]}
+    # the test of a branch against its own cluster leaves the branch itself out
+    pairs = pairs.withColumns(apart | {"alone": _told(F.col("mine"), n, others, F.col("own.n") - n) > 1})
+    near = lambda s: F.when((F.col(f"{s}.members") > 0) & (F.col(f"to_{s}") <= 1), F.struct((-F.col(f"to_{s}")).alias("near"), F.col(f"{s}.n").alias("n"), F.col(f"{s}.head").alias("head")))
+    pairs = pairs.withColumn("to", F.when(~labelled, F.greatest(near("blocked"), near("allowed")))["head"])
+    # a head that stands alone itself still names its cluster
+    name = F.when(F.col("to").isNotNull(), F.concat(F.lit("<"), "to", F.lit(">"))).when((F.col("own.members") == 1) & ~labelled | F.col("alone"), F.col("name")).otherwise(
+        F.concat(F.lit("<"), F.col("own.head"), F.lit(">")))
+    children = pairs.select("node", "name", F.concat("node", F.lit("/"), name).alias("child"))
+    below = tree.select("node", "branch", "name").join(children, ["node", "name"]).select("node", "branch", "child")
+    return going.join(below, ["node", "branch"]).select("host", "shape", "blocked", "allowed", "n", F.col("child").alias("node"), F.col("rest").alias("left"))
 
 
 def judge(
-    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, depth: int = 3, many: int = 50, rare: float = 3,
+    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, many: int = 50, rare: float = 3,
     prior_allow: float = 2.0, prior_block: float = 1.0, reject_at: float = 0.5,
 ) -> DataFrame:
-    """page_id, host, path, rule, verdict, template and purity of each row.
+    """page_id, host, path, rule, verdict, template, purity and labelled of each row.
 
-    ``depth``: the levels of the tree; ``many``: a node with more literal branches than this
-    turns the unlabelled ones of at most ``rare`` times their mean pages into one wildcard. A null URL or one without ``://``
-    has an empty host and path and falls under no rule; its template is that of the empty
+    ``many``: a node with more literal branches than this
+    turns those of at most ``rare`` times their mean pages into one wildcard; ``labelled``: the template's pages that a rule decided.
+    A null URL or one without ``://`` has an empty host and path and falls under no rule; its template is that of the empty
     host, without labels, so it is allowed. Ids pass through; repeated rows each count and each
-    give a row; other columns are ignored.
+    give a row; other columns are ignored; an empty table gives no rows. URLs of any length are read whole.
     """
+    scratch = Scratch(pages.sparkSession, "url")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     host, path = host_and_path(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
@@ -151,26 +155,23 @@ def judge(
     rows = rows.withColumns({"rule": rule, "said": said, "shape": F.array_join(steps, "/")})
     # one row a host and shape of path, after map-side sums
     paths = rows.groupBy("host", "shape").agg(
-        F.count_if(F.col("said") == "block").alias("blocked"), F.count_if(F.col("said") == "allow").alias("allowed"),
-        F.count_if(F.col("said").isNull()).alias("unlabelled"), F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("said") == "block").alias("blocked"), F.count_if(F.col("said") == "allow").alias("allowed"), F.count(F.lit(1)).alias("n"),
     )
-    paths = staged(paths.withColumns({"node": F.col("host"), "left": F.col("shape")}), "url-paths")
-    for level in range(1, depth + 1):
-        cut = F.locate("/", F.col("left"))
-        ends = F.lit(True) if level == depth else cut == 0
-        paths = paths.withColumns({
-            "branch": F.when(ends, F.col("left")).otherwise(F.expr("left(`left`, locate('/', `left`) - 1)")),
-            "deeper": cut > 0,
-            "rest": F.when(ends, "").otherwise(F.expr("substr(`left`, locate('/', `left`) + 1)")),
-        })
-        # a path that has ended is a leaf of the level above
-        going = paths.where((F.col("left") != "") | F.lit(level == 1))
-        below = paths.join(_children(going, many, rare), ["node", "branch"], "left")
-        paths = staged(below.select("host", "shape", *_STATES, "n", F.coalesce("child", "node").alias("node"), F.col("rest").alias("left")), "url-level")
+    going = scratch.staged(paths.withColumns({"node": F.col("host"), "left": F.col("shape")}), "paths")
+    ended = []
+    while True:
+        ended.append(going.where(F.col("left") == "").drop("left"))
+        if going.where(F.col("left") != "").isEmpty():
+            break
+        going = scratch.staged(_level(going.where(F.col("left") != ""), many, rare), "level")
+    paths = ended[0]
+    for more in ended[1:]:
+        paths = paths.unionByName(more)
     purity = (F.sum("blocked") + prior_block) / (F.sum("blocked") + F.sum("allowed") + prior_block + prior_allow)
-    templates = staged(paths.groupBy("node").agg(purity.alias("purity")), "url-templates")
-    verdicts = staged(paths.join(templates, "node").select("host", "shape", F.col("node").alias("template"), "purity"), "url-verdicts")
+    templates = scratch.staged(paths.groupBy("node").agg(purity.alias("purity"), F.sum(F.col("blocked") + F.col("allowed")).alias("labelled")), "templates")
+    verdicts = paths.join(templates, "node").select("host", "shape", F.col("node").alias("template"), "purity", "labelled")
+    verdicts = scratch.last(verdicts)
     method = F.when(F.coalesce("purity", F.lit(0.0)) >= reject_at, "block").otherwise("allow")
     return rows.join(verdicts, ["host", "shape"], "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", "purity"
+        "page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", "purity", "labelled"
     )

@@ -1,5 +1,9 @@
 """The training-data operators against plain versions, round trips, held-out accuracy, and odd rows."""
 
+import base64
+import hashlib
+import html as entities
+import re
 import zlib
 from collections import defaultdict
 
@@ -109,6 +113,49 @@ def test_op4_round_trip(spark, tmp_path):
     assert got[4].payload_digest == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"  # of the empty payload
 
 
+def _warc_brute(rows, least=0):
+    """Rows (page_id, url, html) -> sorted (page_id, bytes, digest, type, refers_to)."""
+    groups, out = defaultdict(list), []
+    for page, url, html in rows:
+        payload = (html or "").encode()
+        groups[payload].append((page is not None, page or 0, page))
+    for payload, own in groups.items():
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        first = max(own)[2]
+        done = len(payload) < least
+        for page in sorted((x[2] for x in own), key=str):
+            if done and len(payload) >= least or page != first and len(payload) >= least:
+                out.append((page, len(payload), digest, "revisit", first))
+            else:
+                out.append((page, len(payload), digest, "response", None))
+                done = True
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least", [0, 5])
+def test_op4_equals_brute_force(spark, tmp_path, least):
+    """Ties and repeated rows of the largest id, hot payloads, nulls, clashing names, very long pages, small files."""
+    rows = [(5, "u", "same"), (5, "u", "same"), (5, "v", "same"), (3, "w", "same"), (8, "x", "longer text"), (8, "x", "longer text"), (8, "y", "longer text")]
+    rows += [(None, "n", "none"), (None, None, "none"), (None, "n", None), (2, "e", ""), (1, "e", None), (7, "z", "é" * 300_000), (6, "z", "é" * 300_000)]
+    rows += [(100 + k, f"h{k}", "hot payload" if k % 3 else f"own {k}") for k in range(300)]
+    df = spark.createDataFrame([(*r, "x", True) for r in rows], "page_id long, url string, html string, digest string, revisit boolean")
+    manifest = warc.write_archive(df, f"file://{tmp_path}/arc", min_bytes=least, file_mb=0.02, date="2024-01-01T00:00:00Z")
+    files = manifest.collect()
+    got = [tuple(r) for r in warc.read_archive(manifest, f"file://{tmp_path}/arc").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    assert sorted(got, key=str) == _warc_brute(rows, least)
+    assert sum(f.records for f in files) == len(rows) and all(f.path.endswith(".warc.gz") for f in files)
+    with open(files[0].path, "rb") as f:  # a gzip member a record: the first can be read alone
+        one = zlib.decompressobj(31)
+        assert one.decompress(f.read()).count(b"WARC-Type: ") == 1 and (files[0].records == 1 or one.unused_data)
+    assert warc.archived(spark, empty(df)).count() == 0
+
+
+def test_op4_equals_brute_force_on_the_table(spark, sf_dir):
+    rows = [tuple(r) for r in table(spark, sf_dir, "pages").select("page_id", "url", "html").collect()]
+    got = [tuple(r) for r in QUERIES["op4_warc"](spark, sf_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    assert sorted(got, key=str) == _warc_brute(rows)
+
+
 def _jaccard_classes(rows):
     sets = {}
     for i, t in rows:
@@ -330,6 +377,47 @@ def test_op3_labels_reach_branches_of_the_same_shape(spark, times):
     assert got["es"] == got["fr"] == got["de"] == {("<es>", "block")} and {v for _, v in got["it"] | got["en"]} == {"allow"}
 
 
+def test_op3_like_branches_are_one_template(spark):
+    """Two like branches of one label meet, large or small, at any depth; deep and odd paths go to their end."""
+    urls = [f"http://h.net/es/{b}/{k}" for b, n in (("a", 100), ("b", 50)) for k in range(n)]
+    urls += [f"http://d.net/q/r/s/t/u/{b}/{k}" for b, n in (("es", 40), ("fr", 30)) for k in range(n)]
+    urls += ["http://h.net/" + "x/" * 3000, "http://h.net//es//a/7", "http://d.net/" + "y" * 50_000]
+    rows = [(k, u, "h") for k, u in enumerate(urls)]
+    df = spark.createDataFrame(rows + rows[:5], "page_id long, url string, template string")
+    got = urlfilter.judge(df, rules=(("h.net/es/", "block"), ("d.net/q/r/s/t/u/es/", "block"), ("d.net/q/r/s/t/u/fr/", "block"))).collect()
+    assert len(got) == len(urls) + 5 and len({r.template for r in got if r.page_id < 150}) == 1 and len({r.template for r in got if 150 <= r.page_id < 220}) == 1
+    by = {r.page_id: r for r in got}
+    assert by[0].template == "h.net/<es>/<a>/<{n}>" and by[0].labelled == 155 and by[220].verdict == "allow" and by[222].path == "/" + "y" * 50_000
+
+
+def _rule_brute(url):
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = rest[cut:]
+        path = path[: min([path.find(c) for c in "?#" if c in path] or [len(path)])]
+    fits = [r for r in urlfilter.RULES if (host == r[0].split("/")[0] or host.endswith("." + r[0].split("/")[0])) and path.startswith(r[0][r[0].index("/") :])]
+    return host, path, *(max(fits, key=lambda r: len(r[0])) if fits else (None, None))
+
+
+def test_op3_equals_plain_rules(spark):
+    sf = "/root/testdata/sf0.01"
+    urls = {r.page_id: r.url for r in table(spark, sf, "pages").collect()}
+    got = QUERIES["op3_url_filter"](spark, sf).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        host, path, rule, said = _rule_brute(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (said or ("block" if r.purity >= 0.5 else "allow"))
+    labels, blocked = defaultdict(int), defaultdict(int)
+    for r in got:
+        labels[r.template] += r.rule is not None
+        blocked[r.template] += r.rule is not None and r.verdict == "block"
+    for r in got:  # purity is that of the template's own labels
+        assert r.labelled == labels[r.template] and abs(r.purity - (blocked[r.template] + 1) / (labels[r.template] + 3)) < 1e-12
+
+
 def test_pipeline_odd_rows(spark, sf_dir):
     """Repeated rows, rows without an id, clashing names and empty tables in each filtering stage."""
     import corpus_pipeline
@@ -363,3 +451,46 @@ def test_op5_rows_that_repeat_an_id(spark):
     rows = [(9, a), (9, b), (4, a + " x"), (12, b + " y"), (9, a), (20, "")]
     got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(9, 4, False), (4, 4, True), (12, 4, False), (20, 20, True)}
+
+
+def test_op6_equals_the_plain_article_of_the_tables_pages(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r.page_id: r.html for r in table(spark, sf, "pages").collect()}
+    got = {r.page_id: r for r in QUERIES["op6_html_text"](spark, sf).collect()}
+    for page, text in pages.items():
+        inner = re.sub(r"(?s)<!--.*?-->|<script.*?</script>", "", re.search(r"(?s)<article[^>]*>(.*?)(?:</article>|<footer|\Z)", text).group(1))
+        blocks = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", re.sub("<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1|h2|ul|li|div|aside)[^>]*>", inner)]
+        assert got[page].text == "\n".join(b for b in blocks if b) and got[page].n_chars == len(got[page].text)
+
+
+def test_op6_line_blocks_decide():
+    """Pages without marks, and what once went wrong."""
+    body = "word " * 60
+    two = f"{body.strip()}\n{body.strip()}"
+    cases = {
+        f"<a name=top><p>{body}<p>{body}": two,
+        f"<p><a href=x>unclosed<p>{body}<p>{body}": two,
+        f'<div class=post><h1><a href=x>Title</a></h1><p>{body}</div>': f"Title\n{body.strip()}",
+        f'<div class=post><p>{body}<p>{body}</div><article class="comment"><p>me too, says a reader</article>': two,
+        f'<div class="content has-sidebar"><p>{body}<p>{body}</div><div class=sidebar>x y z</div>': two,
+        f"<ul><li><a href=x>one<li><a href=y>two</ul><p>{body}<p>{body}<ul><li><a href=z>three</ul>": two,
+        f"<article><p>teaser</article><div><p>{body * 3}<p>{body * 3}</div>": f"teaser\n{(body * 3).strip()}\n{(body * 3).strip()}",
+    }
+    for page, want in cases.items():
+        assert htmltext.main_text(page) == want, page[:60]
+    rng = np.random.default_rng(2)
+    for _ in range(50):  # by the definition, window by window
+        w = [int(x) for x in rng.integers(0, 400, rng.integers(1, 30)) * (rng.random(1) < 2)]
+        pad = [0, *w, 0]
+        sums = [sum(pad[k : k + 3]) for k in range(len(w))]
+        middle = [sorted(w[max(0, k - 1) : k + 2])[len(w[max(0, k - 1) : k + 2]) // 2 if 0 < k < len(w) - 1 else (min(k, 1) + min(len(w) - 1 - k, 1)) // 2] for k in range(len(w))]
+        lit = [k for k in range(len(w)) if sums[k] >= max(1, 0.6 * max(middle))]
+        first, last = htmltext.between(w, 3, 0.2)
+        inner = [k for k in range(lit[0], lit[-1] + 1) if w[k]] if lit else []
+        assert (first, last) == ((inner[0], inner[-1]) if inner else (0, -1) if not lit else (first, last))
+
+
+def test_op6_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "u", "<p>" + "word " * 50, "t", 3)] * 2 + [(None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    got = htmltext.extract(df).collect()
+    assert [r.n_chars for r in got] == [249, 249, 0] and htmltext.extract(df).columns == ["page_id", "url", "text", "n_chars"]
