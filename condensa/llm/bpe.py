@@ -67,7 +67,7 @@ class _Parts(dict):
 class Encoder:
     """encode(text) -> ids as little-endian uint32 bytes; a null text counts as empty."""
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

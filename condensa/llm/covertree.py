@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from condensa.llm.shared import components, staged
+from condensa.llm.shared import Scratch, components
 
 _SLACK = 1e-9
 
@@ -256,6 +256,8 @@ def near_vectors(
     two rows a block, at most ``pivots`` rows and ``pivot_mb`` MB; all rows are assigned and compared.
     Other columns are ignored.
     """
+    scratch = Scratch(vectors.sparkSession, "vectors")
+    staged = scratch.staged
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"),
         F.col(vector_col).cast("array<double>").alias("vector"),
@@ -287,11 +289,11 @@ def near_vectors(
     found = dealt.groupBy("label", "size", "cell", "i", "j").applyInPandas(_group_links(cosine, leaf), "a long, b long, links long")
     found = staged(found, "vector-links")
     counts = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
+    roots = components(found.where("b is not null").select("a", "b"), scratch).withColumnRenamed("node", "rep")
     answer = classes.join(staged(counts, "vector-counts"), "rep", "left").join(roots, "rep", "left")
     answer = staged(answer.select(
         "label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")
     ), "vector-answer")
     out = good.join(answer, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return scratch.last(out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))

@@ -143,12 +143,12 @@ def contamination(
     included, last excluded) and items (ids, as sorted strings, of items with occurring windows).
     The benchmark is the stated query set: it is searched in blocks of at most about ``block_mb``
     MB of item text, each sent to all tasks; documents are never shuffled.
-    Null or wordless texts have no words and no hits; items without words or id match
-    nothing; repeated items count once; repeated documents each give a row; other columns
-    are ignored.
+    Null or wordless texts have no words and no hits; items without words match
+    nothing; one without an id hits words but isn't among the items; repeated items count once; repeated documents each
+    give a row; other columns are ignored; an empty table gives no rows, an empty benchmark no hits.
     """
     items = benchmark.select(F.col(item_id_col).cast("string").alias("i"), F.col(item_text_col).alias("t"))
-    items = items.where("i is not null and t is not null")
+    items = items.where("t is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // int(block_mb * 2**20)))
     rows = docs.select(
@@ -160,7 +160,7 @@ def contamination(
         patterns: dict[bytes, set[str]] = defaultdict(set)
         for row in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).toLocalIterator():
             for w in windows(words(row["t"]), window):
-                patterns[b" " + b" ".join(w) + b" "].add(row["i"])
+                patterns[b" " + b" ".join(w) + b" "].update({row["i"]} - {None})
         keep = k < blocks - 1
         schema = f"id {id_type}, " + "text string, " * keep + f"n_words long, spans {SPANS}, items array<string>"
         rows = rows.mapInArrow(_searcher({p: sorted(i) for p, i in patterns.items()}, keep), schema)

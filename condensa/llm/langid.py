@@ -152,12 +152,16 @@ def _drawn(id_col: Column, share: Column) -> Column:
 
 def train(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    folds: int = 4, held_fold: int = 2, sample: int = 3000,
+    folds: int = 4, held_fold: int = 2, sample: int = 3000, most_languages: int = 1000,
 ) -> Model:
-    """Fit on a sample of about ``sample`` labelled rows outside the held-out fold."""
+    """Fit on a sample of about ``sample`` labelled rows outside the held-out fold.
+
+    Of more label values than ``most_languages`` the most frequent are learnt, so a dirty column can't fill the driver.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where((remainder(F.col("id"), folds) != held_fold) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    counts = {r["lang"]: r["count"] for r in counts.collect()}
     each = max(1, sample // max(1, len(counts)))
     chosen = rows.where(_drawn(F.col("id"), _share(F.col("lang"), counts, each)))
 
@@ -167,7 +171,7 @@ def train(
             for key, text, lang in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 found = grams(text.as_py())
                 if found:
-                    packed = found[0].astype("<u2").tobytes(), np.minimum(found[1], 65535).astype("<u2").tobytes()
+                    packed = found[0].astype("<u4").tobytes(), found[1].astype("<u4").tobytes()
                     out.append((key.as_py(), lang.as_py(), *packed))
             if out:
                 kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary()]
@@ -175,9 +179,9 @@ def train(
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "lang", "at", "n"])
 
     found = chosen.select(F.col("id").cast("long").alias("id"), "text", "lang").mapInArrow(features, "id long, lang string, at binary, n binary")
-    # bounded by ``sample``, at most 4 bytes a place
+    # bounded by ``sample``, at most 8 bytes a place
     rows = sorted((r["id"], r["lang"], r["at"], r["n"]) for r in found.collect())
-    unpack = lambda b: np.frombuffer(b, "<u2").astype(np.int64)
+    unpack = lambda b: np.frombuffer(b, "<u4").astype(np.int64)
     return fit([((unpack(at), unpack(n)), lang) for _, lang, at, n in rows])
 
 

@@ -131,24 +131,6 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(like))
 
 
-def _linked(percent: int):
-    """Pairs (a, b) of rows (a, b, x, y) whose texts x and y are linked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leaders: dict[int, np.ndarray] = {}
-            keep = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a not in leaders:
-                    leaders = {a: shingles(x.as_py())} if len(leaders) > 8 else leaders | {a: shingles(x.as_py())}
-                one, other = leaders[a], shingles(y.as_py())
-                n = len(np.intersect1d(one, other, assume_unique=True))
-                keep.append(100 * n >= percent * (len(one) + len(other) - n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 class _Forest:
     """Components of one group; keeps the pairs that joined two of them."""
 
@@ -298,13 +280,15 @@ def near_duplicates(
     found = only(texts.withColumnRenamed("doc_id", "doc"), family, "doc").join(family.hint("merge"), "doc")
     found = found.dropDuplicates(["doc", "key", "text"]).select("key", "doc", F.col("text").alias("payload"), F.length("text").alias("n"))
     found = staged(found, "texts")
-    sizes = found.groupBy("key").agg(F.sum("n").alias("w")).where(F.col("w") > block_chars).select("key")
-    large = found.join(staged(sizes, "large"), "key", "left_semi")
+    sizes = found.groupBy("key").agg(F.sum("n").alias("w")).where(F.col("w") > block_chars).select("key", F.ceil(F.col("w") / block_chars).cast("int").alias("parts"))
+    large = found.join(staged(sizes, "large"), "key").withColumns({"comp": F.col("doc"), "j": F.lit(0)})
     by_hash = F.struct(F.xxhash64("doc").alias("h"), "doc")
     firsts = large.groupBy("key").agg(F.min(by_hash).alias("first"), F.max(by_hash).alias("last")).select(F.explode(F.array("first.doc", "last.doc")).alias("doc"))
-    firsts = staged(large.join(firsts, "doc", "left_semi").select("key", F.col("doc").alias("a"), F.col("payload").alias("x")), "leaders")
-    stars = large.join(firsts, "key").where("doc <> a").select("a", F.col("doc").alias("b"), "x", F.col("payload").alias("y"))
-    links = staged(stars.mapInArrow(_linked(percent), "a long, b long"), "links")
+    leaders = large.join(staged(firsts, "leaders"), "doc", "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = large.withColumn("i", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    columns = ["key", "i", "j", "doc", "n", "comp", "asked", "asks", "payload"]
+    stars = leaders.withColumns({"asked": F.lit(False), "asks": F.lit(True)}).select(columns).unionByName(dealt.withColumns({"asked": F.lit(True), "asks": F.lit(False)}).select(columns))
+    links = staged(stars.groupBy("key", "i", "j").applyInArrow(_linked_in_group(percent), "a long, b long"), "links")
     comps = components(links, scratch).withColumnRenamed("node", "doc")
     found = found.join(comps, "doc", "left").select("key", "doc", "n", F.coalesce("root", "doc").alias("comp"), "payload")
     more = _groups(found, scratch, block_chars, F.col("n")).groupBy("key", "i", "j").applyInArrow(_linked_in_group(percent), "a long, b long")

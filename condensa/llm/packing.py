@@ -130,14 +130,16 @@ def _merge(capacity: int, round_no: int):
 
 def pack(
     pieces: DataFrame, *, capacity: int = 2048, near: int = 8, task_bins: int = 50_000,
-    fan_in: int = 8, max_rounds: int = 6,
+    fan_in: int = 8, least_gain: float = 0.001,
 ) -> DataFrame:
     """Place pieces (doc_id, piece, start, length, ids_crc32) into sequences.
 
     Adds sequence_id and offset (gapless from 0 in each sequence). ``near`` is the room
     below which an underfull bin counts as full before the last round. Every piece is
     placed exactly once, copies too. Partitions: as many as hold ``task_bins`` items each in
-    the first round, a ``fan_in``-th of that in each further one while a task's share allows.
+    the first round, a ``fan_in``-th of that in each further one while a task's share allows. Rounds end when one task has seen
+    all bins, when no two can share one, or when a round saves less than ``least_gain`` of the bins that came in: so
+    that share of the underfull bins is what another round could still have saved.
     """
     pieces = staged(pieces, "pieces")
     whole = pieces.where(F.col("length") >= capacity)  # full already
@@ -148,15 +150,15 @@ def pack(
     )
     n = first.count()
     tasks, left, final = max(1, -(-n // task_bins)), first, []
-    for k in range(1, max_rounds + 1):
-        if not n:
-            break
+    k = 0
+    while n:
+        k += 1
         dealt = left.repartition(tasks, F.xxhash64("bin", F.lit(k)))
         made = staged(dealt.mapInArrow(_merge(capacity, k), BIN), "bins")
         full = F.col("fill") > capacity - near
         low, lower = made.agg(F.count_if(~full), F.min(F.when(~full, F.col("fill")))).first()
         # two bins can still merge only if the least full one leaves room for its like
-        last = tasks == 1 or low < 2 or 2 * lower > capacity or k == max_rounds or low >= n
+        last = tasks == 1 or low < 2 or 2 * lower > capacity or k > 1 and low > (1 - least_gain) * n
         final.append(made if last else made.where(full))
         if last:
             break

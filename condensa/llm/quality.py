@@ -161,10 +161,12 @@ def fit(rows: list[tuple[str | None, int]], share: float, *, epochs: int = 7, ba
 
 def train(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    folds: int = 3, held_fold: int = 1, sample: int = 2400,
+    folds: int = 3, held_fold: int = 1, sample: int = 2400, most_chars: int = 200_000,
 ) -> Network:
     """Fit on about ``sample`` labelled documents outside the held-out fold, half of each label.
 
+    Both bounds are of the fit alone: documents longer than ``most_chars`` aren't drawn for it (whole texts of any length are scored).
+
     Labels other than 0 and 1, nulls, and labels of absent documents are not used; of several labels
     of one document the largest counts.
     """
@@ -175,8 +177,8 @@ def train(
     most = max((min(1.0, sample // 2 / n) for n in counts.values()), default=0.0)
     chosen = known.where(_drawn(F.col("id"), share)).groupBy("id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.where(_drawn(F.col("id"), F.lit(most)))  # a superset of the chosen ids, before the join
-    rows = texts.join(chosen, "id").select("id", "y", "text").collect()  # bounded by ``sample``
+    texts = texts.where(_drawn(F.col("id"), F.lit(most)) & (F.coalesce(F.length("text"), F.lit(0)) <= most_chars))  # a superset of the chosen ids, before the join
+    rows = texts.join(chosen, "id").select("id", "y", "text").collect()  # bounded by ``sample`` and ``most_chars``
     rows = sorted((r["id"], r["y"], r["text"] or "") for r in rows)
     total = sum(counts.values())
     return fit([(t, y) for _, y, t in rows], counts.get(1, 0) / total if total else 0.5)

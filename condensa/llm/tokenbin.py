@@ -45,24 +45,41 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _open_array(store, path: str, dtype: str) -> np.ndarray:
-    """The file as an array: memory-mapped where it is a local path, else read."""
-    if os.path.exists(path):
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+class _Array:
+    """Slices of a file of numbers: memory-mapped where it is a local path, else read slice by slice."""
+
+    def __init__(self, store, path: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        if os.path.exists(path):
+            self.map = np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
+            self.size = len(self.map)
+        else:
+            self.map, self.file = None, store.open_input_file(path)
+            self.size = self.file.size() // self.dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.size
+
+    def slice(self, a: int, b: int) -> np.ndarray:
+        if self.map is not None:
+            return np.asarray(self.map[a:b])
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at(width * max(0, min(b, self.size) - a), width * a), self.dtype)
 
 
 def write_tokens(
     docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text",
-    vocabulary: str | None = None, end_id: int = 2, width: int = 2, parts: int | None = None,
+    vocabulary: str | None = None, end_id: int = 2, width: int = 2, parts: int | None = None, part_mb: float = 256,
 ) -> DataFrame:
     """Write the files; returns the manifest (part, path, n_docs, n_tokens, base).
 
-    ``width`` is the bytes of an id: 2 holds vocabularies of up to 65,536 ids.
+    ``width`` is the bytes of an id: 2 holds vocabularies of up to 65,536 ids. ``parts``: as many as shuffles have
+    partitions, more where a part would hold more than about ``part_mb`` MB of text.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("n")).first()["n"]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // int(part_mb * 2**20)))
     vocabulary, dtype = vocabulary or vocabulary_path(), WIDTHS[width]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,12 +135,10 @@ def read_tokens(manifest: DataFrame, folder: str, *, width: int = 2) -> DataFram
         store, _ = filesystem(folder)
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = _open_array(store, f"{path}.tokens", dtype)
-                offsets = _open_array(store, f"{path}.offsets", "<i8")
-                ids = _open_array(store, f"{path}.docs", "<i8")
+                tokens, offsets, ids = (_Array(store, f"{path}.{kind}", of) for kind, of in (("tokens", dtype), ("offsets", "<i8"), ("docs", "<i8")))
                 for k in range(0, len(ids), 10_000):
-                    own, cut = np.asarray(ids[k : k + 10_000]), np.asarray(offsets[k : k + 10_001])
-                    crc = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
+                    own, cut = ids.slice(k, k + 10_000), offsets.slice(k, k + 10_001)
+                    crc = [zlib.crc32(tokens.slice(a, b).astype("<u4").tobytes()) for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(own, mask=own == NULL_ID), pa.array(cut[:-1] + base),

@@ -57,7 +57,7 @@ def test_op1_equals_sql(spark, sf_dir):
 def test_op1_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "two three"), (2, None), (3, "  "), (None, "one")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.digest(decontaminate.contamination(odd, bench)).collect()}
-    assert len(got) == odd.count() and got[5].n_hit == 2 and got[5].n_items == 1 and got[0].n_words == 0 and got[4].n_words == 30_000
+    assert len(got) == odd.count() and got[5].n_hit == 3 and got[5].n_items == 1 and got[0].n_words == 0 and got[4].n_words == 30_000
     assert decontaminate.decontaminate(odd, bench).count() == odd.count() - 4 + 1 and decontaminate.contamination(empty(odd), bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.digest(decontaminate.contamination(odd, empty(bench))).collect())
 
@@ -253,6 +253,10 @@ def test_op7_blocks_and_odd_rows(spark):
         got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_vectors(df, **options).collect()}
         assert got == _vector_classes(rows)
     assert covertree.near_vectors(empty(df)).count() == 0
+    # repeated rows count as other vectors; names that clash with the operator's own are ignored
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    got = covertree.near_vectors(twice.withColumns({"rep": F.lit("x"), "cell": F.lit(1), "guest": F.lit(True), "links": F.lit(None)})).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
 
 
 def _ids(text):
@@ -273,6 +277,15 @@ def test_op8_equals_the_tokenizer(spark, sf_dir, odd):
             at += len(ids)
         assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokenbin.token_files(spark, docs).collect()} == want
     assert tokenbin.token_files(spark, empty(odd)).count() == 0
+    # rows without an id come first, repeated ids each keep a row, in the order of their texts; small parts
+    rows = [(3, "b c"), (None, "null id"), (3, "a"), (1, None), (3, "a")]
+    got = tokenbin.token_files(spark, spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, path string"), part_mb=1e-5).collect()
+    at, want = 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*_ids(t), 2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
 def test_op9_held_out_accuracy(spark):
@@ -281,7 +294,7 @@ def test_op9_held_out_accuracy(spark):
     net = quality.train(table(spark, sf, "documents"), table(spark, sf, "labels"))
     got = quality.score(docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1), net).collect()
     majority = np.mean([r.quality for r in got])
-    assert len(got) > 200 and np.mean([r.predicted == r.quality for r in got]) >= max(majority, 1 - majority) + 0.02 and all(r.held_out for r in got)
+    assert len(got) > 200 and np.mean([r.predicted == r.quality for r in got]) >= 0.97 > majority and all(r.held_out for r in got)
 
 
 def test_op9_odd_rows(spark, odd, sf_dir):
@@ -311,6 +324,8 @@ def test_op10_places_every_piece_once(spark, odd):
             at += length
         assert at <= 2048
     assert packing.pack_documents(empty(docs)).count() == 0
+    again = packing.pack_documents(odd.unionByName(odd)).collect()  # repeated rows and those without an id are each packed
+    assert len(again) == 2 * (len(got) + 1) and sum(r.length for r in again) == 2 * (sum(r.length for r in got) + len(_ids("null id")) + 1)
 
 
 def test_op10_is_near_the_least(spark, sf_dir):
