@@ -168,6 +168,8 @@ def _like_in_group(percent: int):
 
     def run(group: pa.Table) -> pa.Table:
         group, docs, sizes, asks, asked, forest = _ordered(group)
+        if not len(asks) or not len(asked):  # a hash dealt one side nothing
+            return forest.table(docs)
         signs = _signatures(group["payload"].combine_chunks())
         other, n = np.ascontiguousarray(signs[asked]), sizes[asked]
         for k in asks:
@@ -184,6 +186,8 @@ def _linked_in_group(percent: int):
 
     def run(group: pa.Table) -> pa.Table:
         group, docs, _, asks, asked, forest = _ordered(group)
+        if not len(asks) or not len(asked):  # a hash dealt one side nothing
+            return forest.table(docs)
         sets = [shingles(t.as_py()) for t in group["payload"]]
         sizes = np.array([len(s) for s in sets])
         # an inverted index of those asked

@@ -204,6 +204,22 @@ def test_op5_odd_rows(spark, odd):
     assert minhash.near_duplicates(empty(odd)).count() == 0
 
 
+@pytest.mark.parametrize(("copies", "words", "seed"), [(2, 50_000, 0), (2, 90_000, 1), (3, 40_000, 3), (40, 4_000, 4)])
+def test_op5_families_of_long_texts(spark, copies, words, seed):
+    """Near copies beside and above the size of a group: a group may get no member to ask or to be asked."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 10**6, words).tolist()
+    rows = []
+    for k in range(copies):
+        own = list(base)
+        for at in rng.integers(0, words, words // 200):
+            own[at] = -k - 1
+        rows.append((k, " ".join(map(str, own)), None, None, None, None))
+    rows += [(1000 + k, " ".join(map(str, rng.integers(0, 10**6, 300))), None, None, None, None) for k in range(3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), block_chars=1 << 18).collect()}
+    assert got == _jaccard_classes([(r[0], r[1]) for r in rows]) and {c for k, (_, c) in got.items() if k < 1000} == {0}
+
+
 def test_op6_main_text(spark):
     page = "<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div><article><h1>Head</h1><p>One &amp;  two<br>three.<p>Four <b>bold</b>.</article><div id=comments>spam</div><footer>f</footer>"
     df = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "<p>" + "word " * 20_000)], "page_id long, url string, html string")
