@@ -25,7 +25,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable stand-in of every byte, as byte-level BPE vocabularies spell them."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     out = {b: chr(b) for b in plain}
@@ -41,7 +41,7 @@ class _Parts(dict):
     def __init__(self, tokenizer, room: int):
         super().__init__()
         self.tokenizer, self.model, self.room, self.old = tokenizer, tokenizer.model, room, {}
-        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
 
     def _word(self, text: str) -> bytes:
         mapped = text.encode().decode("latin-1").translate(self.letters)
