@@ -1,16 +1,14 @@
 """Statistics of repeated experiments: rates, strata, paired gaps, bootstraps, verdicts.
 
 Input: records (method, task, trial, reward, tool_calls, compressed). Everything is an aggregate; the
-bootstraps weigh every task in each replicate and sum the weights before they shuffle.
+bootstraps draw exactly as many tasks as there are in each stratum, by counts, not by rows.
 """
 
 from __future__ import annotations
 
-import functools
 import math
-import operator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from condensa.functions.stats import Z, mcnemar_p, wilson
@@ -82,28 +80,61 @@ def strata(df: DataFrame, method: str, diagnostic: list[int]) -> DataFrame:
     )
 
 
-#: Ten replicates share a hash: each reads four hex digits. A task's weight is the number of these bounds that they reach: Poisson with mean 1.
-POISSON = [f"{min(65535, round(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)))):04x}" for k in range(8)]
-_EACH = 10
+#: Draws come from the generator x -> 48271 x mod 2^31 - 1 (Park and Miller), seeded by a hash of where they are drawn.
+_FACTOR, _PRIME = 48271, 2**31 - 1
+#: Values are drawn one by one only within leaves of so many tasks.
+LEAF = 32
 
 
-def _replicates(values: DataFrame, n_boot: int, seed: int, stratum: str) -> DataFrame:
-    """(stratum, rep, mean): means of ``n_boot`` resamples of each stratum's values (stratum, task, value).
+def _seed(*parts: Column | str) -> Column:
+    digest = F.sha1(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(_PRIME - 1)) + 1
+
+
+def _drawn(seed: Column, times: Column, start: Column, add) -> Column:
+    """``start`` after ``add(sum, x)`` of ``times`` draws x in 1 .. 2^31 - 2."""
+    step = lambda acc: acc["x"] * _FACTOR % _PRIME
+    walk = F.aggregate(
+        F.sequence(F.lit(1), times.cast("int")), F.struct(seed.alias("x"), start.alias("s")), lambda acc, _: F.struct(step(acc).alias("x"), add(acc["s"], step(acc)).alias("s"))
+    )
+    return F.when(times > 0, walk["s"]).otherwise(start)
 
-    A Poisson bootstrap: how often a task is drawn in a replicate comes from a hash of both alone, so no task needs to know of
-    the others, and weighted sums are combined before the shuffle.
-    """
-    blocks = values.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-n_boot // _EACH) - 1))))
-    h = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col(stratum), F.col("task").cast("string"), F.col("block").cast("string")))
-    blocks = blocks.withColumn("h", h)
 
-    def weight(k: int) -> Column:
-        digits = F.substring("h", 4 * k + 1, 4)
-        return functools.reduce(operator.add, [(digits >= bound).cast("int") for bound in POISSON])
+def _placed(values: DataFrame, stratum: str) -> DataFrame:
+    """Adds each task's place in its stratum by its hash, from 0, and the stratum's size n: ranks within ranges of the hash, and counts of the ranges before."""
+    rows = values.withColumn("h", F.sha1(F.col("task").cast("string"))).withColumn("range", F.substring("h", 1, 3))
+    sizes = rows.groupBy(stratum, "range").agg(F.count(F.lit(1)).alias("size"))  # at most 4096 a stratum
+    all_ranges = Window.partitionBy(stratum)
+    before = F.sum("size").over(all_ranges.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumns({"before": F.coalesce(before, F.lit(0)), "n": F.sum("size").over(all_ranges)})
+    place = F.row_number().over(Window.partitionBy(stratum, "range").orderBy("h", "task")) - 1
+    return rows.join(sizes, [stratum, "range"]).select(stratum, "value", "n", (F.col("before") + place).alias("place"))
 
-    sums = [F.struct(F.sum(weight(k)).alias("w"), F.sum(weight(k) * F.col("value")).alias("s"), F.lit(k).alias("k")) for k in range(_EACH)]
-    rows = blocks.groupBy(stratum, "block").agg(F.array(*sums).alias("r")).select(stratum, "block", F.inline("r"))
-    return rows.select(stratum, (F.col("block") * _EACH + F.col("k")).alias("rep"), F.try_divide("s", "w").alias("mean")).where((F.col("rep") < n_boot) & F.col("mean").isNotNull())
+
+def _replicates(values: DataFrame, n_boot: int, seed: int, stratum: str) -> DataFrame:
+    """(stratum, rep, mean): means of ``n_boot`` resamples of each stratum's values (stratum, task, value), each of exactly as many draws as it has tasks.
+
+    How many of a resample's draws fall into each leaf of ``LEAF`` tasks comes from a binary tree of leaves: a node splits its
+    count binomially, by draws that are told by a hash of the replicate and the node. So resamples are multinomial, no row stands for a single draw, and only counts and sums of leaves are shuffled.
+    """
+    rows = _placed(values, stratum)
+    sizes = rows.groupBy(stratum).agg(F.first("n").alias("n"))
+    leaves = rows.groupBy(stratum, F.expr(f"place div {LEAF}").cast("int").alias("a")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("own"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    nodes = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumns({"a": F.lit(0), "b": F.ceil(F.col("n") / LEAF).cast("int"), "c": F.col("n")})
+    nodes = nodes.repartition(stratum, "rep")
+    for _ in range(max(0, math.ceil(math.log2(max(1, -(-largest // LEAF)))))):
+        half = F.expr("(a + b) div 2").cast("int")
+        nodes = nodes.withColumn("half", half).withColumns({"wide": F.least(F.col("b") * LEAF, F.col("n")) - F.col("a") * LEAF, "part": (F.col("half") - F.col("a")).cast("long") * LEAF})
+        left = _drawn(_seed(str(seed), F.col(stratum), F.col("rep"), F.col("a"), F.col("b")), F.col("c"), F.lit(0).cast("long"), lambda k, x: k + (x * F.col("wide") < F.col("part") * _PRIME).cast("long"))
+        node = lambda a, b, c: F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
+        a, b, c, mid = F.col("a"), F.col("b"), F.col("c"), F.col("half")
+        nodes = nodes.withColumn("left", F.when(b - a > 1, left)).withColumn("x", F.explode(F.when(b - a > 1, F.array(node(a, mid, F.col("left")), node(mid, b, c - F.col("left")))).otherwise(F.array(node(a, b, c)))))
+        nodes = nodes.select(stratum, "n", "rep", "x.*").where("c > 0")
+    found = nodes.join(leaves, [stratum, "a"])
+    pick = lambda total, x: total + F.get(F.col("own"), F.floor(x * F.size("own") / F.lit(_PRIME)).cast("int"))
+    sums = _drawn(_seed(str(seed), F.col(stratum), F.col("rep"), F.col("a")), F.col("c"), F.lit(0.0), pick)
+    return found.groupBy(stratum, "rep").agg((F.sum(sums) / F.first("n")).alias("mean"))
 
 
 def _ends(replicates: Column, alpha: float = 0.05) -> tuple[Column, Column]:
@@ -113,19 +144,20 @@ def _ends(replicates: Column, alpha: float = 0.05) -> tuple[Column, Column]:
     return at(alpha / 2, 0), at(1 - alpha / 2, 1)
 
 
-def equivalence(low: Column, high: Column, margin: float) -> Column:
+def equivalence(low: Column, high: Column, margin: Column) -> Column:
     """EQUIVALENT if the interval lies within the margin, DIFFERENT if it lies beyond it, else INCONCLUSIVE."""
     return F.when((low >= -margin) & (high <= margin), "EQUIVALENT").when((low > margin) | (high < -margin), "DIFFERENT").otherwise("INCONCLUSIVE")
 
 
-def paired_equivalence(df: DataFrame, a: str, b: str, *, margin: float = 0.1, n_boot: int = 20_000, seed: int = 0) -> DataFrame:
-    """The mean paired gap with a bootstrap interval over tasks, and the verdict against the margin."""
+def paired_equivalence(df: DataFrame, a: str, b: str, *, margins: tuple[float, ...] = (0.05, 0.1), n_boot: int = 20_000, seed: int = 0) -> DataFrame:
+    """The mean paired gap with a bootstrap interval over tasks, and the verdict against each margin, a row each."""
     found = gaps(df, a, b).select(F.lit("all").alias("stratum"), "task", F.col("gap").alias("value"))
     low, high = _ends(F.round("mean", 9))
     ends = _replicates(found, n_boot, seed, "stratum").groupBy("stratum").agg(low.alias("low"), high.alias("high"))
     mean = found.groupBy("stratum").agg(F.count(F.lit(1)).alias("tasks"), F.avg("value").alias("gap"))
-    return mean.join(ends, "stratum").select(
-        "tasks", F.round("gap", 6).alias("gap"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), equivalence(F.col("low"), F.col("high"), margin).alias("verdict")
+    rows = mean.join(ends, "stratum").withColumn("margin", F.explode(F.array(*[F.lit(m) for m in margins])))
+    return rows.select(
+        "tasks", F.round("gap", 6).alias("gap"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "margin", equivalence(F.col("low"), F.col("high"), F.col("margin")).alias("verdict")
     )
 
 
@@ -198,8 +230,6 @@ def latency(df: DataFrame, value: str, *by: str, bins: int = 1024) -> DataFrame:
     Exact without ordering all rows: twice, values are counted in ``bins`` equal ranges, which tells the range of each
     rank and its place there; only values of those ranges are then counted one by one and ordered.
     """
-    from pyspark.sql import Window
-
     of = (0.5, 0.9, 0.99)
     if not by:
         return latency(df.withColumn("_all", F.lit(0)), value, "_all", bins=bins).drop("_all")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from condensa.functions.fixed import BLOCKS, LEVEL_WORDS, LOG_WORDS, SKIPPED, STREAM_WORDS, WHITE
 from condensa.functions.stats import Z
 from condensa.functions.text import query_terms
@@ -272,20 +270,22 @@ STRATA = f"""e AS (SELECT task, sum(compressed) AS c, CASE WHEN sum(tool_calls)
               task NOT IN ({', '.join(map(str, DIAGNOSTIC))}) AS headline FROM e)"""
 
 
-#: Bounds of four hex digits for a Poisson weight with mean 1, by its own sums.
-_BOUNDS, _P, _SUM = [], math.exp(-1), 0.0
-for _k in range(1, 9):
-    _SUM += _P
-    _P /= _k
-    _BOUNDS.append(min(65535, round(65536 * _SUM)))
-
-
-def replicates(src: str, n_boot: int = 20_000) -> str:
-    """CTE rp(stratum, rep, mean) from ``src(stratum, task, value)``."""
-    weight = " + ".join(f"CAST(u >= {b} AS INT)" for b in _BOUNDS)
-    return f"""bl AS (SELECT stratum, value, block, sha1('0|' || stratum || '|' || task || '|' || block) AS h FROM {src}, (SELECT unnest(range(0, {n_boot // 10})) AS block)),
-    us AS (SELECT stratum, value, block * 10 + k AS rep, CAST(concat('0x', substr(h, 4 * k + 1, 4)) AS BIGINT) AS u FROM bl, (SELECT unnest(range(0, 10)) AS k)),
-    rp AS (SELECT stratum, rep, sum(w * value) / sum(w) AS mean FROM (SELECT stratum, rep, value, {weight} AS w FROM us) GROUP BY ALL HAVING sum(w) > 0)"""
+def replicates(src: str, n_boot: int = 20_000, leaf: int = 32) -> str:
+    """CTE rp(stratum, rep, mean) from ``src(stratum, task, value)``: the generator's d-th draw is x * 48271^d mod 2^31 - 1, from a table of powers."""
+    seed = lambda key: f"(CAST(concat('0x', substr(sha1({key}), 1, 8)) AS BIGINT) % 2147483646 + 1)"
+    return f"""pl AS (SELECT stratum, value, count(*) OVER (PARTITION BY stratum) AS n, row_number() OVER (PARTITION BY stratum ORDER BY sha1(CAST(task AS VARCHAR)), task) - 1 AS place FROM {src}),
+    pw AS (WITH RECURSIVE w(d, m) AS (SELECT 1, CAST(48271 AS BIGINT) UNION ALL SELECT d + 1, m * 48271 % 2147483647 FROM w WHERE d < (SELECT max(n) FROM pl)) SELECT list(m ORDER BY d) AS ms FROM w),
+    vals AS (SELECT stratum, place // {leaf} AS a, list(value ORDER BY place) AS own FROM pl GROUP BY ALL),
+    tree AS (WITH RECURSIVE t(stratum, n, rep, a, b, c) AS (
+        SELECT stratum, n, rep, CAST(0 AS BIGINT), CAST(ceil(n / {leaf}) AS BIGINT), n FROM (SELECT stratum, count(*) AS n FROM pl GROUP BY stratum), (SELECT unnest(range(0, {n_boot})) AS rep)
+        UNION ALL
+        SELECT stratum, n, rep, CASE side WHEN 0 THEN a ELSE h END, CASE side WHEN 0 THEN h ELSE b END, CASE side WHEN 0 THEN l ELSE c - l END
+        FROM (SELECT *, len(list_filter(ms[1:c], lambda m: (x * m % 2147483647) * (least(b * {leaf}, n) - a * {leaf}) < (h - a) * {leaf} * 2147483647)) AS l
+              FROM (SELECT *, (a + b) // 2 AS h, {seed("'0|' || stratum || '|' || rep || '|' || a || '|' || b")} AS x FROM t, pw WHERE b - a > 1 AND c > 0)), (SELECT unnest([0, 1]) AS side))
+        SELECT * FROM t WHERE b - a = 1 AND c > 0),
+    rp AS (SELECT stratum, rep, sum(s) / max(n) AS mean FROM (
+        SELECT stratum, rep, n, list_sum(list_transform(ms[1:c], lambda m: own[(x * m % 2147483647) * len(own) // 2147483647 + 1])) AS s
+        FROM (SELECT *, {seed("'0|' || stratum || '|' || rep || '|' || a")} AS x FROM tree JOIN vals USING (stratum, a), pw)) GROUP BY stratum, rep)"""
 
 
 _LOW, _HIGH = "CAST(floor(len(l) * 0.025) AS BIGINT) + 1", "CAST(greatest(floor(len(l) * 0.975) - 1, 0) AS BIGINT) + 1"
@@ -511,8 +511,8 @@ ORACLE: dict[str, str] = {
     "store_expiry": "SELECT CAST(user_id AS VARCHAR) AS ref, max(ts) AS stored_at FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(max(ts))) <= 864000",
     "paired_equivalence": f"""WITH {solves()}, {GAPS}, vv AS (SELECT 'all' AS stratum, task, gap AS value FROM gp WHERE gap IS NOT NULL), {replicates('vv')},
         en AS (SELECT list_sort(list(round(mean, 9))) AS l FROM rp), x AS (SELECT l[{_LOW}] AS low, l[{_HIGH}] AS high FROM en)
-        SELECT (SELECT count(*) FROM vv) AS tasks, round((SELECT avg(value) FROM vv), 6) AS gap, round(low, 6) AS low, round(high, 6) AS high,
-        CASE WHEN low >= -0.1 AND high <= 0.1 THEN 'EQUIVALENT' WHEN low > 0.1 OR high < -0.1 THEN 'DIFFERENT' ELSE 'INCONCLUSIVE' END AS verdict FROM x""",
+        SELECT (SELECT count(*) FROM vv) AS tasks, round((SELECT avg(value) FROM vv), 6) AS gap, round(low, 6) AS low, round(high, 6) AS high, margin,
+        CASE WHEN low >= -margin AND high <= margin THEN 'EQUIVALENT' WHEN low > margin OR high < -margin THEN 'DIFFERENT' ELSE 'INCONCLUSIVE' END AS verdict FROM x, (VALUES (CAST(0.05 AS DOUBLE)), (CAST(0.1 AS DOUBLE))) m(margin)""",
     "noise_floor": f"""WITH {solves()}, p AS (SELECT a.method, a.task, count(*) AS pairs, count(*) FILTER (a.reward <> b.reward) AS d FROM so a JOIN so b ON a.method = b.method AND a.task = b.task AND a.trial < b.trial GROUP BY ALL)
         SELECT method, CAST(sum(pairs) AS BIGINT) AS pairs, CAST(sum(d) AS BIGINT) AS discordant, round(sum(d) / sum(pairs), 6) AS discordant_rate, round(avg(CAST(d > 0 AS INT)), 6) AS flaky_share FROM p GROUP BY method""",
     "exposure_strata": f"WITH {solves()}, {STRATA} SELECT task, round(exposure, 6) AS exposure, stratum, headline FROM strat",

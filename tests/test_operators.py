@@ -310,6 +310,16 @@ def test_bootstrap_is_near_theory(spark):
     assert len(found) == 2000 and abs(found.mean() - 3) < 0.03 and abs(found.std() - 2 / 70**0.5) < 0.02
 
 
+def test_bootstrap_draws_as_many_as_there_are(spark):
+    """Over several leaves every resample's sum of ones is its size; two tasks are never left undrawn."""
+    rows = [("ones", i, 1.0) for i in range(300)] + [("two", i, float(i)) for i in range(2)] + [("marks", i, float(i == 7)) for i in range(300)]
+    found = experiments._replicates(spark.createDataFrame(rows, "stratum string, task int, value double"), 500, 1, "stratum").toPandas()
+    of = {s: g["mean"] for s, g in found.groupby("stratum")}
+    assert [len(of[s]) for s in ("ones", "two", "marks")] == [500] * 3 and set(of["ones"]) == {1.0} and set(of["two"]) == {0.0, 0.5, 1.0}
+    times = (of["marks"] * 300).round(6)  # how often one task is drawn: binomial, about Poisson with mean 1
+    assert (times % 1 == 0).all() and abs(times.mean() - 1) < 0.2 and abs(times.var() - 1) < 0.4
+
+
 def test_percentiles_with_ties_and_tails(spark):
     values = [1.0] * 500 + [2.0, 3.0, 1e9] + [float(k) / 7 for k in range(300)] + [-5.0]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
