@@ -12,21 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from condensa.functions import detect
-from condensa.functions.fixed import BLOCKS, LOG_WORDS, MORE_ROWS, SKIPPED
+from condensa.functions.fixed import BLOCKS, ENTITIES, LOG_WORDS, MORE_ROWS, SKIPPED
 from condensa.functions.text import content_ref, full_lines, paragraphs, saved, strip, strip_end, token_count
 from condensa.operators import json_tree
 from condensa.operators.budget import costs, fit_chunks, numbered, ranked, stitch, take_until_full
 from condensa.operators.score import with_scores
 
 SEVERE = r"(?i)\b(" + "|".join(LOG_WORDS) + r")\b"
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
 def html_text(c: Column) -> Column:
     """Text of a page without its furniture, blocks apart by a blank line; regular expressions only.
 
     Nested skipped elements of one name, and references other than the common ones, are left to
-    ``json_tree.html_exact``.
+    ``html_tree.exact_text``.
     """
     out = F.regexp_replace(c, r"(?s)<!--.*?(-->|\z)", "")
     for tag in ("script", "style"):
@@ -36,7 +35,7 @@ def html_text(c: Column) -> Column:
             out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?(</{tag}\s*>|\z)", " ")
     out = F.regexp_replace(out, r"(?is)</?(" + "|".join(BLOCKS) + r")\b[^>]*>", "\n")
     out = F.regexp_replace(F.regexp_replace(out, r"(?s)<[a-zA-Z/!][^>]*>", " "), r"<[a-zA-Z/!][^>]*\z", "")
-    for name, char in _ENTITIES:
+    for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
     rows = F.transform(F.split(out, "\n"), lambda s: strip(F.regexp_replace(s, r"(?U)\s+", " ")))
     return F.array_join(F.filter(rows, lambda s: s != ""), "\n\n")
@@ -150,7 +149,7 @@ def compress(
     Adds the struct ``result`` (text, content_type, original_tokens, compressed_tokens, ref,
     compressed, saved_tokens, saved_ratio). Payloads within the budget (null and empty ones too) pass
     unchanged, without reference and footer. An unknown forced type is treated as prose under its own name. JSON payloads over the
-    budget go through the one Arrow function apart from all others, whose plan holds column functions only.
+    budget are shuffled as trees of nodes; all others are worked on where they lie, by column functions.
     """
     over = token_count(F.col(payload)) > budget
     lanes = {"neighbour": neighbour, "scorer": scorer, "floor": floor}
@@ -179,8 +178,8 @@ def _routed(df, budget, query, payload, kind, native, with_footer, store, templa
             df = run(df, F.col("_room"), query, payload=f"_{name}", out=f"_{name}_out", scorer=scorer, **more)
         df = df.withColumn("_body", F.coalesce(*[F.col(f"_{name}_out") for name, _ in runs])).drop(*[f"_{n}{x}" for n, _ in runs for x in ("", "_out")])
     else:
-        asked = query if isinstance(query, Column) else F.lit(query or "")
-        df = df.withColumn("_body", F.when(F.col("_over"), json_tree.json_ladder(F.col("_room"), floor)(F.col(payload), asked)))
+        df = df.withColumn("_json", F.when(F.col("_over"), F.col(payload)))
+        df = json_tree.compress_json(df, F.col("_room"), query, payload="_json", out="_body", scorer=scorer, cliff=floor).drop("_json")
     ref = F.when(F.col("_over") & F.lit(store), content_ref(F.col(payload)))
     df = df.withColumn("_ref", ref)
     note = F.when(F.col("_ref").isNotNull() & F.lit(with_footer), footer(F.col("_tokens_in"), token_count(F.col("_body")), F.col("_ref"), template)).otherwise("")

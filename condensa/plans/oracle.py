@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from condensa.functions.fixed import BLOCKS, LEVEL_WORDS, LOG_WORDS, SKIPPED, STREAM_WORDS, WHITE
+from condensa.functions.fixed import BLOCKS, LADDER, LEVEL_WORDS, LOG_WORDS, SKIPPED, STREAM_WORDS, WHITE
 from condensa.functions.stats import Z
 from condensa.functions.text import query_terms
 from condensa.plans.queries import BUDGET, BUDGETS, DIAGNOSTIC, LOG_QUERY, QUERY, SMALL, TABLE_QUERY
@@ -131,6 +131,15 @@ def html(c: str) -> str:
     return f"array_to_string(list_filter(list_transform(string_split({out}, chr(10)), lambda s: {strip(f'regexp_replace(s, {_BLANKS}, chr(32), {chr(39)}g{chr(39)})')}), lambda s: s <> ''), chr(10)||chr(10))"
 
 
+def references(c: str) -> str:
+    """Numeric character references, each of the common ones replaced by name, then the rest of them one by one."""
+    code = "CASE WHEN lower(p[3:3]) = 'x' THEN CAST('0x' || p[4:-2] AS BIGINT) ELSE CAST(p[3:-2] AS BIGINT) END"
+    out = f"array_to_string(list_transform(regexp_extract_all({c}, '&#[0-9]{{{{1,7}}}};|&#[xX][0-9a-fA-F]{{{{1,6}}}};|[^&]+|&'), lambda p: CASE WHEN p LIKE '&#%;' THEN chr(CAST({code} AS INTEGER)) ELSE p END), '')".replace("{{", "{").replace("}}", "}")
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        out = f"replace({out}, '&{name};', '{char}')"
+    return out
+
+
 def fit_result(key: str, body: str = "f.body", of: str = "src LEFT JOIN f USING (id)", empty: bool = True) -> str:
     text = f"CASE WHEN payload IS NULL THEN NULL ELSE coalesce({body}, '') END" if empty else body
     return f"SELECT src.id AS {key}, {tok('payload')} AS original_tokens, {tok(text)} AS body_tokens, sha1({text}) AS body_sha FROM {of}"
@@ -151,6 +160,11 @@ def windows_body(budget: int, p: str = "") -> str:
 
 
 def logs_body(query: str | None, budget: int, passes: int) -> str:
+    return f"WITH {LOGS}, {logs_fitted(query, budget, passes)} {fit_result('id')}"
+
+
+def logs_fitted(query: str | None, budget: int, passes: int = 3) -> str:
+    """CTEs up to f(id, body) from ``src`` of logs."""
     severe = r"(?i)\b(" + "|".join(LOG_WORDS) + r")\b"
     items = [f"list_transform(imp, lambda j: {{'u': cost[j + 1], 'k': [j], 'p': 1}})"]
     if passes > 1:
@@ -160,7 +174,7 @@ def logs_body(query: str | None, budget: int, passes: int) -> str:
     step = f"""CASE WHEN list_contains(a.k, x.k[1]) OR (x.p <> 2 AND a.p = x.p) THEN a
         WHEN a.u + x.u > {budget} AND len(a.k) > 0 THEN (CASE WHEN x.p = 2 THEN a ELSE {{'u': a.u, 'k': a.k, 'p': x.p}} END)
         ELSE {{'u': a.u + x.u, 'k': list_append(a.k, x.k[1]), 'p': a.p}} END"""
-    return f"""WITH {LOGS},
+    return f"""
     l0 AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT id, list_transform({full_lines('payload')}, lambda s: rtrim(s, {_W})) AS l FROM src)),
     l1 AS (SELECT *, sum(CASE WHEN line = before THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(line) OVER (PARTITION BY id ORDER BY pos) AS before FROM l0)),
     c AS (SELECT id, CAST(run - 1 AS BIGINT) AS idx, any_value(line) AS chunk, count(*) AS times FROM l1 GROUP BY id, run),
@@ -169,19 +183,74 @@ def logs_body(query: str | None, budget: int, passes: int) -> str:
     m AS (SELECT id, count(*) AS n, list(CAST({tok('chunk')} + 1 AS BIGINT) ORDER BY idx) AS cost, coalesce(list(idx ORDER BY weight DESC, idx) FILTER (weight > 0), CAST([] AS BIGINT[])) AS imp FROM sh GROUP BY id),
     it AS (SELECT id, n, {joined} AS items FROM m),
     k2 AS (SELECT id, n, CASE WHEN len(items) = 0 THEN [] ELSE list_reduce(items, lambda a, x: {step}, {{'u': CAST(0 AS BIGINT), 'k': CAST([] AS BIGINT[]), 'p': 0}}).k END AS kept FROM it),
-    {stitched('f', 'k2', 'sh', 'chr(10)')} {fit_result('id')}"""
+    {stitched('f', 'k2', 'sh', 'chr(10)')}"""
 
 
 def tabular_body(query: str | None, budget: int) -> str:
-    return f"""WITH {TABLES},
+    return f"WITH {TABLES}, {tabular_fitted(query, budget)} {fit_result('id', of='src JOIN f ON src.id = f.id')}"
+
+
+def tabular_fitted(query: str | None, budget: int) -> str:
+    """CTEs up to f(id, body) from ``src`` of comma-separated tables."""
+    return f"""
     l0 AS (SELECT id, {full_lines('payload')} AS l FROM src),
     c AS (SELECT id, unnest(l[2:]) AS chunk, generate_subscripts(l[2:], 1) - 1 AS idx FROM l0),
     {asked(query)}, {scored()},
     o AS (SELECT s.id, idx, chunk, row_number() OVER w AS rn, {tok('l[1]')} + 12 + sum({tok('chunk')} + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS cum FROM s JOIN l0 ON s.id = l0.id WINDOW w AS (PARTITION BY s.id ORDER BY score DESC, idx)),
     k AS (SELECT id, count(*) AS kept, string_agg(chunk, chr(10) ORDER BY idx) AS rows FROM o WHERE rn = 1 OR cum <= {budget} GROUP BY id),
-    f AS (SELECT src.id, CASE WHEN len(l) <= 2 THEN payload ELSE l[1] || chr(10) || rows || CASE WHEN len(l) - 1 > kept THEN chr(10) || '# (+' || (len(l) - 1 - kept) || ' more rows, 3 columns total)' ELSE '' END END AS body
-          FROM src JOIN l0 ON src.id = l0.id LEFT JOIN k ON src.id = k.id)
-    {fit_result('id', of='src JOIN f ON src.id = f.id')}"""
+    f AS (SELECT src.id, CASE WHEN len(l) <= 2 THEN payload ELSE l[1] || chr(10) || rows || CASE WHEN len(l) - 1 > kept THEN chr(10) || '# (+' || (len(l) - 1 - kept) || ' more rows, ' || len(string_split(l[1], ',')) || ' columns total)' ELSE '' END END AS body
+          FROM src JOIN l0 ON src.id = l0.id LEFT JOIN k ON src.id = k.id)"""
+
+
+def json_fitted(query: str | None, budget: int) -> str:
+    """CTEs up to f(id, body) from ``src`` of JSON: the engine's own tree table, needs from the root down, each rung's text whole."""
+    values = ", ".join(f"('{t}')" for t in query_terms(query or ""))
+    asked_terms = f"SELECT DISTINCT c.id, term FROM c, (VALUES {values}) v(term)" if values else "SELECT id, CAST(NULL AS VARCHAR) AS term FROM c WHERE false"
+    rungs = ", ".join(f"({r}, {k}, {c}, {d}, {str(w).lower()})" for r, (k, c, d, w) in enumerate(LADDER))
+    cut = "CASE WHEN length(said) <= chars OR (NOT contains(said, ' ') AND length(said) <= 128) THEN said ELSE left(said, chars) || '…(+' || (length(said) - chars) || ' chars)' END"
+    elided = """CASE WHEN type = 'OBJECT' THEN '{"…":"(' || inner_n || ' keys elided)"}' ELSE '["(' || inner_n || ' items elided)"]' END"""
+    return f"""
+    tr AS (SELECT src.id AS pid, t.id AS pos, t.parent, t.key, t.type, CAST(t.value AS VARCHAR) AS value, json_extract_string(t.value, '$') AS said FROM src, json_tree(src.payload) t),
+    ch AS (SELECT x.*, y.type AS holder, count(*) OVER fam AS n, row_number() OVER (fam ORDER BY x.pos) AS ord, bool_and(x.type = 'OBJECT') OVER fam AS maps, bool_or(x.type IN ('OBJECT', 'ARRAY')) OVER fam AS nested
+           FROM tr x LEFT JOIN tr y ON x.pid = y.pid AND x.parent = y.pos WINDOW fam AS (PARTITION BY x.pid, x.parent)),
+    li AS (SELECT *, coalesce(holder = 'ARRAY' OR (holder = 'OBJECT' AND ((n >= 3 AND maps) OR (n >= 20 AND NOT nested))), false) AS listed FROM ch),
+    c AS (SELECT pid || '|' || parent AS id, ord - 1 AS idx, CASE WHEN holder = 'OBJECT' THEN key || ' ' ELSE '' END || value AS chunk FROM li WHERE listed),
+    q AS ({asked_terms}), {scored()},
+    sr AS (SELECT li.*, coalesce(s.score, 0.0) AS score, max(coalesce(s.score, 0.0)) OVER (PARTITION BY pid, parent) AS best FROM li LEFT JOIN s ON li.listed AND s.id = li.pid || '|' || li.parent AND s.idx = li.ord - 1),
+    nr AS (SELECT *, CASE WHEN best > 0 THEN score > 0 AND score >= 0.5 * best ELSE true END AS near, row_number() OVER (PARTITION BY pid, parent ORDER BY score DESC, pos) AS rk FROM sr),
+    nd AS (SELECT *, CASE WHEN NOT listed THEN 0 WHEN NOT near THEN 1000000 ELSE rk END AS tight, CASE WHEN NOT listed THEN 0 WHEN NOT near THEN 1000000 WHEN n <= 10 THEN 0 ELSE rk END AS loose FROM nr),
+    wy AS (WITH RECURSIVE w(pid, pos, depth, tight, loose) AS (SELECT pid, pos, 0, 0, 0 FROM nd WHERE parent IS NULL
+           UNION ALL SELECT nd.pid, nd.pos, w.depth + 1, greatest(w.tight, nd.tight), greatest(w.loose, nd.loose) FROM w JOIN nd ON nd.pid = w.pid AND nd.parent = w.pos) SELECT * FROM w),
+    up AS (WITH RECURSIVE u(pid, pos, low) AS (SELECT pid, pos, pos FROM tr UNION ALL SELECT u.pid, tr.parent, u.low FROM u JOIN tr ON tr.pid = u.pid AND tr.pos = u.pos WHERE tr.parent IS NOT NULL) SELECT pid, pos, max(low) AS ends FROM u GROUP BY ALL),
+    cn AS (SELECT pid, parent, count(*) AS inner_n FROM tr WHERE parent IS NOT NULL GROUP BY ALL),
+    al AS (SELECT r, chars, deepest, nd.pid, nd.pos, nd.parent, nd.key, nd.type, nd.value, nd.said, nd.holder, wy.depth, up.ends, coalesce(cn.inner_n, 0) AS inner_n
+           FROM nd JOIN wy USING (pid, pos) JOIN up USING (pid, pos) LEFT JOIN cn ON cn.pid = nd.pid AND cn.parent = nd.pos, (VALUES {rungs}) g(r, k, chars, deepest, whole)
+           WHERE CASE WHEN whole THEN wy.loose ELSE wy.tight END <= k AND wy.depth <= deepest),
+    kc AS (SELECT r, pid, parent, count(*) AS kept FROM al WHERE parent IS NOT NULL GROUP BY ALL),
+    pc AS (SELECT r, pid, pos AS spot, 0 AS turn, 0 AS inside,
+               CASE WHEN row_number() OVER (PARTITION BY r, pid, parent ORDER BY pos) > 1 THEN ',' ELSE '' END || CASE WHEN holder = 'OBJECT' THEN CAST(to_json(key) AS VARCHAR) || ':' ELSE '' END
+               || CASE WHEN type = 'VARCHAR' THEN CAST(to_json({cut}) AS VARCHAR) WHEN type NOT IN ('OBJECT', 'ARRAY') THEN value WHEN depth = deepest THEN {elided}
+                       WHEN inner_n = 0 THEN value WHEN type = 'OBJECT' THEN '{{' ELSE '[' END AS piece FROM al
+           UNION ALL
+           SELECT al.r, al.pid, ends, 1, -depth, CASE WHEN kept < inner_n THEN CASE WHEN type = 'OBJECT' THEN ',"…":"(+' || (inner_n - kept) || ' more entries)"' ELSE ',"(+' || (inner_n - kept) || ' more items)"' END ELSE '' END
+               || CASE WHEN type = 'OBJECT' THEN '}}' ELSE ']' END FROM al JOIN kc ON kc.r = al.r AND kc.pid = al.pid AND kc.parent = al.pos WHERE depth < deepest),
+    tx AS (SELECT r, pid, string_agg(piece, '' ORDER BY spot, turn, inside) AS body FROM pc GROUP BY ALL),
+    f AS (SELECT src.id, coalesce(arg_min(body, r) FILTER ({tok('body')} <= {budget}), '"…"') AS body FROM src LEFT JOIN tx ON src.id = tx.pid GROUP BY src.id)"""
+
+
+def routed(query: str, budget: int) -> str:
+    """CTEs up to z(origin, id, content_type, original_tokens, body) of all payloads: body is null for those that pass."""
+    room = max(16, budget - 24)
+    lanes = {
+        "text": f"{text_chunks()}, {asked(query)}, {scored()}, {fitted(room, 1)}", "html": f"{html_chunks()}, {asked(query)}, {scored()}, {fitted(room, 1)}",
+        "logs": logs_fitted(query, room), "tabular": tabular_fitted(query, room), "json": json_fitted(query, room),
+    }
+    parts = " UNION ALL ".join(f"SELECT id, body FROM (WITH src AS (SELECT key AS id, payload FROM ov WHERE content_type = '{k}'), {lane} SELECT src.id, coalesce(f.body, '') AS body FROM src LEFT JOIN f ON src.id = f.id)" for k, lane in lanes.items())
+    return f"""{ALL},
+    kd AS (SELECT origin, id, origin || ':' || id AS key, payload, {kind('payload')} AS content_type, {tok('payload')} AS original_tokens FROM ap),
+    ov AS (SELECT * FROM kd WHERE original_tokens > {budget}),
+    bd AS ({parts}),
+    z AS (SELECT kd.*, CASE WHEN original_tokens > {budget} THEN body END AS body FROM kd LEFT JOIN bd ON kd.key = bd.id)"""
 
 
 def kind(c: str) -> str:
@@ -438,6 +507,16 @@ ORACLE: dict[str, str] = {
     "truncate_head": f"WITH {DOCS} {fit_result('doc_id', f'substr(payload, 1, {4 * BUDGET})', 'src', False)}",
     "truncate_tail": f"WITH {DOCS} {fit_result('doc_id', f'right(payload, {4 * BUDGET})', 'src', False)}",
     "rag_topk_first_fit": f"WITH {DOCS}, {line_windows(40, 32)}, {asked(QUERY)}, {scored()}, {windows_body(BUDGET)} {fit_result('doc_id', 'w.body', 'src JOIN w ON src.id = w.id', False)}",
+    "html_extract_exact": rf"""WITH {PAGES},
+        t0 AS (SELECT id, regexp_extract_all(payload, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|</?[a-z][^>]*(?:>|\z)|<[!?][^>]*(?:>|\z)|[^<]+|<') AS l FROM src),
+        t1 AS (SELECT id, unnest(l) AS tok, generate_subscripts(l, 1) AS pos FROM t0),
+        t2 AS (SELECT *, lower(regexp_extract(tok, '^</?([a-zA-Z][^\s/>]*)', 1)) AS name FROM t1),
+        t3 AS (SELECT *, CASE WHEN name NOT IN ({', '.join(f"'{x}'" for x in SKIPPED)}) OR tok LIKE '%/>' OR (name IN ('script', 'style') AND tok NOT LIKE '</%') THEN 0 WHEN tok LIKE '</%' THEN -1 ELSE 1 END AS w FROM t2),
+        t4 AS (SELECT *, sum(w) OVER (PARTITION BY id ORDER BY pos) AS s FROM t3),
+        t5 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY id ORDER BY pos)) AS depth FROM t4),
+        t6 AS (SELECT id, string_agg(CASE WHEN name IN ({', '.join(f"'{x}'" for x in BLOCKS)}) THEN chr(10) WHEN depth = 0 AND NOT regexp_matches(tok, '^<[a-zA-Z/!?]') THEN {references('tok')} ELSE '' END, ' ' ORDER BY pos) AS said FROM t5 GROUP BY id),
+        t7 AS (SELECT src.id, CASE WHEN payload IS NOT NULL THEN array_to_string(list_filter(list_transform(string_split(coalesce(said, ''), chr(10)), lambda s: {strip(f'regexp_replace(s, {_BLANKS}, chr(32), {chr(39)}g{chr(39)})')}), lambda s: s <> ''), chr(10)||chr(10)) END AS text FROM src LEFT JOIN t6 ON src.id = t6.id)
+        SELECT id AS page_id, length(text) AS chars, sha1(text) AS text_sha FROM t7""",
     "html_extract": f"SELECT page_id, length({html('html')}) AS chars, sha1({html('html')}) AS text_sha FROM pages",
     "html_compress": compressed(PAGES, "page_id", QUERY, BUDGET, 1, html_chunks),
     "log_run_length": """WITH e AS (SELECT user_id AS id, event_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || ' ' || event_type AS line, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type AS same FROM events WHERE user_id IS NOT NULL),
@@ -453,6 +532,10 @@ ORACLE: dict[str, str] = {
     "json_cliff": f"""WITH {_JSON_ITEMS}, z AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, max(score) OVER (PARTITION BY id) AS best, row_number() OVER (PARTITION BY id ORDER BY score DESC, idx) AS rk FROM s)
         SELECT id, CAST(idx AS INTEGER) AS idx, round(score, 6) AS score FROM z WHERE score > 0 AND score >= 0.5 * best AND (n <= 10 OR rk <= 10)""",
     "json_one_level_compress": one_level(),
+    "json_prune_recursive": f"WITH {JSON}, {json_fitted(TABLE_QUERY, SMALL)} {fit_result('id')}",
+    "router_compress": f"""WITH {routed(f'{QUERY} {LOG_QUERY}', BUDGET)},
+        t AS (SELECT *, CASE WHEN body IS NULL THEN original_tokens ELSE {tok("body || chr(10) || '[condensed ' || original_tokens || ' -> ' || " + tok('body') + " || ' tokens; whole text: expand(' || substr(sha1(payload), 1, 8) || ')]'")} END AS compressed_tokens FROM z)
+        SELECT origin, id, content_type, original_tokens, compressed_tokens, CASE WHEN body IS NOT NULL THEN substr(sha1(payload), 1, 8) END AS ref, body IS NOT NULL AS compressed, greatest(original_tokens - compressed_tokens, 0) AS saved_tokens FROM t""",
     "router_passthrough": f"""WITH {ALL}, t AS (SELECT origin, {kind('payload')} AS content_type, {tok('payload')} AS t FROM ap)
         SELECT origin, content_type, t > {BUDGET} AS compressed, count(*) AS n, CAST(sum(t) AS BIGINT) AS original_tokens, count(*) FILTER (t > {BUDGET}) AS refs, 0 AS passed_savings FROM t GROUP BY ALL""",
     "embedding_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), w AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from condensa.functions import detect, judge
 from condensa.functions.text import content_ref, paragraphs, saved, terms, token_count, unit
-from condensa.operators import baselines, json_tree, messages, store
+from condensa.operators import baselines, html_tree, json_tree, messages, store
 from condensa.operators.compress import compress, compress_html, compress_logs, compress_tabular, compress_text, html_text, with_runs
 from condensa.operators.score import with_bm25, with_cosine
 from condensa.plans import evaluate, experiments
@@ -150,8 +150,7 @@ def html_extract(spark, sf_dir):
 
 @query
 def html_extract_exact(spark, sf_dir):
-    text = json_tree.html_exact(F.col("payload"))
-    return pages(spark, sf_dir).withColumn("text", text).select("page_id", F.length("text").alias("chars"), sha("text").alias("text_sha"))
+    return html_tree.exact_text(pages(spark, sf_dir)).select("page_id", F.length("text").alias("chars"), sha("text").alias("text_sha"))
 
 
 @query
@@ -236,8 +235,7 @@ def json_one_level_compress(spark, sf_dir):
 
 @query
 def json_prune_recursive(spark, sf_dir):
-    rows = synth.json_records(spark, sf_dir).withColumn("body", json_tree.json_ladder(SMALL)(F.col("payload"), F.lit(TABLE_QUERY)))
-    return _fitted(rows, "id")
+    return _fitted(json_tree.compress_json(synth.json_records(spark, sf_dir), SMALL, TABLE_QUERY), "id")
 
 
 @query

@@ -1,18 +1,20 @@
 """Small frames, one for each rule that is easy to get wrong."""
 
 import json
+import random
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from condensa.functions import detect, judge, stats
 from condensa.functions.text import content_ref, line_windows, paragraphs, shortened, token_count
-from condensa.operators import baselines, json_tree, messages, store
+from condensa.operators import baselines, html_tree, json_tree, messages, store
 from condensa.operators.budget import fit_chunks, take_until_full, take_what_fits
 from condensa.operators.compress import compress, compress_logs, compress_tabular, html_text
 from condensa.operators.score import with_bm25, with_cosine
-from condensa.plans import evaluate, experiments
+from condensa.plans import evaluate, experiments, oracle
 from condensa.sources import cases, files
 from condensa.streaming import sketch
 
@@ -86,7 +88,10 @@ def test_logs_and_tables(spark):
 def test_html(spark):
     page = "<head><title>t</title></head><nav>menu</nav><p>a &amp; b</p><script>var t='</p>'</script><div>c<br>d</div><!-- <p>no</p> --><footer>f"
     assert one(spark, html_text, page) == "a & b\n\nc\n\nd"
-    assert json_tree.page_text(page) == "a & b\n\nc\n\nd"
+    nested = ["<p>a<svg><svg>x</svg>y</svg>b</p><aside>n<nav>m</nav>k</aside></nav>t &#233;&#x4e2d;&amp;&#0;", "<p>x</p></aside></aside>y<aside>z<p>w", "<script>var a = '<p>';", None, "", "a < b <3 c", "<p>x</p><div class='", "one\ntwo"]
+    df = spark.createDataFrame([(page,)] + [(x,) for x in nested], "payload string").withColumn("id", F.monotonically_increasing_id())
+    got = [r.text for r in html_tree.exact_text(df).orderBy("id").collect()]
+    assert got == ["a & b\n\nc\n\nd", "a b\n\nt é中&\ufffd", "x\n\ny", "", None, "", "a < b < 3 c", "x", "one\n\ntwo"]
 
 
 def test_column_and_literal_queries_agree(spark):
@@ -94,7 +99,6 @@ def test_column_and_literal_queries_agree(spark):
     a = [r.scores for r in with_bm25(df, "red fox enter").collect()]
     b = [r.scores for r in with_bm25(df, F.lit("red fox enter")).collect()]
     assert a == b and a[0][1] > 0 and a[0][3] == 0.0
-    assert a[0] == json_tree.bm25(["Red fox", "the RED red", "énter fox_y", ""], "red fox enter")
     assert with_bm25(df, None).first()["scores"] == [0.0] * 4
 
 
@@ -103,22 +107,56 @@ def test_cosine(spark):
     assert [r.scores for r in with_cosine(df, "v", F.col("q")).collect()] == [[1.0, 0.0, 0.0], [0.0]]
 
 
-@pytest.mark.parametrize("budget", [8, 16, 32, 64, 128, 256, 512])
-def test_json_always_parses_within_budget(budget):
+def test_json_always_parses_within_budget(spark):
     order = {"id": "o-1", "status": "paid", "note": "long words " * 40, "items": [{"sku": f"s{i}", "qty": i, "note": "text " * 20} for i in range(12)], "address": {"city": "x", "zip": "1"}}
-    flat = {f"name {i}": f"id{i}" for i in range(60)}
-    for data in (order, flat, [order] * 3, {f"k{i}": {"v": i} for i in range(20)}):
-        text = json_tree.ladder(json.dumps(data), "status s3", budget)
-        json.loads(text)
-        assert (len(text) + 3) // 4 <= budget
-        assert len(text) >= len(json.dumps(data, separators=(",", ":"))) or "…" in text or "more items" in text or "elided" in text
-
-
-def test_json_cliff_keeps_the_cluster():
+    flat, fields = {f"name {i}": f"id{i}" for i in range(60)}, {f"field {i}": "words and words " * 9 for i in range(15)}
+    whole = [json.dumps(d) for d in (order, flat, [order] * 3, {f"k{i}": {"v": i} for i in range(20)}, fields | {"last": [1, {"a": 2}]}, ["words and words " * 9] * 12)]
+    df = spark.createDataFrame([(k, p, b) for b in (8, 16, 32, 64, 128, 256, 512) for k, p in enumerate(whole)], "id int, payload string, budget int")
+    rows = json_tree.compress_json(df, F.col("budget"), "status s3").collect()
+    assert len(rows) == df.count()
+    for r in rows:
+        json.loads(r.body)
+        assert (len(r.body) + 3) // 4 <= r.budget and r.payload == whole[r.id]
+        assert len(r.body) >= len(json.dumps(json.loads(r.payload), separators=(",", ":"))) or "…" in r.body or "more items" in r.body or "elided" in r.body
+    tight = {(r.id, r.budget): r.body for r in rows}
+    assert tight[4, 64] == '{"field 0":"words and words words and words …(+112 chars)","field 1":"words and words words and words …(+112 chars)","field 2":"words and words words and words …(+112 chars)","…":"(13 fields elided)"}'
+    assert tight[4, 8] == '{"…":"(16 fields elided)"}' and tight[0, 8].startswith('{"id":"o-1"')
+
+
+def test_json_cliff_keeps_the_cluster(spark):
     rows = [{"id": i, "note": "plain filler"} for i in range(200)] + [{"id": 900 + i, "note": "refund pending"} for i in range(4)]
-    out = json.loads(json_tree.ladder(json.dumps(rows), "refund pending", 400))
-    assert [r["id"] for r in out[:4]] == [900, 901, 902, 903] and out[4] == "(+200 more items)"
-    assert json_tree.ladder("not json\nat all", "", 400) == "not json\n\nat all"
+    df = spark.createDataFrame([(0, json.dumps(rows)), (1, "not json\nat all"), (2, None), (3, ""), (4, '{"a":1,"a":2}')], "id int, payload string")
+    for query in ("refund pending", F.lit("refund pending")):
+        got = {r.id: r.body for r in json_tree.compress_json(df, 400, query).collect()}
+        out = json.loads(got[0])
+        assert [r["id"] for r in out[:4]] == [900, 901, 902, 903] and out[4] == "(+200 more items)"
+        assert got[1] == "not json\n\nat all" and got[2] is None and got[3] == "" and got[4] == '{"a":1,"a":2}'
+
+
+def test_json_trees_equal_sql(spark):
+    """Trees of all shapes, names and strings with escapes, against the rungs as SQL over DuckDB's own JSON tree."""
+    rng = random.Random(4)
+    strings = ["", "x", "red fox", "quote \" and \\ slash", "line\nbreak\ttab", "é中😀 accent red", "long words and a fox " * 12, "id" * 70, "[{,:}]", "\u0001\u001f"]
+
+    def tree(depth):
+        kind = rng.random()
+        if depth > 9 or kind < 0.4:
+            return rng.choice([rng.choice(strings), rng.randint(-5, 10**12), 2.5, -0.25, True, None, [], {}])
+        n = rng.choice([1, 2, 3, 5, 12, 25]) if depth < 3 else rng.choice([1, 2])
+        if kind < 0.7:
+            return [tree(depth + 1) for _ in range(n)]
+        return {f"{rng.choice(['k', 'red', 'a b', 'q"'])}{i}": tree(depth + 1) for i in range(n)}
+
+    payloads = [(i, json.dumps(x, ensure_ascii=bool(i % 2))) for i in range(120) if isinstance(x := tree(0), dict | list)]
+    con = duckdb.connect()
+    con.register("payloads", pd.DataFrame(payloads, columns=["id", "payload"]))
+    df = spark.createDataFrame(payloads, "id long, payload string")
+    for budget, query in ((30, "red fox"), (90, None)):
+        got = {r.id: r.body for r in json_tree.compress_json(df, budget, query).collect()}
+        want = con.execute(f"WITH src AS (SELECT id, payload FROM payloads), {oracle.json_fitted(query, budget)} SELECT id, body FROM f").fetchall()
+        met = [(i, json.loads(body)) for i, body in want if body != '"…"']
+        assert len(met) > len(payloads) / 2 and [(i, json.loads(got[i])) for i, _ in met] == met
+        assert {i for i in got if got[i] == '"…"' or "elided" in got[i] or "fields" in got[i]} >= {i for i, body in want if body == '"…"'}
 
 
 def test_router(spark):
