@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -140,6 +141,11 @@ class Automaton:
         return self.ids[self.offset[place] : self.offset[place + 1]]
 
 
+#: Letters, digits and white space of texts of Latin characters and common punctuation, which are composed already: cut by plain ranges.
+_LETTERS, _DIGITS, _SPACES = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+_BEYOND = re.compile("[^\u0000-\u012f\u0131-\u017f\u2010-\u2027]")
+
+
 class WordBPE:
     """The vocabulary's own rules: how a text is cut into words, and how a word is merged."""
 
@@ -148,18 +154,24 @@ class WordBPE:
 
         rules = json.loads(open(path, encoding="utf-8").read())
         self.normal, self.cutter = (t := Tokenizer.from_file(path)).normalizer, t.pre_tokenizer
-        split = next(p for p in rules["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.word = regex.compile(split["pattern"]["Regex"])
+        split = next(p for p in rules["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        self.word = regex.compile(split)
+        latin = split.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _DIGITS).replace(r"\s", _SPACES)
+        self.latin = re.compile(latin)
         self.vocabulary = rules["model"]["vocab"]
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ", 1)): k for k, m in enumerate(rules["model"]["merges"])}
         self.special = {t["content"]: t["id"] for t in rules["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.letters = byte_letters()
-        self.bytes = {c: b for b, c in self.letters.items()}
+        self.spelled = {i: s for s, i in [*self.vocabulary.items(), *self.special.items()]}
+        # ids of single bytes, inside a word and at its end; a pair of ids in one number -> its rank; rank -> id of the merged pair
+        letters = byte_letters()
+        self.bytes = {c: b for b, c in letters.items()}
+        self.inner, self.last = ([self.vocabulary[letters[b] + end] for b in range(256)] for end in ("", _END))
+        pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in rules["model"]["merges"]]
+        self.rank = {self.vocabulary[x] << 32 | self.vocabulary[y]: k for k, (x, y) in enumerate(pairs)}
+        self.merged = [self.vocabulary[x + y] for x, y in pairs]
         # letters and digits that this pattern engine knows and older character tables don't: texts with them are cut by the library
         every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
         self.new = frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
-        self.spelled = {i: s for s, i in [*self.vocabulary.items(), *self.special.items()]}
 
     def words(self, text: str | None) -> list[str]:
         """The words of a text; special tokens' own spellings stay whole, as words of one id."""
@@ -173,9 +185,9 @@ class WordBPE:
         return out
 
     def _plain(self, text: str) -> list[str]:
-        # lower case and composed forms of ASCII are its own lower case; white space parts words in any form
-        if text.isascii():
-            return self.word.findall(text.lower())
+        # white space parts words in any form, so it needn't be made one blank
+        if text.isascii() or not _BEYOND.search(text):
+            return self.latin.findall(text.lower())
         text = self.normal.normalize_str(text)
         if self.new.isdisjoint(text):
             return self.word.findall(text)
@@ -185,24 +197,40 @@ class WordBPE:
         """The ids of a word: of all neighbours that have a rank, the least merges first, the leftmost of equals."""
         if word[0] == "\0" and word[1:] in self.special:
             return [self.special[word[1:]]]
-        parts: list = [self.letters[b] for b in word.encode("utf-8", "replace")]
-        parts[-1] += _END
-        n, rank = len(parts), self.rank
+        data = word.encode("utf-8", "replace")
+        ids = [*map(self.inner.__getitem__, data[:-1]), self.last[data[-1]]]
+        return self._merge_few(ids) if len(ids) <= 64 else self._merge_many(ids)
+
+    def _merge_few(self, ids: list[int]) -> list[int]:
+        get, none = self.rank.get, len(self.merged)
+        ranks = [get(x << 32 | y, none) for x, y in zip(ids, ids[1:], strict=False)]
+        while ranks and (least := min(ranks)) < none:
+            k = ranks.index(least)
+            ids[k] = self.merged[least]
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = get(ids[k - 1] << 32 | ids[k], none)
+            if k < len(ranks):
+                ranks[k] = get(ids[k] << 32 | ids[k + 1], none)
+        return ids
+
+    def _merge_many(self, ids: list[int]) -> list[int]:
+        n, rank = len(ids), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank[p], k, *p) for k, p in enumerate(zip(parts, parts[1:], strict=False)) if p in rank]
+        heap = [(rank[p], k) for k in range(n - 1) if (p := ids[k] << 32 | ids[k + 1]) in rank]
         heapq.heapify(heap)
         while heap:
-            _, k, a, b = heapq.heappop(heap)
+            least, k = heapq.heappop(heap)
             j = after[k]
-            if j >= n or parts[k] != a or parts[j] != b:
+            if ids[k] < 0 or j >= n or rank.get(ids[k] << 32 | ids[j]) != least:
                 continue  # one of them has merged since
-            parts[k], parts[j], after[k] = a + b, None, after[j]
+            ids[k], ids[j], after[k] = self.merged[least], -1, after[j]
             if after[k] < n:
                 before[after[k]] = k
             for left, right in ((before[k], k), (k, after[k])):
-                if left >= 0 and right < n and (found := rank.get((parts[left], parts[right]))) is not None:
-                    heapq.heappush(heap, (found, left, parts[left], parts[right]))
-        return [self.vocabulary[p] for p in parts if p is not None]
+                if left >= 0 and right < n and (found := rank.get(ids[left] << 32 | ids[right])) is not None:
+                    heapq.heappush(heap, (found, left))
+        return [i for i in ids if i >= 0]
 
     def decoded(self, ids: np.ndarray) -> str:
         """The spellings of the ids with a blank between them, as the vocabulary without a decoder has it."""
@@ -219,10 +247,18 @@ def _automaton(uri: str) -> Automaton:
     return Automaton.load(uri)
 
 
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = len(self)
+        return found
+
+
 class Encoder:
     """Ids of batches of texts: words through the automaton, unseen ones merged (a bounded number of them remembered)."""
 
-    def __init__(self, automaton: Automaton, rules: WordBPE, room: int = 50_000):
+    def __init__(self, automaton: Automaton, rules: WordBPE, room: int = 150_000):
         self.automaton, self.rules, self.room, self.unseen = automaton, rules, room, {}
 
     def _merged(self, word: str) -> np.ndarray:
@@ -236,8 +272,8 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        number: dict[str, int] = {}
-        rows = [np.fromiter((number.setdefault(w, len(number)) for w in self.rules.words(t)), np.int64) for t in texts]
+        number = _Numbers()
+        rows = [np.fromiter(map(number.__getitem__, words := self.rules.words(t)), np.int64, len(words)) for t in texts]
         words = list(number)
         place = self.automaton.places([w.encode("utf-8", "replace") for w in words])
         others = [self._merged(words[k]) for k in np.flatnonzero(place < 0).tolist()]
@@ -299,7 +335,7 @@ def frequent_words(texts: DataFrame, path: str, size: int, scratch: Scratch, roo
     return sorted((w for w in words if len(w.encode("utf-8", "replace")) <= _LONGEST), key=lambda w: w.encode("utf-8", "replace"))
 
 
-def compile_lexicon(docs: DataFrame, uri: str, scratch: Scratch, *, text_col: str = "text", vocabulary: str | None = None, size: int = 1 << 16) -> Automaton:
+def compile_lexicon(docs: DataFrame, uri: str, scratch: Scratch, *, text_col: str = "text", vocabulary: str | None = None, size: int = 1 << 17) -> Automaton:
     """Count the words of ``docs``, compile the most frequent ones and write the automaton to the file ``uri``."""
     path = vocabulary or vocabulary_path("word_bpe_49k.json")
     words = frequent_words(docs.select(F.col(text_col).cast("string").alias("text")), path, size, scratch)
@@ -308,7 +344,7 @@ def compile_lexicon(docs: DataFrame, uri: str, scratch: Scratch, *, text_col: st
     return found
 
 
-def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, size: int = 1 << 16, lot_chars: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, size: int = 1 << 17, lot_chars: int = 1 << 20) -> DataFrame:
     """doc_id, ids (array of int) and decoded of each row: see ``encode_batches``."""
     def rows(found):
         for i, ids, text in found:
@@ -317,7 +353,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     return _mapped(docs, id_col, text_col, vocabulary, size, lot_chars, rows, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]), "doc_id long, ids array<int>, decoded string")
 
 
-def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, size: int = 1 << 16, lot_chars: int = 1 << 20) -> DataFrame:
+def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, size: int = 1 << 17, lot_chars: int = 1 << 20) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, from what ``encode`` returns.
 
     A null text counts as empty: no ids, an empty decoded text. Rows are encoded one by one: repeated rows and rows without an id
