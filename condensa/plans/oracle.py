@@ -5,7 +5,7 @@ from __future__ import annotations
 from condensa.functions.fixed import BLOCKS, LADDER, LEVEL_WORDS, LOG_WORDS, SKIPPED, STREAM_WORDS, WHITE
 from condensa.functions.stats import Z
 from condensa.functions.text import query_terms
-from condensa.plans.queries import BUDGET, BUDGETS, DIAGNOSTIC, LOG_QUERY, QUERY, SMALL, TABLE_QUERY
+from condensa.plans.queries import BUDGET, BUDGETS, DIAGNOSTIC, HOPS, LOG_QUERY, METHODS, QUERY, SMALL, TABLE_QUERY
 from condensa.sources.cases import KINDS, TASKS, UNITS, WORDS
 from condensa.sources.synth import METHODS as SOLVERS
 
@@ -357,6 +357,37 @@ def replicates(src: str, n_boot: int = 20_000, leaf: int = 32) -> str:
         FROM (SELECT *, {seed("'0|' || stratum || '|' || rep || '|' || a")} AS x FROM tree JOIN vals USING (stratum, a), pw)) GROUP BY stratum, rep)"""
 
 
+def episodes() -> str:
+    """Every call of every episode in turn: first outputs, expanded ones, what the program picks, second outputs, answers."""
+    room = max(16, SMALL - 24)
+    note = lambda body, whole: f"{body} || chr(10) || '[condensed ' || {tok(whole)} || ' -> ' || {tok(body)} || ' tokens; whole text: expand(' || substr(sha1({whole}), 1, 8) || ')]'"
+    lane = lambda src, ctes: f"(WITH src AS (SELECT id, payload FROM {src}), {ctes} SELECT src.id, coalesce(f.body, '') AS body FROM src LEFT JOIN f ON src.id = f.id)"
+
+    def outputs(src: str, query: str, fitted) -> str:
+        """(id, method, payload, body, shown): ``shown`` with the footer, where there is one."""
+        return f"""SELECT id, 'full' AS method, payload, payload AS body, payload AS shown FROM {src} UNION ALL SELECT id, 'head', payload, substr(payload, 1, {4 * SMALL}), substr(payload, 1, {4 * SMALL}) FROM {src}
+        UNION ALL SELECT id, 'condense', payload, CASE WHEN {tok('payload')} <= {SMALL} THEN payload ELSE body END AS b, b FROM {src} JOIN {lane(src, fitted(query, SMALL))} USING (id)
+        UNION ALL SELECT id, 'recovery', payload, CASE WHEN {tok('payload')} <= {SMALL} THEN payload ELSE body END AS b, CASE WHEN {tok('payload')} <= {SMALL} THEN payload ELSE {note('body', 'payload')} END FROM {src} JOIN {lane(src, fitted(query, room))} USING (id)"""
+
+    return f"""j1 AS (WITH {JSON} SELECT id, payload FROM src),
+    j2 AS (SELECT l_orderkey AS id, 'line,quantity,part' || chr(10) || string_agg(l_linenumber || ',' || CAST(l_quantity AS BIGINT) || ',' || l_partkey, chr(10) ORDER BY l_linenumber) AS payload FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY l_orderkey),
+    o1 AS ({outputs('j1', HOPS[0], json_fitted)}),
+    e1 AS (SELECT *, method = 'recovery' AND shown <> body AND regexp_matches(body, 'more items|elided') AS expanded FROM o1),
+    r1 AS (SELECT *, CASE WHEN expanded THEN substr(payload, 1, 8000) || CASE WHEN length(payload) > 8000 THEN chr(10) || '[' || (length(payload) - 8000) || ' more characters: expand from 8000]' ELSE '' END END AS page FROM e1),
+    v1 AS (SELECT *, coalesce(page, body) AS text, json_valid(coalesce(page, body)) AS sound FROM r1),
+    u1 AS (SELECT id, method, max(CAST(json_extract_string(o, '$.id') AS BIGINT)) FILTER (json_extract_string(o, '$.priority') = '1-URGENT') AS pick
+           FROM (SELECT id, method, unnest(CAST(json_extract(text, '$.orders[*]') AS JSON[])) AS o FROM v1 WHERE sound) WHERE json_type(o) = 'OBJECT' GROUP BY ALL),
+    s1 AS (SELECT v1.*, pick FROM v1 LEFT JOIN u1 USING (id, method)),
+    o2 AS ({outputs('(SELECT j2.* FROM j2 WHERE id IN (SELECT pick FROM s1)) j3', HOPS[1], tabular_fitted)}),
+    q2 AS (SELECT id, method, CAST(coalesce(sum(CAST(split_part(x, ',', 2) AS BIGINT)), 0) AS BIGINT) AS total FROM (SELECT id, method, unnest(string_split(body, chr(10))) AS x FROM o2) WHERE regexp_matches(x, '^[0-9]+,[0-9]+,') GROUP BY ALL),
+    gd AS (SELECT o_custkey AS task, max(o_orderkey) FILTER (o_orderpriority = '1-URGENT') AS k FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1),
+    gq AS (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1),
+    g AS (SELECT task, CASE WHEN k IS NULL THEN 'none' ELSE k || ':' || coalesce(q, 0) END AS gold FROM gd LEFT JOIN gq ON k = l_orderkey),
+    a AS (SELECT s1.method, s1.id AS task, CASE WHEN NOT sound THEN NULL WHEN pick IS NULL THEN 'none' ELSE pick || ':' || coalesce(total, 0) END AS answer, CAST(expanded AS INT) AS more, sound AND pick IS NOT NULL AS second,
+          {tok('s1.payload')} AS raw1, {tok('s1.shown')} + CASE WHEN expanded THEN {tok('page')} ELSE 0 END AS ctx1, {tok('o2.payload')} AS raw2, {tok('o2.shown')} AS ctx2
+          FROM s1 LEFT JOIN o2 ON o2.id = pick AND o2.method = s1.method LEFT JOIN q2 ON q2.id = pick AND q2.method = s1.method)"""
+
+
 _LOW, _HIGH = "CAST(floor(len(l) * 0.025) AS BIGINT) + 1", "CAST(greatest(floor(len(l) * 0.975) - 1, 0) AS BIGINT) + 1"
 _JSON_ITEMS = f"""{JSON},
     c AS (SELECT o_custkey AS id, {ORDER_JSON} AS chunk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx FROM orders WHERE o_custkey IS NOT NULL),
@@ -461,14 +492,16 @@ def case_payload() -> str:
 
 def downstream() -> str:
     """Cut JSON parses only if nothing was cut; a cut table parses if all of its lines have two commas."""
-    cut = {"full": "payload", "head": f"substr(payload, 1, {4 * SMALL})", "tail": f"right(payload, {4 * SMALL})"}
+    cut = {"full": "payload", "head": f"substr(payload, 1, {4 * SMALL})", "tail": f"right(payload, {4 * SMALL})", "condense": f"CASE WHEN {tok('payload')} <= {SMALL} THEN payload ELSE body END"}
     parts = []
     for m, t in cut.items():
-        table = f"len({full_lines(t)}) >= 2 AND len(list_filter({full_lines(t)}, lambda s: length(s) - length(replace(s, ',', '')) <> 2)) = 0"
+        cells = f"list_filter({full_lines(t)}, lambda s: s[1] <> '#')"
+        table = f"len({cells}) >= 2 AND len(list_filter({cells}, lambda s: length(s) - length(replace(s, ',', '')) <> 2)) = 0"
         parts.append(f"SELECT '{m}' AS method, 'json' AS kind, json_valid({t}) AS p, json_valid({t}) AND {matches(normal(t), normal('gold'))} AS x FROM j")
         parts.append(f"SELECT '{m}', 'tabular', {table}, {table} AND {matches(normal(t), normal('gold'))} FROM t")
     last = "SELECT o_custkey AS id, CAST(max(o_orderkey) AS VARCHAR) AS gold FROM orders GROUP BY o_custkey"
-    return f"""WITH la AS ({last}), j AS (SELECT * FROM (WITH {JSON} SELECT id, payload FROM src) JOIN la USING (id)), t AS (SELECT * FROM (WITH {TABLES} SELECT id, payload FROM src) JOIN la USING (id))
+    return f"""WITH la AS ({last}), j AS (SELECT * FROM (WITH {JSON}, {json_fitted('urgent', SMALL)} SELECT src.id, payload, body FROM src LEFT JOIN f ON src.id = f.id) JOIN la USING (id)),
+        t AS (SELECT * FROM (WITH {TABLES}, {tabular_fitted('urgent', SMALL)} SELECT src.id, payload, body FROM src LEFT JOIN f ON src.id = f.id) JOIN la USING (id))
         SELECT method, kind, count(*) AS n, count(*) FILTER (x) AS extracted, count(*) FILTER (p) AS parsed FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"""
 
 
@@ -576,8 +609,8 @@ ORACLE: dict[str, str] = {
         mv AS (SELECT method, task, 2 * count(*) FILTER (reward >= 1) >= count(*) AS ok FROM so GROUP BY ALL),
         t AS (SELECT b.method, count(*) FILTER (a.ok AND NOT b.ok) AS won, count(*) FILTER (NOT a.ok AND b.ok) AS lost FROM mv a JOIN mv b ON a.task = b.task WHERE a.method = 'none' AND b.method <> 'none' GROUP BY b.method)
         SELECT r.method, n, round(k / n, 6) AS rate, {_GRID_LOW} AS ci_low, {_GRID_HIGH} AS ci_high, tool_calls, compressed, won, lost, p FROM r LEFT JOIN (SELECT *, {mcnemar('won', 'lost')} AS p FROM t) t ON r.method = t.method""",
-    "per_case_verdicts": f"""WITH {verdicts()} SELECT doc_id, max(full_tokens) AS full_tokens, bool_or(full_ok) AS full_ok, CAST({3 * len(BUDGETS)} AS INTEGER) AS verdicts,
-        bool_or(ok) FILTER (method = 'head' AND budget = {BUDGETS[0]}) AS head_ok, bool_or(ok) FILTER (method = 'tail' AND budget = {BUDGETS[1]}) AS tail_ok FROM v WHERE method IN ('full', 'head', 'tail') GROUP BY doc_id""",
+    "per_case_verdicts": f"""WITH {verdicts()} SELECT doc_id, max(full_tokens) AS full_tokens, bool_or(full_ok) AS full_ok, CAST({len(METHODS) * len(BUDGETS)} AS INTEGER) AS verdicts,
+        {', '.join(f"bool_or(ok) FILTER (method = '{m}' AND budget = {b}) AS {m}_{b}" for m in METHODS for b in BUDGETS)} FROM v GROUP BY doc_id""",
     "downstream_rate": downstream(),
     "faithfulness_cases": f"""WITH {case_rows()}, p AS (SELECT *, {case_payload()} AS payload FROM fc) SELECT id, kind, category, {tok('payload')} AS tokens, sha1(payload) AS payload_sha, question, gold,
         CASE category WHEN 'multi' THEN second WHEN 'aggregate' THEN second || '|' || third ELSE '' END AS all_of, CASE WHEN category = 'distractor' THEN second ELSE '' END AS none_of FROM p""",
@@ -590,7 +623,7 @@ ORACLE: dict[str, str] = {
     "cost_projection": f"SELECT count(*) AS n, CAST(sum(g) AS BIGINT) AS saved_tokens, round(sum(g) / 1e6 * 2.5, 6) AS saved, round(sum(g) / 1e6 * 2.5 / count(*) * 1000000, 4) AS projected FROM (SELECT greatest({tok('text')} - {BUDGET}, 0) AS g FROM documents)",
     "solve_stats": f"WITH {solves()} SELECT method, CAST(trial AS INTEGER) AS trial, CAST(sum(tool_calls) AS BIGINT) AS tool_calls, CAST(sum(compressed) AS BIGINT) AS compressed, CAST(sum(tool_calls * 90) AS BIGINT) AS raw_tokens, CAST(sum(tool_calls * 30) AS BIGINT) AS context_tokens, CAST(sum(compressed % 2) AS BIGINT) AS expand_calls FROM so GROUP BY ALL",
     "leaderboard_order": """WITH b AS (SELECT c_custkey AS entry, CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS method, c_mktsegment AS track, c_custkey % 130 / 100 AS value FROM customer)
-        SELECT track, CAST(place AS INTEGER) AS place, entry, method, value FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY value DESC, entry) AS place FROM b) WHERE place <= 5""",
+        SELECT track, entry, method, value FROM b""",
     "store_expiry": "SELECT CAST(user_id AS VARCHAR) AS ref, max(ts) AS stored_at FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(max(ts))) <= 864000",
     "paired_equivalence": f"""WITH {solves()}, {GAPS}, vv AS (SELECT 'all' AS stratum, task, gap AS value FROM gp WHERE gap IS NOT NULL), {replicates('vv')},
         en AS (SELECT list_sort(list(round(mean, 9))) AS l FROM rp), x AS (SELECT l[{_LOW}] AS low, l[{_HIGH}] AS high FROM en)
@@ -609,6 +642,9 @@ ORACLE: dict[str, str] = {
         SELECT n, round(c, 6) AS control, round(m - c, 6) AS delta, CASE WHEN n < 100 THEN 'PENDING' WHEN c < 0.3 OR w > c THEN 'VOID' WHEN m - c >= -0.05 THEN 'GO' ELSE 'NO-GO' END AS decision FROM r""",
     "resume_pending": f"WITH {solves()} SELECT method, task, trial FROM so WHERE (task + trial) % 3 <> 0",
     "agent_task_consume": "SELECT o_custkey AS id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS id_sum, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids, max(o_orderkey) AS last_id FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey",
+    "episode_loop": f"""WITH {episodes()}
+        SELECT method, task, answer, true AS finished, coalesce(answer = gold, false) AS success, CAST(2 + more + CAST(second AS INT) AS INTEGER) AS steps, CAST(raw1 + CASE WHEN second THEN raw2 ELSE 0 END AS BIGINT) AS raw_tokens,
+               CAST(ctx1 + CASE WHEN second THEN ctx2 ELSE 0 END AS BIGINT) AS context_tokens, more AS expand_calls FROM a JOIN g USING (task)""",
     "two_hop_sum": """WITH p AS (SELECT o_orderkey, o_orderstatus, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey), s AS (SELECT c_nationkey, count(*) AS open_orders, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM p WHERE o_orderstatus = 'O' GROUP BY 1)
         SELECT o_orderkey, n_name, open_orders, key_sum FROM p JOIN s USING (c_nationkey) JOIN nation ON n_nationkey = c_nationkey""",
     "stream_sketch_batch": sketch(),

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from condensa.functions import detect, judge
 from condensa.functions.text import content_ref, paragraphs, saved, terms, token_count, unit
-from condensa.operators import baselines, html_tree, json_tree, messages, store
+from condensa.operators import baselines, html_tree, json_tree, messages, runs, store
 from condensa.operators.compress import compress, compress_html, compress_logs, compress_tabular, compress_text, html_text, with_runs
 from condensa.operators.score import with_bm25, with_cosine
-from condensa.plans import evaluate, experiments
+from condensa.plans import episodes, evaluate, experiments
 from condensa.sources import cases, synth
 from condensa.sources.files import pending
+from condensa.sources.stages import once, shared_folder
 from condensa.streaming import savings, sketch
 
 QUERY = "retion edble hetion entrement"
@@ -166,12 +167,9 @@ def log_run_length(spark, sf_dir):
 
 @query
 def log_run_length_table(spark, sf_dir):
-    """The same over a table of lines: gaps and islands by windows, for logs that no row can hold."""
+    """The same over a table of lines, for logs that no row and no task can hold."""
     events = synth.table(spark, sf_dir, "events").where("user_id is not null")
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    rows = events.withColumn("new", F.coalesce((F.lag("event_type").over(order) != F.col("event_type")).cast("int"), F.lit(0)))
-    rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(F.col("user_id").alias("id"), "run", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return runs.run_lengths(events, "user_id", "event_id", "event_type").withColumnRenamed("user_id", "id")
 
 
 @query
@@ -254,16 +252,21 @@ def router_passthrough(spark, sf_dir):
     )
 
 
-def asked_vectors(spark, sf_dir, block: int = 256) -> DataFrame:
+def asked_vectors(spark, sf_dir, block: int = 256, part: int = 4096) -> DataFrame:
     """All vectors (vec_id, v: of length 1) with blocks (ids, vectors) of the query set: the vectors whose id is divisible by 20.
 
-    A row meets each block of queries once; blocks are joined by number, so that the query set needn't fit anywhere.
+    A row meets each block of queries once. Rows are dealt into parts, and the key of the join is a part and a block: neither all rows nor all
+    queries share one, and what a key holds doesn't grow with the table.
     """
     rows = synth.table(spark, sf_dir, "embeddings").where("embedding is not null and vec_id is not null").select("vec_id", unit(F.col("embedding")).alias("v"))
     queries = rows.where("vec_id % 20 = 0")
-    n = max(1, -(-queries.count() // block))
-    blocks = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("q"))
-    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block").select("vec_id", "v", F.col("q.vec_id").alias("ids"), F.col("q.v").alias("vectors"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % 20 == 0).alias("q")).first()
+    n, m = max(1, -(-size["q"] // block)), max(1, -(-size["n"] // part))
+    of = lambda k: F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    blocks = queries.groupBy(of(n).alias("block")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("q")).withColumn("part", every(m))
+    pairs = rows.withColumn("part", of(m)).withColumn("block", every(n)).join(blocks, ["part", "block"])
+    return pairs.select("vec_id", "v", F.col("q.vec_id").alias("ids"), F.col("q.v").alias("vectors"))
 
 
 def vector_scores(spark, sf_dir, floor: float) -> DataFrame:
@@ -361,7 +364,8 @@ def gold_cases(spark, sf_dir) -> DataFrame:
 
 
 def verdicts(spark, sf_dir) -> DataFrame:
-    return evaluate.judged(gold_cases(spark, sf_dir), METHODS, BUDGETS, keep=["doc_id", "lang"])
+    """All verdicts of the grid: written once in an application, read by each report over them."""
+    return once(spark, f"verdicts|{sf_dir}", lambda: evaluate.judged(gold_cases(spark, sf_dir), METHODS, BUDGETS, keep=["doc_id", "lang"]))
 
 
 @query
@@ -369,8 +373,7 @@ def judge_matches(spark, sf_dir):
     """How many documents hold a benchmark item or most of its words.
 
     A document that does holds at least ``need`` of the item's ``size`` words (a word inside a longer one can only be the first
-    or the last), so it holds one of the rarest size - need + 1: only documents with such a word are looked at. Items of
-    two words or fewer are searched as they are.
+    or the last), so it holds one of the rarest size - need + 1: only documents with such a word are looked at.
     """
     items = synth.table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", judge.normal(F.col("text")).alias("gold")).where("gold <> ''")
     rows = synth.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", judge.normal(F.col("text")).alias("said"))
@@ -386,11 +389,16 @@ def judge_matches(spark, sf_dir):
     # a word of no document can't be held: it is one of those that are missing
     absent = asked.join(common, "w", "left_anti").groupBy("item_id").agg(F.sum("times").alias("absent"))
     keys = keys.join(absent, "item_id", "left").where(F.col("before") <= F.col("spare") - F.coalesce("absent", F.lit(0)))
-    pairs = has.join(keys.select("item_id", "w"), "w").select("doc_id", "item_id").distinct()
-    short = rows.select("doc_id", "said").join(F.broadcast(items.where("size <= 2").agg(F.collect_list(F.struct("item_id", "gold")).alias("few"))), F.lit(True))
-    short = short.select("doc_id", F.inline(F.filter("few", lambda x: judge.matches(F.col("said"), x["gold"])))).select("doc_id", "item_id")
-    close = pairs.join(rows, "doc_id").join(items.select("item_id", "gold"), "item_id").where(judge.matches(F.col("said"), F.col("gold"))).select("doc_id", "item_id")
-    return close.unionByName(short).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    # items of two words or fewer may lie inside words: those of all documents' words that hold the item's longest one, found by its first letters
+    short = items.where("size <= 2").select("item_id", F.array_max(F.transform("ws", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("part"))
+    short = short.withColumn("gram", F.substring("part", 1, 3))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(F.col("w"), i, n)))))
+    inside = has.select("w").distinct().select("w", F.explode(grams).alias("gram")).join(short, "gram").where(F.contains("w", "part")).select("item_id", "w").distinct()
+    pairs = has.join(keys.select("item_id", "w").unionByName(inside), "w").select("doc_id", "item_id").distinct()
+    # texts move once, to the list of their document's items
+    asked = pairs.join(items.select("item_id", "gold"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "gold")).alias("few"))
+    close = rows.join(asked, "doc_id").select("doc_id", F.inline(F.filter("few", lambda x: judge.matches(F.col("said"), x["gold"]))))
+    return close.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query
@@ -413,7 +421,7 @@ def method_grid(spark, sf_dir):
 
 @query
 def full_pass(spark, sf_dir):
-    return evaluate.full_pass(verdicts(spark, sf_dir), "doc_id")
+    return evaluate.full_pass(evaluate.full_verdicts(gold_cases(spark, sf_dir), "doc_id"), "doc_id")
 
 
 @query
@@ -433,8 +441,8 @@ def mcnemar_grid(spark, sf_dir):
 
 @query
 def per_case_verdicts(spark, sf_dir):
-    rows = evaluate.per_case(evaluate.judged(gold_cases(spark, sf_dir), PLAIN, BUDGETS, keep=["doc_id"]), "doc_id")
-    return rows.select("doc_id", "full_tokens", "full_ok", F.size("ok").alias("verdicts"), F.element_at("ok", f"head@{BUDGETS[0]}").alias("head_ok"), F.element_at("ok", f"tail@{BUDGETS[1]}").alias("tail_ok"))
+    rows = evaluate.per_case(verdicts(spark, sf_dir), "doc_id")
+    return rows.select("doc_id", "full_tokens", "full_ok", F.size("ok").alias("verdicts"), *[F.element_at("ok", f"{m}@{b}").alias(f"{m}_{b}") for m in METHODS for b in BUDGETS])
 
 
 @query
@@ -444,7 +452,7 @@ def downstream_rate(spark, sf_dir):
     rows = synth.json_records(spark, sf_dir).select("id", "payload", F.lit("json").alias("kind"), last.alias("gold"))
     line = F.element_at(F.split("payload", "\n"), -1)
     rows = rows.unionByName(synth.tables(spark, sf_dir).select("id", "payload", F.lit("tabular").alias("kind"), F.split(line, ",")[0].alias("gold")))
-    rows = evaluate.judged(rows.withColumn("question", F.col("gold")), PLAIN, [SMALL], kind="kind", keep=["kind"])
+    rows = evaluate.judged(rows.withColumn("question", F.lit("urgent")), [*PLAIN, "condense"], [SMALL], kind="kind", keep=["kind"])
     return rows.groupBy("method", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("extracts").alias("extracted"), F.count_if("parses").alias("parsed"))
 
 
@@ -597,6 +605,57 @@ def two_hop_sum(spark, sf_dir):
     return placed.join(open_ones, "c_nationkey").join(names, "c_nationkey").select("o_orderkey", "n_name", "open_orders", "key_sum")
 
 
+#: The queries of the episodes' two calls, and the methods that take part.
+HOPS = ("urgent", "quantity")
+EPISODE_METHODS = ["full", "head", "condense", "recovery"]
+
+
+def order_tools(spark, sf_dir) -> DataFrame:
+    """(tool, arg, payload): a customer's orders as JSON, and an order's lines as a table."""
+    line = F.concat_ws(",", "l_linenumber", F.col("l_quantity").cast("long"), F.col("l_partkey"))
+    lines = synth.gathered(synth.table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", line, before="line,quantity,part\n")
+    of = lambda name, df: df.select(F.lit(name).alias("tool"), F.col("id").cast("string").alias("arg"), "payload")
+    return of("orders", synth.json_records(spark, sf_dir)).unionByName(of("lines", lines))
+
+
+def urgent_quantity(df: DataFrame) -> DataFrame:
+    """The policy: look up the customer's orders (whole, if something was left out that can be expanded), then the lines of the last urgent one, and add up their quantities."""
+    text = lambda k: F.split(episodes.output(k), "\n\\[condensed ")[0]
+    ref = F.regexp_extract(episodes.output(0), r"expand\((\w+)\)", 1)
+    more = text(0).rlike("more items|elided") & (ref != "")
+    expanded = F.get("history", F.lit(1))["tool"] == episodes.EXPAND
+    read = F.from_json(F.when(expanded, episodes.output(1)).otherwise(text(0)), "customer long, orders array<string>")["orders"]
+    order = F.transform(read, lambda o: F.from_json(o, "id long, priority string"))
+    last = F.array_max(F.transform(F.filter(order, lambda o: o["priority"] == "1-URGENT"), lambda o: o["id"]))
+    sound = F.when(expanded, episodes.output(1)).otherwise(text(0))
+    lines = F.filter(F.split(F.when(expanded, text(2)).otherwise(text(1)), "\n"), lambda s: s.rlike(r"^\d+,\d+,"))
+    total = F.aggregate(lines, F.lit(0).cast("long"), lambda a, s: a + F.split(s, ",")[1].cast("long"))
+    answer = F.concat(last.cast("string"), F.lit(":"), total.cast("string"))
+    n = F.size("history")
+    return df.withColumn("action", F.when(n == 0, episodes.action(F.lit("orders"), F.col("task"), F.lit(HOPS[0])))
+        .when((n == 1) & more, episodes.action(F.lit(episodes.EXPAND), ref))
+        .when(F.try_parse_json(sound).isNull(), episodes.action())
+        .when(last.isNull(), episodes.action(answer=F.lit("none")))
+        .when(n == F.when(expanded, 2).otherwise(1), episodes.action(F.lit("lines"), last, F.lit(HOPS[1])))
+        .otherwise(episodes.action(answer=answer)))
+
+
+@query
+def episode_loop(spark, sf_dir):
+    """An episode a customer and method: what is the sum of the quantities of the last urgent order?"""
+    orders = synth.table(spark, sf_dir, "orders").where("o_custkey is not null")
+    last = orders.groupBy(F.col("o_custkey").alias("task")).agg(F.max(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey"))).alias("l_orderkey"))
+    total = synth.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("q"))
+    gold = F.when(F.col("l_orderkey").isNull(), "none").otherwise(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.coalesce("q", F.lit(0)).cast("string")))
+    tasks = last.join(total, "l_orderkey", "left").select("task", gold.alias("gold"))
+    out = None
+    for method in EPISODE_METHODS:
+        rows = episodes.run_episodes(tasks, order_tools(spark, sf_dir), urgent_quantity, method, SMALL).withColumn("method", F.lit(method))
+        out = rows if out is None else out.unionByName(rows)
+    ok = F.coalesce(F.col("answer") == F.col("gold"), F.lit(False))
+    return out.select("method", "task", "answer", "finished", ok.alias("success"), "steps", "raw_tokens", "context_tokens", "expand_calls")
+
+
 def event_lines(spark, sf_dir) -> DataFrame:
     return synth.table(spark, sf_dir, "events").where("user_id is not null").select("user_id", "event_id", synth.log_line().alias("line"))
 
@@ -619,15 +678,10 @@ def savings_by_window(spark, sf_dir):
 @query
 def savings_by_window_stream(spark, sf_dir):
     """The same as a stream over what is there now."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and spark.sparkContext.master.startswith("local"):  # one process: its own folder is seen by all
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/condensa-streams"
-    if not base:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    return savings.run_once(savings.by_window(stream, "6 hours", watermark="1 hour"), f"{base.rstrip('/')}/savings-{uuid.uuid4().hex}", ["window_start", "event_type"])
+    return savings.run_once(savings.by_window(stream, "6 hours", watermark="1 hour"), f"{shared_folder(spark)}/savings-{uuid.uuid4().hex}", ["window_start", "event_type"])
 
 
 @query
@@ -663,9 +717,8 @@ def leaderboard_violations(spark, sf_dir):
 
 @query
 def leaderboard_order(spark, sf_dir):
-    """The best five entries of each track, in order."""
-    best = Window.partitionBy("track").orderBy(F.desc("value"), "entry")
-    return experiments.ranked_entries(entries(spark, sf_dir).withColumn("place", F.row_number().over(best)).where("place <= 5").select("track", "place", "entry", "method", "value"))
+    """All entries by track, the best first."""
+    return experiments.ranked_entries(entries(spark, sf_dir)).select("track", "entry", "method", "value")
 
 
 @query
