@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from condensa.sources.stages import Stages
+
 
 def run_lengths(df: DataFrame, key: str, order: str, line: str, *, chunk_rows: int = 1_000_000, most_chunks: int = 4096) -> DataFrame:
     """(key, run, line, n): runs of equal lines of each key in the order of the numeric column ``order``, numbered from 0.
@@ -28,6 +30,9 @@ def run_lengths(df: DataFrame, key: str, order: str, line: str, *, chunk_rows: i
     rows = rows.withColumn("_new", F.when(F.row_number().over(within) == 1, 0).otherwise(F.col("_new")))
     rows = rows.withColumn("_run", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     parts = rows.groupBy(key, "_chunk", "_run").agg(F.count(F.lit(1)).alias("n"), F.first(line).alias(line))
+    # runs are far fewer than lines: written once, read for the borders and for the numbers
+    stages = Stages(df.sparkSession, "runs")
+    parts = stages.write(parts)
     # the borders of a key's chunks: at most ``most_chunks`` rows
     ends = parts.groupBy(key, "_chunk").agg(F.max("_run").alias("_last"), F.min_by(F.struct(line), "_run").alias("_head"), F.max_by(F.struct(line), "_run").alias("_tail"))
     along = Window.partitionBy(key).orderBy("_chunk")
@@ -36,4 +41,4 @@ def run_lengths(df: DataFrame, key: str, order: str, line: str, *, chunk_rows: i
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     ends = ends.select(key, "_chunk", (F.sum(F.col("_last") + 1 - F.col("_joined")).over(upto) - F.col("_last") - 1).alias("_offset"))
     numbered = parts.join(ends, [key, "_chunk"])
-    return numbered.groupBy(key, (F.col("_run") + F.col("_offset")).alias("run"), line).agg(F.sum("n").alias("n"))
+    return stages.close(numbered.groupBy(key, (F.col("_run") + F.col("_offset")).alias("run"), line).agg(F.sum("n").alias("n")))

@@ -6,7 +6,7 @@ from condensa.functions.fixed import BLOCKS, LADDER, LEVEL_WORDS, LOG_WORDS, SKI
 from condensa.functions.stats import Z
 from condensa.functions.text import query_terms
 from condensa.plans.queries import BUDGET, BUDGETS, DIAGNOSTIC, HOPS, LOG_QUERY, METHODS, QUERY, SMALL, TABLE_QUERY
-from condensa.sources.cases import KINDS, TASKS, UNITS, WORDS
+from condensa.sources.cases import CASE_UNITS, KINDS, TASK_UNITS, TASKS
 from condensa.sources.synth import METHODS as SOLVERS
 
 _W = "chr(32)||" + "||".join(f"chr({ord(c)})" for c in WHITE[1:])
@@ -63,8 +63,14 @@ def html_chunks(src: str = "src") -> str:
     c AS (SELECT id, unnest(l) AS chunk, generate_subscripts(l, 1) - 1 AS idx FROM t3)"""
 
 
+#: Stands for the column ``question`` of ``src`` where a query is asked for.
+OWN = "?"
+
+
 def asked(query: str | None) -> str:
-    """CTE q(id, term) for a literal query: every payload's terms."""
+    """CTE q(id, term) for a literal query, or for each payload's own one: every payload's terms."""
+    if query == OWN:
+        return f"q AS (SELECT DISTINCT id, unnest({terms('question')}) AS term FROM src)"
     values = ", ".join(f"('{t}')" for t in query_terms(query or ""))
     return f"q AS (SELECT id, term FROM src, (VALUES {values}) v(term))" if values else "q AS (SELECT id, CAST(NULL AS VARCHAR) AS term FROM src WHERE false)"
 
@@ -206,6 +212,8 @@ def json_fitted(query: str | None, budget: int) -> str:
     """CTEs up to f(id, body) from ``src`` of JSON: the engine's own tree table, needs from the root down, each rung's text whole."""
     values = ", ".join(f"('{t}')" for t in query_terms(query or ""))
     asked_terms = f"SELECT DISTINCT c.id, term FROM c, (VALUES {values}) v(term)" if values else "SELECT id, CAST(NULL AS VARCHAR) AS term FROM c WHERE false"
+    if query == OWN:
+        asked_terms = f"SELECT DISTINCT c.id, term FROM c JOIN (SELECT id AS pid, unnest({terms('question')}) AS term FROM src) w ON split_part(c.id, '|', 1) = CAST(w.pid AS VARCHAR)"
     rungs = ", ".join(f"({r}, {k}, {c}, {d}, {str(w).lower()})" for r, (k, c, d, w) in enumerate(LADDER))
     cut = "CASE WHEN length(said) <= chars OR (NOT contains(said, ' ') AND length(said) <= 128) THEN said ELSE left(said, chars) || '…(+' || (length(said) - chars) || ' chars)' END"
     elided = """CASE WHEN type = 'OBJECT' THEN '{"…":"(' || inner_n || ' keys elided)"}' ELSE '["(' || inner_n || ' items elided)"]' END"""
@@ -238,16 +246,16 @@ def json_fitted(query: str | None, budget: int) -> str:
     f AS (SELECT src.id, coalesce(arg_min(body, r) FILTER ({tok('body')} <= {budget}), '"…"') AS body FROM src LEFT JOIN tx ON src.id = tx.pid GROUP BY src.id)"""
 
 
-def routed(query: str, budget: int) -> str:
-    """CTEs up to z(origin, id, content_type, original_tokens, body) of all payloads: body is null for those that pass."""
+def routed(query: str, budget: int, source: str = "") -> str:
+    """CTEs up to z(origin, id, content_type, original_tokens, body, ...) of all payloads, or of ``source``'s ap(origin, id, payload, question): body is null for those that pass."""
     room = max(16, budget - 24)
     lanes = {
         "text": f"{text_chunks()}, {asked(query)}, {scored()}, {fitted(room, 1)}", "html": f"{html_chunks()}, {asked(query)}, {scored()}, {fitted(room, 1)}",
         "logs": logs_fitted(query, room), "tabular": tabular_fitted(query, room), "json": json_fitted(query, room),
     }
-    parts = " UNION ALL ".join(f"SELECT id, body FROM (WITH src AS (SELECT key AS id, payload FROM ov WHERE content_type = '{k}'), {lane} SELECT src.id, coalesce(f.body, '') AS body FROM src LEFT JOIN f ON src.id = f.id)" for k, lane in lanes.items())
-    return f"""{ALL},
-    kd AS (SELECT origin, id, origin || ':' || id AS key, payload, {kind('payload')} AS content_type, {tok('payload')} AS original_tokens FROM ap),
+    parts = " UNION ALL ".join(f"SELECT id, body FROM (WITH src AS (SELECT key AS id, payload{', question' if source else ''} FROM ov WHERE content_type = '{k}'), {lane} SELECT src.id, coalesce(f.body, '') AS body FROM src LEFT JOIN f ON src.id = f.id)" for k, lane in lanes.items())
+    return f"""{source or ALL},
+    kd AS (SELECT *, origin || ':' || id AS key, {kind('payload')} AS content_type, {tok('payload')} AS original_tokens FROM ap),
     ov AS (SELECT * FROM kd WHERE original_tokens > {budget}),
     bd AS ({parts}),
     z AS (SELECT kd.*, CASE WHEN original_tokens > {budget} THEN body END AS body FROM kd LEFT JOIN bd ON kd.key = bd.id)"""
@@ -442,37 +450,40 @@ def bodies(said: str, of: str, more: str = "", named: bool = True, heat: bool =
         CASE WHEN {open_} THEN NULL ELSE CAST(n AS INTEGER) END AS n, {f'CASE WHEN {open_} THEN NULL ELSE CAST(named AS INTEGER) END AS named,' if named else ''} CASE WHEN {open_} THEN NULL ELSE sha1(t) END AS said_sha"""
 
 
+def planted(least: int) -> str:
+    """CTE c0(id, turns..., words, n): documents in units of eight words."""
+    return f"c0 AS (SELECT doc_id AS id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+') AS ws, CAST(greatest({least}, ceil(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) / 8)) AS BIGINT) AS n FROM documents WHERE doc_id IS NOT NULL)"
+
+
+_UNIT = "CASE WHEN r * 8 < len(ws) THEN array_to_string(ws[r * 8 + 1:r * 8 + 8], ' ') ELSE 'note ' || r END"
+
+
 def case_rows() -> str:
     """CTEs up to fc(id, kind, category, notes, ...): the planted cases, by the same arithmetic."""
-    ws = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
-    units = "CASE kind " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in UNITS.items()) + " END"
     kinds = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
-    filler = f"array_to_string(list_transform(range(0, 8), lambda j: {ws}[(id * 31 + r * 17 + j * j * 5 + j * 3) % {len(WORDS)} + 1]), ' ')"
-    return f"""c0 AS (SELECT unnest(range(0, 66)) AS id),
-    c1 AS (SELECT id, CASE WHEN id < 50 THEN 'single' WHEN id < 56 THEN 'multi' WHEN id < 62 THEN 'distractor' ELSE 'aggregate' END AS category,
-           CASE WHEN id >= 62 AND id % 2 = 0 THEN 'tabular' WHEN id < 50 THEN {kinds}[id // 10 + 1] WHEN id % 2 = 0 THEN 'text' ELSE 'json' END AS kind FROM c0),
-    c2 AS (SELECT *, {units} AS n, 1000 + id * 37 AS code FROM c1),
+    return f"""{planted(CASE_UNITS)},
+    c1 AS (SELECT *, id % 66 AS t, CASE WHEN id % 66 < 50 THEN 'single' WHEN id % 66 < 56 THEN 'multi' WHEN id % 66 < 62 THEN 'distractor' ELSE 'aggregate' END AS category FROM c0),
+    c2 AS (SELECT *, CASE WHEN t >= 62 AND t % 2 = 0 THEN 'tabular' WHEN t < 50 THEN {kinds}[t // 10 + 1] WHEN t % 2 = 0 THEN 'text' ELSE 'json' END AS kind, 1000 + id * 37 AS code FROM c1),
     c3 AS (SELECT *, (id * 37 + 11) % n AS spot, CASE WHEN category = 'aggregate' THEN 'crane one of pier ' || id || ' lifts ' || code ELSE 'harbor code of pier ' || id || ' is ' || code END AS gold,
            CASE category WHEN 'multi' THEN 'harbor fee of pier ' || id || ' is ' || (code + 11) WHEN 'distractor' THEN 'harbor code of pier ' || (id + 100) || ' is ' || (code + 11)
                          WHEN 'aggregate' THEN 'crane two of pier ' || id || ' lifts ' || (code + 11) END AS second,
            CASE WHEN category = 'aggregate' THEN 'crane three of pier ' || id || ' lifts ' || (code + 22) END AS third,
            CASE category WHEN 'multi' THEN 'what are harbor code and harbor fee of pier ' || id WHEN 'aggregate' THEN 'which crane of pier ' || id || ' lifts how much' ELSE 'what is the harbor code of pier ' || id END AS question FROM c2),
     rw AS (SELECT *, unnest(range(0, n)) AS r FROM c3),
-    fc AS (SELECT id, kind, category, question, gold, second, third, list(CASE WHEN r = spot THEN gold WHEN r = (spot + n // 2) % n AND second IS NOT NULL THEN second WHEN r = (spot + n // 4) % n AND third IS NOT NULL THEN third ELSE {filler} END ORDER BY r) AS notes
-           FROM rw GROUP BY ALL)"""
+    fc AS (SELECT id, kind, category, question, gold, second, third, list(CASE WHEN r = spot THEN gold WHEN r = (spot + n // 2) % n AND second IS NOT NULL THEN second WHEN r = (spot + n // 4) % n AND third IS NOT NULL THEN third ELSE {_UNIT} END ORDER BY r) AS notes
+           FROM rw GROUP BY id, kind, category, question, gold, second, third)"""
 
 
 def task_rows() -> str:
-    ws = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
     tasks = "[" + ", ".join(f"'{t}'" for t in TASKS) + "]"
-    filler = f"array_to_string(list_transform(range(0, 8), lambda j: {ws}[(id * 31 + r * 17 + j * j * 5 + j * 3) % {len(WORDS)} + 1]), ' ')"
-    return f"""c0 AS (SELECT unnest(range(0, 10)) AS id),
-    c1 AS (SELECT id, CASE WHEN id < 6 THEN 'json' ELSE 'tabular' END AS kind, {tasks}[id + 1] AS task, 'salvage tug ' || (id + 40) AS marker FROM c0),
-    c2 AS (SELECT *, list_sort(list_transform(range(1, CASE WHEN task = 'lookup' THEN 2 ELSE 5 END), lambda k: (id * 13 + k * (300 // CASE WHEN task = 'lookup' THEN 2 ELSE 5 END)) % 300)) AS places FROM c1),
+    some = "CASE WHEN task = 'lookup' THEN 2 ELSE 5 END"
+    return f"""{planted(TASK_UNITS)},
+    c1 AS (SELECT *, CASE WHEN id % 10 < 6 THEN 'json' ELSE 'tabular' END AS kind, {tasks}[id % 10 + 1] AS task, 'salvage tug ' || (id + 40) AS marker FROM c0),
+    c2 AS (SELECT *, list_sort(list_transform(range(1, {some}), lambda k: (id * 13 + k * (n // {some})) % n)) AS places FROM c1),
     c3 AS (SELECT *, CASE task WHEN 'count' THEN CAST(len(places) AS VARCHAR) WHEN 'sum' THEN CAST(CAST(list_sum(list_transform(places, lambda p: p * 7 % 100)) AS BIGINT) AS VARCHAR)
            WHEN 'list' THEN array_to_string(list_transform(places, lambda p: p + 1), ',') ELSE CAST(places[1] * 7 % 100 AS VARCHAR) END AS expected FROM c2),
-    rw AS (SELECT *, unnest(range(0, 300)) AS r FROM c3),
-    fc AS (SELECT id, kind, task, expected, list(CASE WHEN list_contains(places, r) THEN marker || ' at berth ' || r ELSE {filler} END ORDER BY r) AS notes FROM rw GROUP BY ALL)"""
+    rw AS (SELECT *, unnest(range(0, n)) AS r FROM c3),
+    fc AS (SELECT id, kind, task, expected, list(CASE WHEN list_contains(places, r) THEN marker || ' at berth ' || r ELSE {_UNIT} END ORDER BY r) AS notes FROM rw GROUP BY id, kind, task, expected)"""
 
 
 def case_payload() -> str:
@@ -645,6 +656,9 @@ ORACLE: dict[str, str] = {
     "episode_loop": f"""WITH {episodes()}
         SELECT method, task, answer, true AS finished, coalesce(answer = gold, false) AS success, CAST(2 + more + CAST(second AS INT) AS INTEGER) AS steps, CAST(raw1 + CASE WHEN second THEN raw2 ELSE 0 END AS BIGINT) AS raw_tokens,
                CAST(ctx1 + CASE WHEN second THEN ctx2 ELSE 0 END AS BIGINT) AS context_tokens, more AS expand_calls FROM a JOIN g USING (task)""",
+    "savings_benchmark": f"""WITH {routed(OWN, 400, f"{case_rows()}, ap AS (SELECT kind AS origin, id, gold, question, {case_payload()} AS payload FROM fc WHERE category = 'single')")},
+        t AS (SELECT *, CASE WHEN body IS NULL THEN payload ELSE body || chr(10) || '[condensed ' || original_tokens || ' -> ' || {tok('body')} || ' tokens; whole text: expand(' || substr(sha1(payload), 1, 8) || ')]' END AS text FROM z)
+        SELECT origin AS kind, count(*) AS n, CAST(sum(original_tokens) AS BIGINT) AS original_tokens, CAST(sum({tok('text')}) AS BIGINT) AS compressed_tokens, count(*) FILTER (contains(text, gold)) AS found FROM t GROUP BY origin""",
     "two_hop_sum": """WITH p AS (SELECT o_orderkey, o_orderstatus, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey), s AS (SELECT c_nationkey, count(*) AS open_orders, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM p WHERE o_orderstatus = 'O' GROUP BY 1)
         SELECT o_orderkey, n_name, open_orders, key_sum FROM p JOIN s USING (c_nationkey) JOIN nation ON n_nationkey = c_nationkey""",
     "stream_sketch_batch": sketch(),

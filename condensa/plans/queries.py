@@ -458,30 +458,43 @@ def downstream_rate(spark, sf_dir):
 
 @query
 def faithfulness_cases(spark, sf_dir):
-    rows = cases.faithfulness(spark)
+    rows = planted_cases(spark, sf_dir)
     return rows.select("id", "kind", "category", token_count(F.col("payload")).alias("tokens"), sha("payload").alias("payload_sha"), "question", "gold", F.array_join("all_of", "|").alias("all_of"), F.array_join("none_of", "|").alias("none_of"))
 
 
-def case_verdicts(spark, methods) -> DataFrame:
-    """The 66 cases, read by the offline reader: the best windows of what a method leaves."""
+def texts(spark, sf_dir) -> DataFrame:
+    return synth.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def planted_cases(spark, sf_dir) -> DataFrame:
+    """The planted cases: written once in an application, read by each query over them."""
+    return once(spark, f"cases|{sf_dir}", lambda: cases.faithfulness(texts(spark, sf_dir)))
+
+
+def planted_tasks(spark, sf_dir) -> DataFrame:
+    return once(spark, f"tasks|{sf_dir}", lambda: cases.agent_tasks(texts(spark, sf_dir)))
+
+
+def case_verdicts(spark, sf_dir, methods) -> DataFrame:
+    """The planted cases, read by the offline reader: the best windows of what a method leaves."""
     reader = lambda df, q, p, o: baselines.top_regions(df, q, payload=p, out=o)
-    return evaluate.judged(cases.faithfulness(spark), methods, CASE_BUDGETS, kind="kind", keep=["id", "category"], answerer=reader)
+    return evaluate.judged(planted_cases(spark, sf_dir), methods, CASE_BUDGETS, kind="kind", keep=["id", "category"], answerer=reader)
 
 
 @query
 def faithfulness_grid(spark, sf_dir):
-    return evaluate.grid(case_verdicts(spark, [*baselines.DEFAULT_METHODS, "recovery"]), "category")
+    return evaluate.grid(case_verdicts(spark, sf_dir, [*baselines.DEFAULT_METHODS, "recovery"]), "category")
 
 
 @query
 def ablation_ladder(spark, sf_dir):
-    return evaluate.ladder_steps(case_verdicts(spark, list(baselines.RUNGS)), list(baselines.RUNGS))
+    return evaluate.ladder_steps(case_verdicts(spark, sf_dir, list(baselines.RUNGS)), list(baselines.RUNGS))
 
 
 @query
 def agent_task_cases(spark, sf_dir):
     """What a program computes from each whole task payload."""
-    rows = cases.agent_tasks(spark)
+    rows = planted_tasks(spark, sf_dir)
     got = cases.consumed(F.col("payload"), F.col("kind"), F.col("task"), F.col("marker"), F.col("lookup_id"))
     return rows.select("id", "kind", "task", sha("payload").alias("payload_sha"), "expected", got.alias("computed"))
 
@@ -491,7 +504,7 @@ def agent_task_success(spark, sf_dir):
     """Tasks whose program still computes the right answer from what a method leaves."""
     out = None
     for method in ("full", "head", "tail", "windows", *baselines.RUNGS):
-        rows = cases.agent_tasks(spark).withColumn("budget", F.explode(F.array(*[F.lit(b) for b in CASE_BUDGETS])))
+        rows = planted_tasks(spark, sf_dir).withColumn("budget", F.explode(F.array(*[F.lit(b) for b in CASE_BUDGETS])))
         rows = baselines.METHODS[method](rows, F.col("budget"), F.col("question"), out="body")
         got = cases.consumed(F.col("body"), F.col("kind"), F.col("task"), F.col("marker"), F.col("lookup_id"))
         rows = rows.select(F.lit(method).alias("method"), "budget", "kind", F.coalesce(got == F.col("expected"), F.lit(False)).alias("ok"))
@@ -501,8 +514,8 @@ def agent_task_success(spark, sf_dir):
 
 @query
 def savings_benchmark(spark, sf_dir):
-    """One payload of each kind and category at 400 tokens: what is saved, and whether the fact is still there."""
-    return evaluate.savings(cases.faithfulness(spark).where("category = 'single'"), 400)
+    """The payloads of every kind with one fact at 400 tokens: what is saved, and whether the fact is still there."""
+    return evaluate.savings(planted_cases(spark, sf_dir).where("category = 'single'"), 400)
 
 
 @query

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from condensa.functions import detect, judge, stats
 from condensa.functions.text import content_ref, line_windows, paragraphs, shortened, token_count
-from condensa.operators import baselines, html_tree, json_tree, messages, store
+from condensa.operators import baselines, html_tree, json_tree, messages, runs, store
 from condensa.operators.budget import fit_chunks, take_until_full, take_what_fits
 from condensa.operators.compress import compress, compress_logs, compress_tabular, html_text
 from condensa.operators.score import with_bm25, with_cosine
-from condensa.plans import evaluate, experiments, oracle
+from condensa.plans import episodes, evaluate, experiments, oracle
 from condensa.sources import cases, files
 from condensa.streaming import sketch
 
@@ -120,7 +120,7 @@ def test_json_always_parses_within_budget(spark):
         assert len(r.body) >= len(json.dumps(json.loads(r.payload), separators=(",", ":"))) or "…" in r.body or "more items" in r.body or "elided" in r.body
     tight = {(r.id, r.budget): r.body for r in rows}
     assert tight[4, 64] == '{"field 0":"words and words words and words …(+112 chars)","field 1":"words and words words and words …(+112 chars)","field 2":"words and words words and words …(+112 chars)","…":"(13 fields elided)"}'
-    assert tight[4, 8] == '{"…":"(16 fields elided)"}' and tight[0, 8].startswith('{"id":"o-1"')
+    assert tight[4, 8] == '{"…":"(16 fields elided)"}' and tight[0, 8] == '{"…":"(5 fields elided)"}' and tight[0, 16].startswith('{"id":"o-1"')
 
 
 def test_json_cliff_keeps_the_cluster(spark):
@@ -313,25 +313,72 @@ def test_whole_json_only(spark):
     assert {k: one(spark, detect.is_json, k) for k in cases} == cases
 
 
-def test_cases_and_programs(spark):
-    from condensa.plans.queries import QUERIES
-
-    rows = cases.faithfulness(spark)
-    assert {(r.category, r["count"]) for r in rows.groupBy("category").count().collect()} == {("single", 50), ("multi", 6), ("distractor", 6), ("aggregate", 4)}
+def test_cases_and_programs(spark, tmp_path):
+    """Facts planted in long, short, empty and null texts; whole payloads answer everything, compressed ones more than cut ones."""
+    words = " ".join(f"word{i} and text" for i in range(400))
+    docs = spark.createDataFrame([(i, words) for i in range(0, 66)] + [(66, ""), (67, None), (68, "a b"), (None, "x")], "id long, text string")
+    cases.faithfulness(docs).write.parquet(f"{tmp_path}/cases")
+    rows = spark.read.parquet(f"{tmp_path}/cases")
+    counts = {(r.category, r["count"]) for r in rows.where("id < 66").groupBy("category").count().collect()}
+    assert counts == {("single", 50), ("multi", 6), ("distractor", 6), ("aggregate", 4)} and rows.count() == 69
     ok = rows.select(judge.passed(F.col("payload"), F.col("gold"), F.col("all_of"), F.array().cast("array<string>")).alias("ok"), (detect.content_type(F.col("payload")) == F.col("kind")).alias("typed")).collect()
     assert all(r.ok and r.typed for r in ok)
-    grid = {(r.method, r.budget): r for r in evaluate.grid(QUERIES_case_verdicts(spark, ["full", "head", "condense"])).collect()}
-    assert grid["full", 128].accuracy > 0.9 and grid["condense", 512].accuracy > 0.85 > 0.3 > grid["head", 128].accuracy and grid["condense", 512].downstream_rate > 0.8
-    solved = {(r.method, r.budget, r.kind): r.solved for r in QUERIES["agent_task_success"](spark, None).collect()}
-    assert solved["full", 128, "json"] == 6 and solved["condense", 512, "json"] == 6 and solved["condense", 512, "tabular"] == 4 and solved["flat", 512, "json"] == solved["head", 512, "json"] == 0
-    assert all(r.found == r.n and r.compressed_tokens < r.original_tokens / 2 for r in QUERIES["savings_benchmark"](spark, None).collect())
-    assert [r.accuracy is not None for r in QUERIES["ablation_ladder"](spark, None).collect()] == [True] * 8
-
-
-def QUERIES_case_verdicts(spark, methods):
-    from condensa.plans.queries import case_verdicts
-
-    return case_verdicts(spark, methods)
+    few = rows.where("id % 10 in (1, 2, 7)")
+    grid = {r.method: r for r in evaluate.grid(evaluate.judged(few, ["full", "head", "condense"], [256], kind="kind")).collect()}
+    assert grid["full"].accuracy > 0.8 and grid["condense"].accuracy > 0.6 > grid["head"].accuracy and grid["condense"].downstream_rate > 0.8
+    cases.agent_tasks(docs.where("id between 10 and 29")).write.parquet(f"{tmp_path}/tasks")
+    tasks = spark.read.parquet(f"{tmp_path}/tasks")
+    got = cases.consumed(F.col("payload"), F.col("kind"), F.col("task"), F.col("marker"), F.col("lookup_id"))
+    assert tasks.where(got == F.col("expected")).count() == 20
+    cut = json_tree.compress_json(tasks.where("kind = 'json'"), 512, F.col("question"), payload="payload", out="payload_out").withColumn("payload", F.col("payload_out"))
+    assert cut.where(got == F.col("expected")).count() >= 11
+
+
+def test_episodes(spark):
+    """Steps, tokens, unknown tools, the step limit, and a store that gives the whole text back."""
+    long = json.dumps({"orders": [{"id": i, "note": "plain words " * 4} for i in range(60)] + [{"id": 99, "note": "rare fox"}]})
+    tools = spark.createDataFrame([("get", "a", "short"), ("get", "b", long)], "tool string, arg string, payload string")
+    tasks = spark.createDataFrame([(1, "a"), (2, "b"), (3, "missing")], "task int, key string")
+
+    def once(df):
+        return df.withColumn("action", F.when(F.size("history") == 0, episodes.action(F.lit("get"), F.col("key"), F.lit("fox"))).otherwise(episodes.action(answer=F.get("history", F.lit(0))["output"])))
+
+    full = {r.task: r for r in episodes.run_episodes(tasks, tools, once, "full", 40).collect()}
+    assert [(full[k].answer, full[k].steps, full[k].finished) for k in (1, 3)] == [("short", 2, True), ("[error: nothing under get missing]", 2, True)]
+    assert full[2].raw_tokens == full[2].context_tokens == (len(long) + 3) // 4 and full[3].raw_tokens == 0
+    cut = {r.task: r for r in episodes.run_episodes(tasks, tools, once, "head", 40).collect()}
+    assert cut[2].context_tokens == 40 < cut[2].raw_tokens and cut[2].answer == long[:160]
+
+    def again(df):
+        return df.withColumn("action", episodes.action(F.lit("get"), F.lit("a"), F.lit("fox")))
+
+    assert {(r.steps, r.finished, r.answer, r.raw_tokens) for r in episodes.run_episodes(tasks, tools, again, "full", 40, max_steps=3).collect()} == {(3, False, None, 6)}
+
+    def expanding(df):
+        ref = F.regexp_extract(episodes.output(0), r"expand\((\w+)\)", 1)
+        return df.withColumn("action", F.when(F.size("history") == 0, episodes.action(F.lit("get"), F.col("key"), F.lit("fox")))
+            .when((F.size("history") == 1) & (ref != ""), episodes.action(F.lit(episodes.EXPAND), ref)).otherwise(episodes.action(answer=F.element_at("history", -1)["output"])))
+
+    back = {r.task: r for r in episodes.run_episodes(tasks, tools, expanding, "recovery", 40).collect()}
+    assert back[2].answer == long and back[2].expand_calls == 1 and back[2].steps == 3 and back[1].expand_calls == 0
+
+
+def test_runs_of_a_hot_key(spark):
+    """One key holds a third of all lines; chunks of the order are joined at their borders."""
+    rng = random.Random(9)
+    lines = [("hot" if i % 3 == 0 else f"k{rng.randrange(40)}", i, rng.choice(["a", "b", None]) if rng.random() < 0.2 else "a") for i in range(3000)]
+    df = spark.createDataFrame(lines, "key string, at long, line string")
+    want = []
+    for key in {k for k, _, _ in lines}:
+        run, last = -1, object()
+        for _, _, line in [x for x in lines if x[0] == key]:
+            if line != last:
+                run, last = run + 1, line
+                want.append([key, run, line, 0])
+            want[-1][3] += 1
+    got = runs.run_lengths(df, "key", "at", "line", chunk_rows=100)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want)))
+    assert runs.run_lengths(df.where("false"), "key", "at", "line").count() == 0
 
 
 def test_vector_windows(spark):
