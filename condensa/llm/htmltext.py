@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""")
+#: Attributes end before the next tag unless they are quoted, so that a tag that is never closed isn't looked for to the end of the page.
+_INSIDE = r"""(?:[^<>"']|"[^"]*"|'[^']*')*"""
+_RAW = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|title)\b(?:{_INSIDE}|[^<>]*)>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/<>]*)({_INSIDE})>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?][^<>]*>")
 _MARKS = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Class words that tell of a part elsewhere (``has-sidebar``) don't make their own element furniture.
 _ELSEWHERE = re.compile(r"(?:^|(?<=\s))(?:has|no|not|with|without|is)[_-]\S+", re.I)

@@ -525,3 +525,14 @@ def test_op6_repeated_rows_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "u", "<p>" + "word " * 50, "t", 3)] * 2 + [(None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
     got = htmltext.extract(df).collect()
     assert [r.n_chars for r in got] == [249, 249, 0] and htmltext.extract(df).columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_op6_broken_pages_take_time_in_proportion():
+    """Tags that are never closed, by the ten thousand; and a formula is part of its sentence."""
+    import time
+
+    began = time.time()
+    for page in ("<a " * 100_000, "<script " * 40_000, "<!" * 100_000, "<a href='x' " * 40_000, "<p>" + "<b" * 100_000):
+        htmltext.main_text(page)
+    assert time.time() - began < 20
+    assert "where x is big" in htmltext.main_text("<article><p>" + "Some words of a long paragraph that goes on. " * 9 + "It holds where <math><mi>x</mi></math> is big.</p></article>")
