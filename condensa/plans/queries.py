@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -365,7 +366,13 @@ def gold_cases(spark, sf_dir) -> DataFrame:
 
 def verdicts(spark, sf_dir) -> DataFrame:
     """All verdicts of the grid: written once in an application, read by each report over them."""
-    return once(spark, f"verdicts|{sf_dir}", lambda: evaluate.judged(gold_cases(spark, sf_dir), METHODS, BUDGETS, keep=["doc_id", "lang"]))
+    return by_method(spark, f"verdicts|{sf_dir}", METHODS, lambda m: evaluate.judged(gold_cases(spark, sf_dir), [m], BUDGETS, keep=["doc_id", "lang"]))
+
+
+def by_method(spark, name: str, methods, make) -> DataFrame:
+    """The tables that ``make`` gives for each method, each written once: a plan holds one method, not all of them."""
+    parts = [once(spark, f"{name}|{m}", lambda m=m: make(m)) for m in methods]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -478,7 +485,7 @@ def planted_tasks(spark, sf_dir) -> DataFrame:
 def case_verdicts(spark, sf_dir, methods) -> DataFrame:
     """The planted cases, read by the offline reader: the best windows of what a method leaves."""
     reader = lambda df, q, p, o: baselines.top_regions(df, q, payload=p, out=o)
-    return evaluate.judged(planted_cases(spark, sf_dir), methods, CASE_BUDGETS, kind="kind", keep=["id", "category"], answerer=reader)
+    return by_method(spark, f"case-verdicts|{sf_dir}", methods, lambda m: evaluate.judged(planted_cases(spark, sf_dir), [m], CASE_BUDGETS, kind="kind", keep=["id", "category"], answerer=reader))
 
 
 @query
@@ -502,13 +509,13 @@ def agent_task_cases(spark, sf_dir):
 @query
 def agent_task_success(spark, sf_dir):
     """Tasks whose program still computes the right answer from what a method leaves."""
-    out = None
-    for method in ("full", "head", "tail", "windows", *baselines.RUNGS):
+    def solved(method: str) -> DataFrame:
         rows = planted_tasks(spark, sf_dir).withColumn("budget", F.explode(F.array(*[F.lit(b) for b in CASE_BUDGETS])))
         rows = baselines.METHODS[method](rows, F.col("budget"), F.col("question"), out="body")
         got = cases.consumed(F.col("body"), F.col("kind"), F.col("task"), F.col("marker"), F.col("lookup_id"))
-        rows = rows.select(F.lit(method).alias("method"), "budget", "kind", F.coalesce(got == F.col("expected"), F.lit(False)).alias("ok"))
-        out = rows if out is None else out.unionByName(rows)
+        return rows.select(F.lit(method).alias("method"), "budget", "kind", F.coalesce(got == F.col("expected"), F.lit(False)).alias("ok"))
+
+    out = by_method(spark, f"solved|{sf_dir}", ["full", "head", "tail", "windows", *baselines.RUNGS], solved)
     return out.groupBy("method", "budget", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("solved"))
 
 
