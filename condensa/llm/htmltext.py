@@ -1,11 +1,14 @@
 """Main text of HTML pages by the distribution of text over line blocks.
 
 Markup is stripped into lines, one a block element. A line weighs as much as it has characters outside links;
-lines in page furniture (menus, forms, scripts, adverts, comments ...) weigh nothing. Where the page marks its article
+lines in page furniture (menus, forms, scripts, adverts, comments ...) weigh nothing. A form that holds most of the page's
+text wraps the page and is no furniture. Words like ``related`` or ``share`` in the marked article only make a part furniture
+if none of its lines is as long as the article's floor. Where the page marks its article
 (``article``, ``main`` or their roles), each line of the marked part weighs as much as its long ones do, link
 lists too, and other lines weigh a tenth, or nothing if that is not as much as the marked part's floor for a line.
 Sums of weights over a sliding window of lines surge where the article begins and dive where it ends; all lines
-but furniture between these points are the text, and headings right before them. What counts as a surge is measured by
+but furniture between these points are the text, and headings right before them. On pages without marks, lines beside the
+stretch belong to it if they lie in the element that holds its lines (a byline, a date, a last short paragraph). What counts as a surge is measured by
 the middle line of each window, so that a single long line sets no floor for the others.
 """
 
@@ -15,6 +18,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,20 +41,26 @@ _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\
 _FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|comment\w*|disqus\w*|respond|replies|reply|side-?bar\w*|"
     r"menu\w*|nav|navbar|navigation|breadcrumb\w*|pagination|pager|footer|foot|masthead|cookie\w*|consent|gdpr|notice\w*|alert|"
-    r"popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social\w*|related|recommend\w*|widget\w*|toolbar|"
-    r"search\w*|form|complementary|contentinfo|dialog)(?=$|[\s_-])",
+    r"popup|modal|overlay|newsletter|subscribe\w*|complementary|contentinfo|dialog)(?=$|[\s_-])",
     re.I,
 )
+#: Words that mark furniture outside the article, and short parts of it.
+_PERHAPS = re.compile(r"(?:^|[\s_-])(?:signup|login|share|sharing|social\w*|related|recommend\w*|widget\w*|toolbar|search\w*|form)(?=$|[\s_-])", re.I)
+_RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b)", re.I)
 #: The page's own header; those of an article (``entry-header`` ...) hold its title.
 _PAGE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|top|global)[_-])?header(?=$|\s)", re.I)
 _ARTICLE_MARK = re.compile(r"(?:^|\s)(?:main|article|articlebody)(?=$|\s)", re.I)
-_DROPPED = frozenset("nav footer aside form menu dialog button head select fieldset".split())
+_DROPPED = frozenset("nav footer aside menu dialog button head select fieldset label legend".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot "
     "thead tr ul head".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_TABLE = frozenset("table thead tbody tfoot tr".split())
+#: Elements whose lines belong to the element around them.
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header pre address blockquote figure figcaption".split())
+_WHOLE = frozenset("body html form".split())
 _CLOSES_P = _BLOCK - {"body", "html", "head"}
 _ENDS_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 
@@ -62,6 +72,21 @@ class Line:
     article: bool
     heading: bool
     furniture: bool
+    home: int  # the element that holds the line's own one; negative if that is the whole page
+    forms: tuple[int, ...]  # open forms
+    perhaps: int  # the element of the article that may be furniture; 0 if none
+
+
+class _Open(NamedTuple):
+    name: str
+    furniture: bool
+    article: bool
+    home: int
+    forms: tuple[int, ...]
+    perhaps: int
+
+
+_PAGE = _Open("", False, False, -1, (), 0)
 
 
 def _hidden(attrs: str) -> bool:
@@ -83,7 +108,8 @@ def lines(page: str) -> list[Line]:
     page = _RAW.sub(" ", page)
     out: list[Line] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, in furniture, in the article
+    stack: list[_Open] = []
+    opened = 0
     linked = 0
     link = -1  # the number of open elements where the open link began
     heading = False
@@ -93,9 +119,9 @@ def lines(page: str) -> list[Line]:
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                weight = 0 if furniture else max(0, len(text) - linked)
-                out.append(Line(text, 0 if 2 * linked > len(text) else weight, article, heading, furniture))
+                top = stack[-1] if stack else _PAGE
+                weight = 0 if top.furniture else max(0, len(text) - linked)
+                out.append(Line(text, 0 if 2 * linked > len(text) else weight, top.article, heading, top.furniture, top.home, top.forms, top.perhaps))
             buffer.clear()
         linked = 0
 
@@ -123,7 +149,7 @@ def lines(page: str) -> list[Line]:
             link = len(stack) if not closing and _HREF.search(attrs) else -1
         if closing:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+                if stack[k].name == name:
                     if not block:
                         flush()
                     del stack[k:]
@@ -133,9 +159,9 @@ def lines(page: str) -> list[Line]:
             if name[:1] == "h" and name[1:].isdigit():
                 heading = False
             continue
-        if block and stack and stack[-1][0] == "p" and name in _CLOSES_P:
+        if block and stack and stack[-1].name == "p" and name in _CLOSES_P:
             stack.pop()
-        if name in _ENDS_LIKE and stack and stack[-1][0] in _ENDS_LIKE[name]:
+        if name in _ENDS_LIKE and stack and stack[-1].name in _ENDS_LIKE[name]:
             stack.pop()
         if link > len(stack):
             link = -1
@@ -143,21 +169,56 @@ def lines(page: str) -> list[Line]:
             continue
         if block:
             heading = name[:1] == "h" and name[1:].isdigit()
-        furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        top = stack[-1] if stack else _PAGE
+        article, perhaps = top.article, top.perhaps
         marks = " ".join(a or b or c for a, b, c in _MARKS.findall(attrs)) if attrs else ""
         main = name in ("article", "main") or bool(marks and block and _ARTICLE_MARK.search(marks))
         odd = name in _DROPPED or name == "header" and not article
         if not odd and attrs and name not in ("body", "html"):
             own = _ELSEWHERE.sub("", marks)
-            odd = bool(own and (_COMMENT if main else _FURNITURE).search(own)) or _hidden(attrs)
-            odd = odd or not article and not main and bool(marks and _PAGE_HEADER.search(marks))
-        if block or odd:
-            if odd and not block:
+            if own and name != "form":
+                odd = bool((_COMMENT if main else _FURNITURE).search(own))
+                if not odd and not main and name not in _TABLE and _PERHAPS.search(own):
+                    odd, perhaps = not article, perhaps or opened + 1
+            odd = odd or _hidden(attrs) or not article and not main and bool(marks and _PAGE_HEADER.search(marks))
+        aside = perhaps and not top.perhaps
+        if block or odd or aside:
+            if not block and (odd or aside):
                 flush()
-            stack.append((name, furniture or odd, article or main))
+            opened += 1
+            home = top.home if name in _LEAVES else -opened if name in _WHOLE else opened
+            stack.append(_Open(name, top.furniture or odd, article or main, home, (*top.forms, opened) if name == "form" else top.forms, perhaps))
     add(page[at:])
     flush()
-    return out
+    return _settled(out)
+
+
+def _settled(found: list[Line]) -> list[Line]:
+    """``found`` with the lines of forms as furniture, but for forms that hold most of the page's text."""
+    own: dict[int, int] = {}
+    for line in found:
+        for form in line.forms:
+            own[form] = own.get(form, 0) + (0 if line.furniture else len(line.text))
+    if own:
+        total = sum(len(x.text) for x in found if not x.furniture)
+        for line in found:
+            if any(2 * own[f] <= total for f in line.forms):
+                line.furniture, line.weight = True, 0
+    return found
+
+
+def _without_asides(found: list[Line], window: int, share: float) -> None:
+    """Parts of the article that may be furniture are, if no line of them reaches the floor."""
+    longest: dict[int, int] = {}
+    for line in found:
+        if line.perhaps:
+            longest[line.perhaps] = max(longest.get(line.perhaps, 0), line.weight)
+    if longest:
+        sure = [x.weight for x in found if x.article and not x.furniture and not x.perhaps]
+        floor = max(1.0, share * max(_middles(sure, window // 2), default=0))
+        for line in found:
+            if line.perhaps and longest[line.perhaps] < floor:
+                line.furniture, line.weight = True, 0
 
 
 def _middles(weights: list[int], half: int) -> list[int]:
@@ -200,17 +261,35 @@ def main_text(page: str | None, window: int = 3, share: float = 0.2) -> str:
     if not page:
         return ""
     found = lines(page)
+    _without_asides(found, window, share)
     first, last = between(weights(found, window, share), window, share)
     while 0 < first <= last and found[first - 1].heading and not found[first - 1].furniture:
         first -= 1
-    return "\n".join(x.text for x in found[first : last + 1] if not x.furniture)
+    kept = [not x.furniture and first <= k <= last for k, x in enumerate(found)]
+    if not any(x.article and x.weight for x in found):
+        _beside(found, kept, first, last)
+    return "\n".join(x.text for x, keep in zip(found, kept, strict=True) if keep)
+
+
+def _beside(found: list[Line], kept: list[bool], first: int, last: int) -> None:
+    """Keep the lines beside the stretch that share the element which holds its lines. Where that is the whole page, only
+    those up to the next line elsewhere or of links, and no copyright line after it."""
+    homes = {x.home for x, keep in zip(found, kept, strict=True) if keep and x.weight}
+    for side in (range(first - 1, -1, -1), range(last + 1, len(found))):
+        joined = True
+        for k in side:
+            line = found[k]
+            if line.furniture:
+                continue
+            joined = joined and line.home in homes and line.weight > 0 and not (k > last and _RIGHTS.match(line.text))
+            kept[k] = line.home in homes and (joined or line.home > 0)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = 3, share: float = 0.2) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each row's main text.
 
     A null page or one without text gives an empty text; ids and URLs pass through as they are, null too;
-    repeated rows each give a row; other columns are ignored; an empty table gives no rows. A page of any length is taken whole, in time in
+    repeated rows each give a row, equal pages equal texts; other columns are ignored; an empty table gives no rows. A page of any length is taken whole, in time in
     proportion to it. Pages are not shuffled.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))

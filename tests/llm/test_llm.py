@@ -536,3 +536,21 @@ def test_op6_broken_pages_take_time_in_proportion():
         htmltext.main_text(page)
     assert time.time() - began < 20
     assert "where x is big" in htmltext.main_text("<article><p>" + "Some words of a long paragraph that goes on. " * 9 + "It holds where <math><mi>x</mi></math> is big.</p></article>")
+
+
+def test_op6_forms_bylines_and_class_words():
+    body = "word " * 60
+    b = body.strip()
+    cases = {
+        f'<body><form id="aspnetForm"><div id=nav><a href=x>home</a></div><div><h1>T</h1><p>{body}<p>{body}</div></form></body>': f"T\n{b}\n{b}",
+        f'<div><p>{body}<p>{body}</div><form class="main"><label>Name</label><p>Write to us</p></form>': f"{b}\n{b}",
+        "<form><label>User</label><input><button>Go</button></form>": "",
+        f"<h1>Title here</h1><p>By Ann Lee</p><p>Oslo, May 4.</p><p>{body}<p>{body}<p>{body}<p>{body}<p>Ann is a writer.</p>": f"Title here\nBy Ann Lee\nOslo, May 4.\n{b}\n{b}\n{b}\n{b}\nAnn is a writer.",
+        f"<p>{body}<p>{body}<p>Ann is a writer.<p>© A paper": f"{b}\n{b}\nAnn is a writer.",
+        f"<div><p>By Ann</p><p>x</p><p>{body}<p>{body}<p><a href=x>one link</a></div><div><p>elsewhere</p></div>": f"By Ann\nx\n{b}\n{b}\none link",
+        f'<article><p>{body}<section id="related-work"><h2>Related work</h2><p>{body}</section></article>': f"{b}\nRelated work\n{b}",
+        f'<article><p>{body}<p class="search-results-text">{body}<table class="share-price"><tr><td>Oslo<td>12</table></article>': f"{b}\n{b}\nOslo 12",
+        f'<article><p>{body}<div class="share">Share this</div><div class="related"><a href=x>{body}</a></div><div class="ad">{body}</div><p>{body}</article>': f"{b}\n{b}",
+    }
+    for page, want in cases.items():
+        assert htmltext.main_text(page) == want, page[:80]
