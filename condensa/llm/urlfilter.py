@@ -4,13 +4,15 @@ Rules come first: the longest rule whose host is the URL's host or a parent doma
 whose path starts the URL's path. Pages that a rule decided are the labels of the rest:
 
 1. Segments that are numbers, hex strings or dates are wildcards from the start (``{n}``,
-   ``{x}``, ``{d}``). The tree grows from the host down, a level a path segment, until every path has ended or is
-   the only one left below its node. Below a node, literal branches that are some of many rare ones become one wildcard (``*``).
+   ``{x}``, ``{d}``). The tree grows from the host down until every path has ended or is
+   the only one left below its node; segments that all paths below a node share are taken at once, so there are as many levels
+   as a path has branchings or ends on its way, not as it has segments. Below a node, literal branches that are some of many rare ones become one wildcard (``*``).
 2. A branch's profile counts its pages by what is below: whether and how far the path goes on, and the form of
    the next segment. Branches of a node that have the same form, the same commonest form below and the same majority of
    labels are one cluster, but for those whose profile a chi-square test of homogeneity tells from the other
    members'. Branches without labels are told by their profile alone: they go to the labelled cluster
-   that is nearest to it if the test finds no difference, else to their own. All members of a cluster are one branch of the tree; the next level
+   that is nearest to it if the test finds no difference and they have at least ``least`` pages, else to their own: of fewer pages
+   the test can't tell a difference. All members of a cluster are one branch of the tree; the next level
    grows below it.
 3. A template (host and clusters down to the path's end) is rejected if the smoothed
    share of blocked pages among its labelled ones reaches ``reject_at``; the prior counts as
@@ -84,16 +86,30 @@ def _form(segment: Column) -> Column:
 _PARTS = [f"p{k}" for k in range(4 + len(_FORMS))]
 
 
-def _level(paths: DataFrame, many: int, rare: float) -> DataFrame:
+def _level(paths: DataFrame, many: int, rare: float, least: int) -> DataFrame:
     """One level of the tree: paths (host, shape, blocked, allowed, n, node, left) with the node and what is left of them below it."""
+    columns = paths.columns
     pages = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
-    nodes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("paths"))
+    # what the least and the greatest path below a node share, all share
+    ends = [F.split(F.regexp_replace(f(F.concat("left", F.lit("/"))), "/$", ""), "/") for f in (F.min, F.max)]
+    nodes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("paths"), ends[0].alias("low"), ends[1].alias("high"), (F.sum(F.col("blocked") + F.col("allowed")) > 0).alias("told"))
+    same = F.zip_with("low", "high", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    shared = F.slice("low", 1, F.array_position(F.array_append(same, False), False).cast("int") - 1)
+    # a branch without others is a cluster of its own, named like one if it has labels
+    names = F.when(F.col("told"), F.transform("steps", lambda x: F.concat(F.lit("<"), x, F.lit(">")))).otherwise(F.col("steps"))
+    nodes = nodes.withColumn("steps", F.when(F.col("paths") > 1, shared).otherwise(F.array().cast("array<string>")))
+    nodes = nodes.select("node", "paths", F.array_join("steps", "/").alias("shared"), F.array_join(names, "/").alias("names"))
+    going = paths.join(nodes, "node").withColumns({
+        "node": F.when(F.col("shared") == "", F.col("node")).otherwise(F.concat_ws("/", "node", "names")),
+        "left": F.when(F.col("shared") == "", F.col("left")).otherwise(F.expr("substr(`left`, length(shared) + 2)")),
+    })
+    ended = going.where(F.col("left") == "").select(*columns)
     cut = F.locate("/", F.col("left"))
     whole = (F.col("paths") == 1) | (cut == 0)
-    going = paths.join(nodes, "node").withColumns({
+    going = going.where(F.col("left") != "").withColumns({
         "branch": F.when(whole, F.col("left")).otherwise(F.expr("left(`left`, locate('/', `left`) - 1)")),
         "rest": F.when(whole, "").otherwise(F.expr("substr(`left`, locate('/', `left`) + 1)")),
-    }).drop("paths", "left")
+    }).drop("paths", "left", "shared", "names")
     goes, deep = F.col("rest") != "", F.locate("/", F.col("rest")) > 0
     tests = [goes, ~goes, deep, ~deep, *[_form(F.col("rest")) == f for f in _FORMS]]
     tree = going.groupBy("node", "branch").agg(*[F.sum(c).alias(c) for c in ("blocked", "allowed", "n")], *[pages(t).cast("double").alias(c) for c, t in zip(_PARTS, tests, strict=True)])
@@ -125,23 +141,24 @@ def _level(paths: DataFrame, many: int, rare: float) -> DataFrame:
     # the test of a branch against its own cluster leaves the branch itself out
     pairs = pairs.withColumns(apart | {"alone": _told(F.col("mine"), n, others, F.col("own.n") - n) > 1})
     near = lambda s: F.when((F.col(f"{s}.members") > 0) & (F.col(f"to_{s}") <= 1), F.struct((-F.col(f"to_{s}")).alias("near"), F.col(f"{s}.n").alias("n"), F.col(f"{s}.head").alias("head")))
-    pairs = pairs.withColumn("to", F.when(~labelled, F.greatest(near("blocked"), near("allowed")))["head"])
+    pairs = pairs.withColumn("to", F.when(~labelled & (F.col("n") >= least), F.greatest(near("blocked"), near("allowed")))["head"])
     # a head that stands alone itself still names its cluster
     name = F.when(F.col("to").isNotNull(), F.concat(F.lit("<"), "to", F.lit(">"))).when((F.col("own.members") == 1) & ~labelled | F.col("alone"), F.col("name")).otherwise(
         F.concat(F.lit("<"), F.col("own.head"), F.lit(">")))
     children = pairs.select("node", "name", F.concat("node", F.lit("/"), name).alias("child"))
     below = tree.select("node", "branch", "name").join(children, ["node", "name"]).select("node", "branch", "child")
-    return going.join(below, ["node", "branch"]).select("host", "shape", "blocked", "allowed", "n", F.col("child").alias("node"), F.col("rest").alias("left"))
+    return going.join(below, ["node", "branch"]).select("host", "shape", "blocked", "allowed", "n", F.col("child").alias("node"), F.col("rest").alias("left")).unionByName(ended)
 
 
 def judge(
-    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, many: int = 50, rare: float = 3,
+    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, many: int = 50, rare: float = 3, least: int = 5,
     prior_allow: float = 2.0, prior_block: float = 1.0, reject_at: float = 0.5,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity and labelled of each row.
 
     ``many``: a node with more literal branches than this
-    turns those of at most ``rare`` times their mean pages into one wildcard; ``labelled``: the template's pages that a rule decided.
+    turns those of at most ``rare`` times their mean pages into one wildcard; ``least``: pages that a branch without labels needs
+    to join a labelled cluster (a chi-square test asks for five expected counts); ``labelled``: the template's pages that a rule decided.
     A null URL or one without ``://`` has an empty host and path and falls under no rule; its template is that of the empty
     host, without labels, so it is allowed. Ids pass through; repeated rows each count and each
     give a row; other columns are ignored; an empty table gives no rows. URLs of any length are read whole.
@@ -158,15 +175,10 @@ def judge(
         F.count_if(F.col("said") == "block").alias("blocked"), F.count_if(F.col("said") == "allow").alias("allowed"), F.count(F.lit(1)).alias("n"),
     )
     going = scratch.staged(paths.withColumns({"node": F.col("host"), "left": F.col("shape")}), "paths")
-    ended = []
-    while True:
-        ended.append(going.where(F.col("left") == "").drop("left"))
-        if going.where(F.col("left") != "").isEmpty():
-            break
-        going = scratch.staged(_level(going.where(F.col("left") != ""), many, rare), "level")
-    paths = ended[0]
-    for more in ended[1:]:
-        paths = paths.unionByName(more)
+    while not going.where(F.col("left") != "").isEmpty():
+        going = scratch.staged(_level(going.where(F.col("left") != ""), many, rare, least), "level")
+    # one scan of all levels: a path is in the level where it ended
+    paths = pages.sparkSession.read.schema(going.schema).parquet(*scratch.paths).where(F.col("left") == "").drop("left")
     purity = (F.sum("blocked") + prior_block) / (F.sum("blocked") + F.sum("allowed") + prior_block + prior_allow)
     templates = scratch.staged(paths.groupBy("node").agg(purity.alias("purity"), F.sum(F.col("blocked") + F.col("allowed")).alias("labelled")), "templates")
     verdicts = paths.join(templates, "node").select("host", "shape", F.col("node").alias("template"), "purity", "labelled")

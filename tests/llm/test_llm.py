@@ -554,3 +554,27 @@ def test_op6_forms_bylines_and_class_words():
     }
     for page, want in cases.items():
         assert htmltext.main_text(page) == want, page[:80]
+
+
+def test_op3_paths_that_share_very_many_segments(spark):
+    """A crawler's trap takes as many levels as it branches; the page that ends on the way is told from the others."""
+    import time
+
+    trap = "/a" * 1000
+    urls = [f"http://t.net{trap}/{k}" for k in range(3)] + [f"http://t.net{trap}", "http://t.net/a/a", f"http://t.net{trap}/b{trap}/1", f"http://t.net{trap}/b{trap}/x"]
+    began = time.time()
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert time.time() - began < 60 and len(got) == len(urls)
+    assert got[0].template == got[1].template == got[2].template == f"t.net{trap}/{{n}}" and len({r.template for r in got.values()}) == 5
+
+
+def test_op3_one_page_is_no_evidence_and_purity_weighs_both_labels(spark):
+    rules = (("h.net/es/", "block"), ("m.net/x/", "block"), ("m.net/y/", "allow"), ("m.net/x/ok/", "allow"))
+    urls = [f"http://h.net/es/a/{k}" for k in range(20)] + ["http://h.net/en/about/7"] + [f"http://h.net/de/a/{k}" for k in range(30)]
+    # m.net: below like branches q and r, blocked and allowed pages under one template
+    rules += tuple((f"m.net/q/{k}", "block" if k % 10 < 7 else "allow") for k in range(1000, 1020)) + tuple((f"m.net/r/{k}", "allow" if k % 10 < 7 else "block") for k in range(1000, 1020))
+    urls += [f"http://m.net/{b}/{k}" for b in "qr" for k in range(1000, 1020)] + [f"http://m.net/q/{k}" for k in range(2000, 2010)] + [f"http://m.net/r/{k}" for k in range(2000, 2010)]
+    got = {urls[r.page_id]: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    assert got["http://h.net/en/about/7"].verdict == "allow" and got["http://h.net/de/a/3"].verdict == "block"
+    q, r = got["http://m.net/q/2003"], got["http://m.net/r/2003"]
+    assert q.verdict == "block" and abs(q.purity - 15 / 23) < 1e-12 and r.verdict == "allow" and abs(r.purity - 7 / 23) < 1e-12
