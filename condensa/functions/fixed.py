@@ -18,7 +18,7 @@ BLOCKS = "p div section article li tr br h1 h2 h3 h4 h5 h6 pre blockquote td th"
 #: Character references that are common enough to be read by name, the ampersand's last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 #: How a line of a log begins, strictly (for typing) and when a reader must see it whole (for parsing).
-LOG_LINE = r"(?i)^\s*(\d{4}-\d{2}-\d{2}[ t]\d{2}:\d{2}|\[\d{2}:\d{2}:\d{2}\]|(trace|debug|info|warn|warning|error|err|fatal|critical)\b)"
+LOG_LINE = r"(?i)^\s*(\d{4}-\d{2}-\d{2}[ t]\d{2}:\d{2}|\[\d{2}:\d{2}:\d{2}\]|(trace|debug|info|warn|warning|error|err|fatal|critical)\b|traceback\(mostrecentcalllast\))"
 LOG_PREFIX = r"(?i)^\s*\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}\s+(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b"
 MARKUP = r"(?i)</?(?:script|style|div|span|nav|header|footer|li|ul|a|p)\b"
 HTML_TAG = r"<[a-zA-Z/][^>]{0,200}>"

@@ -1,6 +1,7 @@
 """Small frames, one for each rule that is easy to get wrong."""
 
 import json
+import os
 import random
 
 import duckdb
@@ -438,6 +439,34 @@ def test_batch_and_stream_sketches_agree(spark, top, monkeypatch):
         assert got[key] == [kept[k] for k in sorted(kept)]
 
 
+def test_traceback_lines_of_the_log_predicate(spark):
+    """Only the spelling without spaces is one of the log lines."""
+    from condensa.functions.fixed import LOG_LINE
+
+    df = spark.createDataFrame([("  Traceback(mostrecentcalllast):",), ("Traceback (most recent call last):",), ("warn: x",)], "line string")
+    assert [r.hit for r in df.select(df.line.rlike(LOG_LINE).alias("hit")).collect()] == [True, False, True]
+
+
+def test_windows_drop_late_rows(spark, tmp_path):
+    """Several batches in append mode: a row behind the watermark of an earlier batch isn't counted, one before it is.
+
+    Spark tells late rows by the watermark that the batch before began with, so the late one comes two batches after the jump."""
+    from condensa.streaming.savings import by_window
+
+    (tmp_path / "in").mkdir()
+    parts = [["10:00:10", "10:00:50"], ["10:30:00", "10:01:30"], ["10:30:10"], ["10:00:20"], ["11:30:00"], ["12:30:00"]]
+    for n, times in enumerate(parts):
+        path = tmp_path / "in" / f"{n}.json"
+        path.write_text("".join(json.dumps({"ts": f"2024-01-01T{t}Z", "event_type": "view", "value": 1.0}) + "\n" for t in times))
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+    out = by_window(stream, "1 minute", watermark="5 minutes")
+    query = out.writeStream.outputMode("append").format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/at").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r.window_start.strftime("%H:%M"), r.n, r.total) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert got == {("10:00", 2, 2.0), ("10:01", 1, 1.0), ("10:30", 2, 2.0), ("11:30", 1, 1.0)}
+
+
 def test_sketch_stream_in_spark(spark, tmp_path):
     """Pieces of two streams through Structured Streaming, lines split over files."""
     schema = "key string, seq int, piece string, done boolean"
