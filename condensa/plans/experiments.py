@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from condensa.functions.stats import Z, mcnemar_p, wilson
 from condensa.functions.text import let
+from condensa.sources.stages import Stages
 
 SUCCESS = 1 - 1e-9
 
@@ -256,8 +257,22 @@ def latency(df: DataFrame, value: str, *by: str, bins: int = 1024) -> DataFrame:
 
 
 def ranked_entries(entries: DataFrame) -> DataFrame:
-    """A leaderboard's order: by track, the best first."""
-    return entries.orderBy("track", F.desc("value"), "method", "entry")
+    """All entries with their ``place`` in their track, from 1: the best first, equal values by entry.
+
+    Entries are dealt out by ranges of the order, so a track that holds most of them is numbered by many tasks;
+    a range adds what the ranges before it hold of the track.
+    """
+    stages = Stages(entries.sparkSession, "places")
+    dealt = entries.repartitionByRange("track", F.desc("value"), "entry").withColumn("_range", F.spark_partition_id())
+    dealt = stages.write(dealt)
+    # one row a range and track
+    held = dealt.groupBy("track", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("track").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(F.col("track").alias("_track"), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("track", "_range").orderBy(F.desc("value"), "entry")
+    rows = dealt.withColumn("_place", F.row_number().over(within)).join(held, F.col("track").eqNullSafe(F.col("_track")) & (F.col("_range") == F.col("_of")))
+    placed = rows.withColumn("place", F.col("_before") + F.col("_place")).drop("_range", "_track", "_of", "_before", "_place")
+    return stages.close(placed).orderBy("track", "place")
 
 
 def leaderboard_violations(entries: DataFrame, *, required=("method", "track", "metric", "value", "n", "source"), rates=("accuracy", "success")) -> DataFrame:

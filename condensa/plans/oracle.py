@@ -634,7 +634,7 @@ ORACLE: dict[str, str] = {
     "cost_projection": f"SELECT count(*) AS n, CAST(sum(g) AS BIGINT) AS saved_tokens, round(sum(g) / 1e6 * 2.5, 6) AS saved, round(sum(g) / 1e6 * 2.5 / count(*) * 1000000, 4) AS projected FROM (SELECT greatest({tok('text')} - {BUDGET}, 0) AS g FROM documents)",
     "solve_stats": f"WITH {solves()} SELECT method, CAST(trial AS INTEGER) AS trial, CAST(sum(tool_calls) AS BIGINT) AS tool_calls, CAST(sum(compressed) AS BIGINT) AS compressed, CAST(sum(tool_calls * 90) AS BIGINT) AS raw_tokens, CAST(sum(tool_calls * 30) AS BIGINT) AS context_tokens, CAST(sum(compressed % 2) AS BIGINT) AS expand_calls FROM so GROUP BY ALL",
     "leaderboard_order": """WITH b AS (SELECT c_custkey AS entry, CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS method, c_mktsegment AS track, c_custkey % 130 / 100 AS value FROM customer)
-        SELECT track, entry, method, value FROM b""",
+        SELECT track, row_number() OVER (PARTITION BY track ORDER BY value DESC, entry) AS place, entry, method, value FROM b""",
     "store_expiry": "SELECT CAST(user_id AS VARCHAR) AS ref, max(ts) AS stored_at FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(max(ts))) <= 864000",
     "paired_equivalence": f"""WITH {solves()}, {GAPS}, vv AS (SELECT 'all' AS stratum, task, gap AS value FROM gp WHERE gap IS NOT NULL), {replicates('vv')},
         en AS (SELECT list_sort(list(round(mean, 9))) AS l FROM rp), x AS (SELECT l[{_LOW}] AS low, l[{_HIGH}] AS high FROM en)

@@ -413,6 +413,21 @@ def test_percentiles_with_ties_and_tails(spark):
     assert got.n == len(s) and [got.p50, got.p90, got.p99] == [s[min(int(q * len(s)), len(s) - 1)] for q in (0.5, 0.9, 0.99)]
 
 
+def test_all_entries_have_their_places(spark):
+    rows = [(k, "hot" if k % 7 else None, None if k == 9 else (k * k % 13) / 13) for k in range(700)]
+    df = spark.createDataFrame(rows, "entry long, track string, value double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:  # eight ranges share the hot track
+        got = [(r.track, r.place, r.entry) for r in experiments.ranked_entries(df).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = []
+    for track in (None, "hot"):
+        own = sorted((r for r in rows if r[1] == track), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        want += [(track, k, r[0]) for k, r in enumerate(own, 1)]
+    assert got == want
+
+
 def test_sketch_is_bounded(spark):
     rows = [("s", i, f"line {i} " + ("error" if i % 50 == 0 else "needle" if i == 777 else "")) for i in range(2000)]
     got = sketch.sketch_batch(spark.createDataFrame(rows, "k string, o int, line string"), 64, "needle", key="k", order="o").first()
