@@ -46,8 +46,8 @@ def cut_pieces(
         encode, tail = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                data, doc = encode(text.as_py()) + tail, doc.as_py()
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                data = b"".join((ids, tail))
                 first = len(data) % size or size
                 edges = [0, *range(first, len(data) + 1, size)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

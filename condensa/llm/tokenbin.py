@@ -95,8 +95,8 @@ def write_tokens(
         for batch in batches:
             ids, texts = batch.column(0).fill_null(NULL_ID), batch.column(1)
             ends = np.empty(len(ids), "<i8")
-            for k in range(len(ids)):
-                found = np.frombuffer(encode(texts[k].as_py()), "<u4")
+            for k, found in enumerate(encode(texts)):
+                found = np.frombuffer(found, "<u4")
                 out["tokens"].write(found.astype(dtype).tobytes() + tail)
                 n_tokens += len(found) + 1
                 ends[k] = n_tokens

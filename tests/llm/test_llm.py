@@ -3,16 +3,18 @@
 import base64
 import hashlib
 import html as entities
+import random
 import re
 import zlib
 from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from condensa.llm import covertree, decontaminate, htmltext, langid, minhash, packing, quality, tokenbin, urlfilter, warc
+from condensa.llm import bpe, covertree, decontaminate, htmltext, langid, minhash, packing, quality, tokenbin, urlfilter, warc
 from condensa.llm.bpe import vocabulary_path
 from condensa.llm.queries import ORACLE, QUERIES
 from condensa.llm.shared import components
@@ -283,6 +285,23 @@ def _ids(text):
     return t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_encoder_asks_for_a_word_once(monkeypatch):
+    rnd, signs = random.Random(3), ["a", "B", "é", "日", " ", " ", "\n", ".", "'", "s", "\t", "\0", "7", "²", "\x85", "\xa0", "🙂", "<|endoftext|>"]
+    texts = [None, "", " ", "\n", "a  b", *("".join(rnd.choices(signs, k=rnd.randint(0, 30))) for _ in range(800))]
+    library = bpe.Encoder(vocabulary_path()).tokenizer
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for room, block in ((400_000, 8 << 20), (20, 60)):  # words are forgotten, blocks hold a few texts
+        got = bpe.Encoder(vocabulary_path(), room).encode(pa.array(texts), block)
+        assert [bytes(ids) for ids in got] == want
+    asked = []
+    own = bpe.Encoder._encoded
+    monkeypatch.setattr(bpe.Encoder, "_encoded", lambda self, parts: asked.extend(parts.to_pylist()) or own(self, parts))
+    encoder = bpe.Encoder(vocabulary_path())
+    for _ in range(2):  # marks behind a word, and a second batch, ask for nothing anew
+        list(encoder.encode(pa.array(["one two, two. two", "two! one"])))
+    assert sorted(asked) == ["", " one", " two", "!", ",", ".", "one", "two"]
+
+
 def test_op8_equals_the_tokenizer(spark, sf_dir, odd):
     for docs in (table(spark, sf_dir, "documents").limit(80), odd.where("doc_id is not null")):
         at = 0
