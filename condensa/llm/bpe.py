@@ -60,7 +60,7 @@ class Encoder:
     ``room``: how many words and other short parts are remembered, those met last first.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -69,7 +69,7 @@ class Encoder:
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.room, self.met, self.ids_of_met = room, pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
-    def encode(self, texts: pa.Array, block_bytes: int = 8 << 20) -> Iterator[memoryview]:
+    def encode(self, texts: pa.Array, block_bytes: int = 2 << 20) -> Iterator[memoryview]:
         """In blocks of texts with about ``block_bytes`` bytes; a longer text is a block of its own."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         block = np.cumsum(pc.binary_length(texts).to_numpy()) // block_bytes
@@ -125,11 +125,11 @@ class Encoder:
         words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), "\0")[0].as_py()
         words = iter(words.encode().decode("latin-1").translate(self.letters).split(self.letters[0]))
         tokenize, encode = self.tokenizer.model.tokenize, self.tokenizer.encode
-        found = [
-            [t.id for t in tokenize(next(words))] if w else encode(next(others), add_special_tokens=False).ids
+        ids = [
+            array("I", [t.id for t in tokenize(next(words))] if w else encode(next(others), add_special_tokens=False).ids).tobytes()
             for w in is_word.to_pylist()
         ]
-        return pa.array([array("I", ids).tobytes() for ids in found], pa.large_binary())
+        return pa.array(ids, pa.large_binary())
 
 
 @functools.lru_cache(maxsize=2)
