@@ -136,13 +136,13 @@ def rewrite_bodies(bodies: DataFrame, rewrite, *, body: str = "body", form: str
 
 
 def body_query(messages: Column) -> Column:
-    """The text of the last user message: its string, or its text parts joined by blanks."""
+    """The text of the last user message: its string, or its text parts joined by blanks; null if there is none."""
     def said(m: Column) -> Column:
         content = F.try_variant_get(m, "$.content", "variant")
         parts = F.filter(F.transform(_as(content, _LIST), lambda p: F.when(_kind(p, "type") == "text", F.coalesce(_kind(p, "text"), F.lit("")))), lambda t: t.isNotNull())
         return F.when(_kind(m, "role") == "user", F.coalesce(_as(content, "string"), F.when(F.size(parts) > 0, F.array_join(parts, " "))))
 
-    return F.element_at(F.filter(F.transform(messages, said), lambda t: t.isNotNull()), -1)
+    return F.try_element_at(F.filter(F.transform(messages, said), lambda t: t.isNotNull()), F.lit(-1))
 
 
 def compress_bodies(bodies: DataFrame, budget: int, *, key: str = "id", body: str = "body", form: str = "chat", roles=ROLES, query: str | None = None, **options) -> DataFrame:
