@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from condensa.functions.stats import Z, mcnemar_p, wilson
 from condensa.functions.text import let
+from condensa.plans import resample
 from condensa.sources.stages import Stages
 
 SUCCESS = 1 - 1e-9
@@ -81,24 +85,8 @@ def strata(df: DataFrame, method: str, diagnostic: list[int]) -> DataFrame:
     )
 
 
-#: Draws come from the generator x -> 48271 x mod 2^31 - 1 (Park and Miller), seeded by a hash of where they are drawn.
-_FACTOR, _PRIME = 48271, 2**31 - 1
-#: Values are drawn one by one only within leaves of so many tasks.
-LEAF = 32
-
-
-def _seed(*parts: Column | str) -> Column:
-    digest = F.sha1(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(_PRIME - 1)) + 1
-
-
-def _drawn(seed: Column, times: Column, start: Column, add) -> Column:
-    """``start`` after ``add(sum, x)`` of ``times`` draws x in 1 .. 2^31 - 2."""
-    step = lambda acc: acc["x"] * _FACTOR % _PRIME
-    walk = F.aggregate(
-        F.sequence(F.lit(1), times.cast("int")), F.struct(seed.alias("x"), start.alias("s")), lambda acc, _: F.struct(step(acc).alias("x"), add(acc["s"], step(acc)).alias("s"))
-    )
-    return F.when(times > 0, walk["s"]).otherwise(start)
+#: Leaves of a branch of the tree: a branch's values (``BRANCH * resample.LEAF`` at most) meet the replicates in ``PARTS`` groups.
+BRANCH, PARTS = 64, 32
 
 
 def _placed(values: DataFrame, stratum: str) -> DataFrame:
@@ -115,27 +103,46 @@ def _placed(values: DataFrame, stratum: str) -> DataFrame:
 def _replicates(values: DataFrame, n_boot: int, seed: int, stratum: str) -> DataFrame:
     """(stratum, rep, mean): means of ``n_boot`` resamples of each stratum's values (stratum, task, value), each of exactly as many draws as it has tasks.
 
-    How many of a resample's draws fall into each leaf of ``LEAF`` tasks comes from a binary tree of leaves: a node splits its
-    count binomially, by draws that are told by a hash of the replicate and the node. So resamples are multinomial, no row stands for a single draw, and only counts and sums of leaves are shuffled.
+    How many of a resample's draws fall into each leaf of ``resample.LEAF`` tasks comes from a binary tree of leaves: a node splits its
+    count binomially, by draws that are told by a hash of the replicate and the node. So resamples are multinomial, and no row stands for a single draw.
+    Each replicate's tree is split down to branches of ``BRANCH`` leaves; these are dealt out to the branch's values, which a part of the replicates shares. Only counts and sums are shuffled.
     """
     rows = _placed(values, stratum)
     sizes = rows.groupBy(stratum).agg(F.first("n").alias("n"))
-    leaves = rows.groupBy(stratum, F.expr(f"place div {LEAF}").cast("int").alias("a")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("own"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    nodes = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumns({"a": F.lit(0), "b": F.ceil(F.col("n") / LEAF).cast("int"), "c": F.col("n")})
-    nodes = nodes.repartition(stratum, "rep")
-    for _ in range(max(0, math.ceil(math.log2(max(1, -(-largest // LEAF)))))):
-        half = F.expr("(a + b) div 2").cast("int")
-        nodes = nodes.withColumn("half", half).withColumns({"wide": F.least(F.col("b") * LEAF, F.col("n")) - F.col("a") * LEAF, "part": (F.col("half") - F.col("a")).cast("long") * LEAF})
-        left = _drawn(_seed(str(seed), F.col(stratum), F.col("rep"), F.col("a"), F.col("b")), F.col("c"), F.lit(0).cast("long"), lambda k, x: k + (x * F.col("wide") < F.col("part") * _PRIME).cast("long"))
-        node = lambda a, b, c: F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
-        a, b, c, mid = F.col("a"), F.col("b"), F.col("c"), F.col("half")
-        nodes = nodes.withColumn("left", F.when(b - a > 1, left)).withColumn("x", F.explode(F.when(b - a > 1, F.array(node(a, mid, F.col("left")), node(mid, b, c - F.col("left")))).otherwise(F.array(node(a, b, c)))))
-        nodes = nodes.select(stratum, "n", "rep", "x.*").where("c > 0")
-    found = nodes.join(leaves, [stratum, "a"])
-    pick = lambda total, x: total + F.get(F.col("own"), F.floor(x * F.size("own") / F.lit(_PRIME)).cast("int"))
-    sums = _drawn(_seed(str(seed), F.col(stratum), F.col("rep"), F.col("a")), F.col("c"), F.lit(0.0), pick)
-    return found.groupBy(stratum, "rep").agg((F.sum(sums) / F.first("n")).alias("mean"))
+    leaves = -(-(sizes.agg(F.max("n")).first()[0] or 0) // resample.LEAF)
+    leaf, a, b = F.expr(f"place div {resample.LEAF}"), F.lit(0).cast("long"), F.ceil(F.col("n") / resample.LEAF)
+    rows = rows.withColumns({"a": a, "b": b})
+    for _ in range(max(0, math.ceil(math.log2(max(1, leaves) / BRANCH)))):
+        half, wide = F.expr("(a + b) div 2"), F.col("b") - F.col("a") > BRANCH
+        rows = rows.withColumns({"a": F.when(wide & (leaf >= half), half).otherwise(F.col("a")), "b": F.when(wide & (leaf < half), half).otherwise(F.col("b"))})
+    rows = rows.select(F.col(stratum).alias("s"), "a", "place", "value", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+
+    def down(batches):
+        for batch in batches:
+            for name in batch["s"].unique().to_pylist():
+                own = batch.filter(pc.equal(batch["s"], name))
+                n, rep = own["n"][0].as_py(), own["rep"].to_numpy()
+                top = [np.full(len(rep), v, dtype=np.int64) for v in (0, -(-n // resample.LEAF), n)]
+                found = resample.split(f"{seed}|{name}", n, rep, *top, BRANCH)
+                yield pa.RecordBatch.from_pydict({"s": pa.array([name] * len(found[0]), pa.string()), "n": np.full(len(found[0]), n, dtype=np.int64), **dict(zip(("rep", "a", "b", "c"), found))})
+
+    def drawn(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"s": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "sum": pa.array([], pa.float64())})
+        name, n, first = (left[c][0].as_py() for c in ("s", "n", "a"))
+        rep, a, _, c = resample.split(f"{seed}|{name}", n, *[left[c].to_numpy() for c in ("rep", "a", "b", "c")], 1)
+        own = right.sort_by("place")["value"].to_numpy()
+        reps, at = np.unique(rep, return_inverse=True)
+        total = np.bincount(at, weights=resample.sums(f"{seed}|{name}", rep, a, c, own, first), minlength=len(reps))
+        return pa.table({"s": pa.array([name] * len(reps), pa.string()), "n": np.full(len(reps), n, dtype=np.int64), "rep": reps, "sum": total})
+
+    tops = sizes.select(F.col(stratum).alias("s"), "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("rep"))
+    # stated numbers of partitions: counts are few bytes and much work
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = tops.repartition(parts, "rep").mapInArrow(down, "s string, n long, rep long, a long, b long, c long").withColumn("part", F.pmod("rep", F.lit(PARTS)).cast("int"))
+    nodes, rows = (df.repartition(parts, "s", "a", "part") for df in (nodes, rows))
+    found = nodes.groupBy("s", "a", "part").cogroup(rows.groupBy("s", "a", "part")).applyInArrow(drawn, "s string, n long, rep long, sum double")
+    return found.groupBy(F.col("s").alias(stratum), "rep").agg((F.sum("sum") / F.first("n")).alias("mean"))
 
 
 def _ends(replicates: Column, alpha: float = 0.05) -> tuple[Column, Column]:

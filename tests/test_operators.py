@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import time
 
 import duckdb
 import pandas as pd
@@ -520,3 +521,19 @@ def test_sketch_of_pieces():
         out = list(s.handleInputRows(("s",), iter([frame]), None))
     assert out[0]["seen"][0] == 300 and len(out[0]["chunks"][0]) == 17 and "line 77 needle" in out[0]["chunks"][0]
     assert s.state.value is None
+
+
+def test_bootstrap_over_branches_equals_sql(spark):
+    """Trees of several branches."""
+    rows = [("all", i, float(i * 7 % 11)) for i in range(4100)] + [("few", i, float(i % 3)) for i in range(300)]
+    values = spark.createDataFrame(rows, "stratum string, task int, value double")
+    got = sorted((r.stratum, r.rep, round(r["mean"], 9)) for r in experiments._replicates(values, 50, 0, "stratum").collect())
+    src = pd.DataFrame(rows, columns=["stratum", "task", "value"])  # noqa: F841
+    assert got == sorted(duckdb.sql(f"WITH {oracle.replicates('src', 50)} SELECT stratum, rep, round(mean, 9) FROM rp").fetchall())
+
+
+def test_bootstrap_takes_seconds(spark):
+    """66 million draws, which took minutes one by one in the row."""
+    values = spark.range(20_000).select(F.lit("all").alias("stratum"), F.col("id").alias("task"), (F.col("id") % 11).cast("double").alias("value"))
+    began = time.time()
+    assert experiments._replicates(values, 300, 0, "stratum").count() == 300 and time.time() - began < 45
